@@ -7,7 +7,9 @@ Shared by the substring deduplicators. All rows that cross a shuffle are packed
    A phrase is named by its anchor and by its content. Copies inside one task are settled there
    and only their first occurrence travels, so a common passage sends one row a task, not one a document.
 2. Phrases meet by anchor. Where an anchor has one content only, all later phrases are repeats.
-3. Where it has several contents, their windows are looked up one by one in a second, small round.
+3. Where it has several contents, a window that two of them share holds the anchor and one more stretch of equal
+   units to its left or right. The bucket is refined by the identifiers of those two stretches; windows of phrases that
+   still are not alone are looked up one by one in a second, small round.
 
 Documents meet their answers by a hash of the identifier; texts travel compressed.
 """
@@ -26,16 +28,21 @@ from terrainflow.llm.common import byte_ids, join_ids, mix, shared_checkpoint, s
 
 PROBE, FLAG, REQUEST, TEXT = 0, 1, 2, 3
 #: Bytes kept of each column of a block.
-WIDTHS = {PROBE: (5, 6, 8, 4, 1), FLAG: (8, 4, 1, 8, 4), REQUEST: (8, 4, 1)}
+WIDTHS = {PROBE: (5, 5, 8, 4, 1, 1, 2, 2), FLAG: (8, 4, 1, 8, 4), REQUEST: (8, 4, 1)}
 ROWS = "bucket int, kind int, payload binary"
 ARROW_ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 #: Text bytes after which a task settles and sends what it has gathered.
-FLUSH = 32 << 20
+FLUSH = {"word": 32 << 20, "byte": 12 << 20}
+#: Windows after which a task of the second round does.
+FLUSH_WINDOWS = 500_000
 
 
 @dataclass(frozen=True)
 class Repeats:
-    """window and gram in units; same_document: an earlier start in the same document counts too."""
+    """window and gram in units; same_document: an earlier start in the same document counts too.
+
+    left: a window either has that many units before its anchor, or `right` units after it.
+    """
 
     window: int
     gram: int
@@ -43,6 +50,14 @@ class Repeats:
     same_document: bool
     buckets: int
 
+    @property
+    def left(self) -> int:
+        return max(1, (self.window - self.gram) // 2)
+
+    @property
+    def right(self) -> int:
+        return max(1, self.window - self.gram - self.left + 1)
+
 
 def pack(kind: int, columns) -> bytes:
     planes = [np.ascontiguousarray(c).astype(np.uint64, copy=False).view(np.uint8).reshape(-1, 8)[:, :w].T.tobytes() for c, w in zip(columns, WIDTHS[kind], strict=True)]
@@ -130,12 +145,13 @@ def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def phrases(values: np.ndarray, first: np.ndarray, spec: Repeats):
-    """Anchor, content, document index, start in the document and number of windows of every phrase."""
+    """Of every phrase: anchor, content, document index, start in the document, number of windows, units from the start to
+    the anchor, and 16-bit identifiers of the stretches left and right of the anchor (0: no window needs it)."""
     counts = np.maximum(np.diff(first) - spec.window + 1, 0)
     total = int(counts.sum())
     if not total:
         return None
-    grams, windows = string_ids(values, spec.gram, spec.window)
+    grams, windows, lefts, rights = string_ids(values, spec.gram, spec.window, spec.left, spec.right)
     bits = np.uint64(len(grams).bit_length())
     ranked = (mix(grams) >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
     lowest = sliding_minimum(ranked, spec.window - spec.gram + 1)
@@ -148,32 +164,40 @@ def phrases(values: np.ndarray, first: np.ndarray, spec: Repeats):
     b = np.append(a[1:], total) - 1
     n = (b - a + 1).astype(np.uint64)
     content = join_ids(join_ids(windows[start[a]], windows[start[b]]), n)
-    return grams[anchor[a]], content, doc[a], start[a] - first[:-1][doc[a]], n
+    at, lead = start[a], anchor[a] - start[a]
+    left, right = np.zeros(len(a), np.uint64), np.zeros(len(a), np.uint64)
+    use = lead >= spec.left
+    left[use] = np.maximum(lefts[anchor[a][use] - spec.left] >> np.uint64(13) & np.uint64(0xFFFF), np.uint64(1))
+    use = anchor[a] - start[b] < spec.left
+    right[use] = np.maximum(rights[anchor[a][use] + spec.gram] >> np.uint64(13) & np.uint64(0xFFFF), np.uint64(1))
+    return grams[anchor[a]], content, doc[a], at - first[:-1][doc[a]], n, lead.astype(np.uint64), left, right
 
 
-def _settle(key, content, doc, at, n, spec: Repeats):
+def _settle(columns, spec: Repeats):
     """Order by (key, content, document, start); which entries repeat the first of their class; index of that first."""
-    order = np.lexsort((at, doc.view(np.int64), content, key))
-    key, content, doc, at, n = (c[order] for c in (key, content, doc, at, n))
+    order = np.lexsort((columns[3], columns[2].view(np.int64), columns[1], columns[0]))
+    columns = [c[order] for c in columns]
+    key, content, doc, at = columns[:4]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
     lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
     later = doc != doc[lead]
     if spec.same_document:
         later |= at != at[lead]
-    return (key, content, doc, at, n), later, lead
+    return columns, later, lead
 
 
 def _send(parts, spec: Repeats):
     """Settle what one task has gathered, then blocks: flags to documents, the rest to its anchor's bucket."""
     columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-    (key, content, doc, at, n), later, lead = _settle(*columns, spec)
+    columns, later, lead = _settle(columns, spec)
+    key, _, doc, at, n = columns[:5]
     yield from _blocks(FLAG, document_bucket(doc[later], spec.buckets), [doc[later], at[later], n[later], doc[lead[later]], at[lead[later]]])
     keep = ~later
     if spec.same_document:  # a repeated row meets itself: one is enough
         keep &= (lead == np.arange(len(lead)))
     bucket = ((key[keep] >> np.uint64(40)) % np.uint64(spec.buckets)).astype(np.int64)
-    yield from _blocks(PROBE, bucket, [c[keep] for c in (key, content, doc, at, n)])
+    yield from _blocks(PROBE, bucket, [c[keep] for c in columns])
 
 
 def _phrase_blocks(spec: Repeats):
@@ -189,10 +213,10 @@ def _phrase_blocks(spec: Repeats):
                 found = phrases(values, first, spec)
                 held += len(data)
                 if found is not None:
-                    key, content, doc, at, n = found
+                    key, content, doc, at, *rest = found
                     use = np.asarray(known.is_valid())[doc]
-                    parts.append([key[use], content[use], ids[doc[use]], at[use].astype(np.uint64), n[use]])
-                if held >= FLUSH and parts:
+                    parts.append([key[use], content[use], ids[doc[use]], at[use].astype(np.uint64), *(c[use] for c in rest)])
+                if held >= FLUSH[spec.unit] and parts:
                     yield from _send(parts, spec)
                     parts, held = [], 0
             if parts:
@@ -203,6 +227,12 @@ def _phrase_blocks(spec: Repeats):
     return run
 
 
+def _not_alone(ids: np.ndarray) -> np.ndarray:
+    """Which values occur more than once."""
+    _, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    return counts[inverse] > 1
+
+
 def _resolve(spec: Repeats):
     """Of one bucket of anchors: flags, and requests for the phrases whose anchor has several contents."""
 
@@ -213,14 +243,19 @@ def _resolve(spec: Repeats):
         out = list(passed)
         columns = unpack_all(PROBE, [p for k, p in zip(kinds, payloads, strict=True) if k == PROBE])
         if len(columns[0]):
-            (key, content, doc, at, n), later, lead = _settle(*columns, spec)
+            columns, later, lead = _settle(columns, spec)
+            key, content, doc, at, n, ahead, left, right = columns
             out += _blocks(FLAG, document_bucket(doc[later], spec.buckets), [doc[later], at[later], n[later], doc[lead[later]], at[lead[later]]])
             new = np.ones(len(key), bool)
             new[1:] = key[1:] != key[:-1]
             edges = np.flatnonzero(new)
             mixed = np.minimum.reduceat(content, edges) != np.maximum.reduceat(content, edges)
-            ask = np.repeat(mixed, np.diff(np.append(edges, len(key)))) & ~later
-            out += _blocks(REQUEST, document_bucket(doc[ask], spec.buckets), [doc[ask], at[ask], n[ask]])
+            mixed = np.repeat(mixed, np.diff(np.append(edges, len(key)))) & ~later
+            split = np.maximum(ahead.astype(np.int64) - spec.left + 1, 0).astype(np.uint64)  # windows with a left stretch
+            for side, begin, count in ((left, np.zeros_like(n), np.minimum(split, n)), (right, np.minimum(split, n), n - np.minimum(split, n))):
+                ask = np.flatnonzero(mixed & (side > 0) & (count > 0))
+                ask = ask[_not_alone(join_ids(key[ask], side[ask]))]
+                out += _blocks(REQUEST, document_bucket(doc[ask], spec.buckets), [doc[ask], at[ask] + begin[ask], count[ask]])
         return pa.Table.from_batches(_rows(out), schema=ARROW_ROWS)
 
     return run
@@ -265,7 +300,7 @@ def _window_blocks(spec: Repeats):
         doc, at, n = unpack_all(REQUEST, asked.column("payload").to_pylist())
         order = np.argsort(doc, kind="stable")
         doc, at, n = doc[order], at[order], n[order]
-        parts = []
+        parts, out, held = [], [], 0
         for payload in texts.column("payload").to_pylist() if len(doc) else ():
             ids, valid, data, offsets = read_text_block(payload)
             lo, hi = np.searchsorted(doc, ids.view(np.uint64)), np.searchsorted(doc, ids.view(np.uint64), "right")
@@ -275,8 +310,15 @@ def _window_blocks(spec: Repeats):
                 starts, counts = at[lo[r] : hi[r]].astype(np.int64), n[lo[r] : hi[r]].astype(np.int64)
                 each = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
                 each = each[each < len(windows)]
-                parts.append([windows[each], np.zeros(len(each), np.uint64), np.full(len(each), ids.view(np.uint64)[r]), each.astype(np.uint64), np.ones(len(each), np.uint64)])
-        return pa.Table.from_batches(_rows(_send(parts, spec)) if parts else [], schema=ARROW_ROWS)
+                none = np.zeros(len(each), np.uint64)
+                parts.append([windows[each], none, np.full(len(each), ids.view(np.uint64)[r]), each.astype(np.uint64), none + np.uint64(1), none, none, none])
+                held += len(each)
+                if held >= FLUSH_WINDOWS:
+                    out += _send(parts, spec)
+                    parts, held = [], 0
+        if parts:
+            out += _send(parts, spec)
+        return pa.Table.from_batches(_rows(out), schema=ARROW_ROWS)
 
     return run
 

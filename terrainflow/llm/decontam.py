@@ -21,10 +21,10 @@ SHORTEST = 5
 BROADCAST_SEEDS = 2_000_000
 
 
-def word_hashes(text: Column) -> Column:
-    """Hashes of the lower-case words (letters and digits) of a text, in order."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.xxhash64(w))
+def word_hashes(text: Column, ends: bool = True) -> Column:
+    """Hashes of the lower-case words (letters and digits) of a text, in order. ends: without the empty word before or after."""
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
+    return F.transform(F.filter(words, lambda w: w != "") if ends else words, lambda w: F.xxhash64(w))
 
 
 def _seed(words: str, at: str, mask: str, number: int) -> Column:
@@ -35,7 +35,9 @@ def _seed(words: str, at: str, mask: str, number: int) -> Column:
 
 def seeds_of(table: DataFrame, words: str, masks, keep: list[str]) -> DataFrame:
     """One row per position and mask: keep, at, span, hash."""
-    placed = table.where(F.size(words) >= min(map(len, masks))).select(*keep, words, F.explode(F.sequence(F.lit(0), F.size(words) - min(map(len, masks)))).alias("at"))
+    # A filter on the size would be pushed below the projection that makes the words, which would then be made twice.
+    last = F.size(words) - min(map(len, masks))
+    placed = table.select(*keep, words, F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("at"))
     each = F.array(*[F.struct(F.lit(len(m)).alias("span"), _seed(words, "at", m, k).alias("hash")) for k, m in enumerate(masks)])
     return placed.select(*keep, words, "at", F.explode(each).alias("s")).select(*keep, words, "at", "s.span", "s.hash").where("hash is not null")
 
@@ -48,27 +50,36 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, si
     are not searched. Null doc_id: one document of that name; null item_id likewise. Repeated rows and ties: one
     row per pair of ids. Empty tables: empty result. Other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), word_hashes(F.col("text").cast("string")).alias("words"))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), word_hashes(F.col("text").cast("string"), False).alias("words"))
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), word_hashes(F.col("text").cast("string")).alias("item")).where(F.size("item") >= SHORTEST).distinct()
     shortest = min(map(len, MASKS))
     sizes = [r.n for r in items.where(F.size("item") < shortest).select(F.size("item").alias("n")).distinct().collect()]  # at most a few mask lengths
     masks = (*MASKS, *("1" * n for n in sorted(sizes)))
     theirs = seeds_of(items, "item", masks, ["item_id"]).where(F.col("span").isin([len(m) for m in MASKS]) | (F.col("span") == F.size("item")))
     theirs = theirs.select("item_id", "item", F.col("at").alias("item_at"), "span", "hash").distinct()
+    # What a hit needs of its document: the words around it, not the whole array.
+    near_at = F.greatest(F.col("at") - window, F.lit(0))
+    near = [near_at.alias("near_at"), F.slice("words", near_at + 1, 2 * window).alias("near")]
+    ours = seeds_of(docs, "words", masks, ["doc_id"])
     if theirs.count() <= BROADCAST_SEEDS:
-        theirs = F.broadcast(theirs)
-    hits = seeds_of(docs, "words", masks, ["doc_id"]).join(theirs, ["hash", "span"])
+        hits = ours.join(F.broadcast(theirs), ["hash", "span"]).select("doc_id", "item_id", "item", "item_at", "span", "at", *near)
+    else:
+        hits = ours.select("doc_id", "hash", "span", "at", *near).join(theirs, ["hash", "span"])
 
     diagonal = F.col("at") - F.col("item_at")  # word of the document at which the item would begin
     size = F.least(F.lit(window), F.size("item"))
     low = F.greatest(F.lit(0), F.col("item_at") + F.col("span") - size)
     high = F.least(F.size("item"), F.col("item_at") + size) - 1
-    equal = F.transform(F.sequence(low, high), lambda j: F.coalesce((F.get("item", j) == F.when(j + diagonal >= 0, F.get("words", j + diagonal))).cast("int"), F.lit(0)))
+
+    def same(j):
+        k = j + diagonal - F.col("near_at")
+        return F.coalesce((F.get("item", j) == F.when((k >= 0) & (k < F.size("near")), F.get("near", k))).cast("int"), F.lit(0))
+
+    equal = F.transform(F.sequence(low, high), same)
     checked = hits.select("doc_id", "item_id", diagonal.alias("doc_start"), F.size("item").alias("n_words"), size.alias("size"), equal.alias("equal"))
     sums = F.transform(F.sequence(F.lit(1), F.size("equal") - F.col("size") + 1), lambda k: F.aggregate(F.slice("equal", k, F.col("size")), F.lit(0), lambda a, b: a + b))
     checked = checked.select("doc_id", "item_id", "doc_start", "n_words", (F.array_max(sums) / F.col("size")).alias("similarity"))
-    return (
-        checked.where(F.col("similarity") >= similarity)
-        .groupBy("doc_id", "item_id")
-        .agg(F.max("similarity").alias("similarity"), F.min("doc_start").cast("bigint").alias("doc_start"), F.max("n_words").cast("bigint").alias("n_words"))
-    )
+    # The threshold comes after the maximum: before it, the filter would move into the join and keep whole documents in its rows.
+    good = F.col("similarity") >= similarity
+    best = checked.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.min(F.when(good, F.col("doc_start"))).cast("bigint").alias("doc_start"), F.max("n_words").cast("bigint").alias("n_words"))
+    return best.where(good)

@@ -22,6 +22,8 @@ ASSIGN_VALUE = 12
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 IDENTIFIER = r"[A-Za-z0-9+/_=-]{12,}"
 RATIO = 12.0
+#: Weight of an even distribution in the model of random strings.
+EVEN = 0.3
 ALPHABET = 128
 
 SPAN = "array<struct<start:int,end:int,rank:int,kind:string>>"
@@ -36,7 +38,6 @@ def _matches(text: Column, pattern: str, kind: str, rank: int, keep) -> Column:
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if kind == "assign" else found
     gaps = F.split(text, pattern, -1)
     steps = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), F.transform(found, F.length).alias("size"), F.transform(values, F.length).alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast(SPAN).alias("spans"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
 
     def step(state, s):
@@ -76,9 +77,12 @@ def markov_table(docs: DataFrame) -> list[float]:
     for a in signs:
         total = {k: sum(c.get(a * ALPHABET + b, 0) for b in signs) for k, c in counts.items()}
         for b in signs:
-            # a prior of ten pseudo-counts spread evenly keeps unseen pairs finite
+            # ten pseudo-counts spread evenly keep unseen pairs finite; random strings may use any character, so their
+            # model is mixed with an even one, unless there is no sample of them
             p = {k: (c.get(a * ALPHABET + b, 0) + 10 / len(signs)) / (total[k] + 10) for k, c in counts.items()}
-            table[a * ALPHABET + b] = math.log(p[True] / p[False])
+            if counts[True]:
+                p[True] = (1 - EVEN) * p[True] + EVEN / len(signs)
+            table[a * ALPHABET + b] = math.log(p[True] / p[False]) if counts[True] and counts[False] else 0.0
     return table
 
 

@@ -262,10 +262,9 @@ def boundary_edges(members: DataFrame) -> DataFrame:
 def _stitch(pdf: pd.DataFrame) -> pd.DataFrame:
     """Closed rings from the boundary edges of one catchment; the mask lies on the left, so holes run the other way."""
     following: dict[tuple, list] = {}
-    cells = {(r, c) for r, c in zip(pdf["in_r"], pdf["in_c"], strict=True)}
-    for r1, c1, r2, c2 in pdf[["r1", "c1", "r2", "c2"]].itertuples(index=False):
-        left = (r1, c1) if r1 == r2 else (r1, c1 - 1)  # cell below a horizontal edge; left of a vertical one
-        a, b = ((r1, c1), (r2, c2)) if (left in cells) == (r1 == r2) else ((r2, c2), (r1, c1))
+    for r1, c1, r2, c2, in_r, in_c in pdf[["r1", "c1", "r2", "c2", "in_r", "in_c"]].itertuples(index=False):
+        ahead = in_r == r1 if r1 == r2 else in_c != c1
+        a, b = ((r1, c1), (r2, c2)) if ahead else ((r2, c2), (r1, c1))
         following.setdefault(a, []).append(b)
     rings = []
     while following:
@@ -275,7 +274,7 @@ def _stitch(pdf: pd.DataFrame) -> pd.DataFrame:
             options = following[at]
             if len(options) > 1 and before is not None:  # at a shared corner turn towards the own cell
                 heading = (at[0] - before[0], at[1] - before[1])
-                options.sort(key=lambda p: heading[0] * (p[1] - at[1]) - heading[1] * (p[0] - at[0]), reverse=True)
+                options.sort(key=lambda p: heading[0] * (p[1] - at[1]) - heading[1] * (p[0] - at[0]))
             nxt = options.pop(0)
             if not options:
                 del following[at]
@@ -298,10 +297,8 @@ def mask_rings(members: DataFrame) -> DataFrame:
     """
     edges = boundary_edges(members)
     inside = members.select("site_id", "outlet", F.col("row").alias("in_r"), F.col("col").alias("in_c"))
-    below = (F.col("in_r") == F.col("r1")) & (F.col("in_c") == F.col("c1"))
-    above = F.when(F.col("r1") == F.col("r2"), (F.col("in_r") == F.col("r1") - 1) & (F.col("in_c") == F.col("c1"))).otherwise((F.col("in_r") == F.col("r1")) & (F.col("in_c") == F.col("c1") - 1))
     places = edges.withColumn("p", F.explode(F.array(F.struct(F.col("r1").alias("in_r"), F.col("c1").alias("in_c")), F.when(F.col("r1") == F.col("r2"), F.struct((F.col("r1") - 1).alias("in_r"), F.col("c1").alias("in_c"))).otherwise(F.struct(F.col("r1").alias("in_r"), (F.col("c1") - 1).alias("in_c"))))))
-    owned = places.select("site_id", "outlet", "r1", "c1", "r2", "c2", F.col("p.in_r").alias("in_r"), F.col("p.in_c").alias("in_c")).join(inside, ["site_id", "outlet", "in_r", "in_c"], "left_semi").where(below | above)
+    owned = places.select("site_id", "outlet", "r1", "c1", "r2", "c2", F.col("p.in_r").alias("in_r"), F.col("p.in_c").alias("in_c")).join(inside, ["site_id", "outlet", "in_r", "in_c"], "left_semi")
     return owned.groupBy("site_id", "outlet").applyInPandas(_stitch, "site_id bigint, outlet bigint, ring int, hole boolean, area_cells double, corners array<struct<r:double,c:double>>")
 
 

@@ -96,3 +96,54 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """request_id, latitude, longitude, radius_km."""
     key = F.col("n_nationkey")
     return read(spark, sf_dir, "nation").select(key.cast("bigint").alias("request_id"), (-60.0 + 5 * key).alias("latitude"), (-170.0 + 14 * key).alias("longitude"), (1.0 + key % 10).alias("radius_km"))
+
+
+def site_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates with all measurements, from customers: site_id, candidate_id and the columns that scores need; some are null."""
+    k = F.col("c_custkey")
+    some = lambda value, gap: F.when(k % gap != 0, value.cast("double"))
+    return read(spark, sf_dir, "customer").select(
+        F.floor(k / 100).cast("bigint").alias("site_id"),
+        k.cast("bigint").alias("candidate_id"),
+        ((k * 7) % 400 / 10.0).cast("double").alias("slope_degrees"),
+        ((k * 7919) % 4_000_000).cast("double").alias("catchment_area_m2"),
+        some((k * 37) % 3100, 11).alias("rainfall_mm"),
+        some((k * 13) % 700, 7).alias("water_distance_m"),
+        some((k * 17) % 600, 9).alias("road_distance_m"),
+        some((k * 23) % 650, 8).alias("building_distance_m"),
+        some((k * 331) % 600_000, 6).alias("runoff_m3"),
+        some((k * 151) % 300_000, 5).alias("storage_m3"),
+        some((k * 977) % 150_000, 4).alias("flow_accumulation_cells"),
+        some((k % 101) / 100.0, 10).alias("dem_score"),
+        some((k % 97) / 96.0, 12).alias("hydrology_score"),
+        F.when(k % 3 == 0, "feasible").when(k % 3 == 1, "unknown").otherwise(F.when(k % 2 == 0, "feasible").otherwise("rejected")).alias("feasibility"),
+        F.when(k % 50 != 0, 21.0 + (k % 300) / 1000.0).alias("latitude"),
+        F.when(k % 70 == 0, 200.0).otherwise(81.0 + (k % 500) / 1000.0).alias("longitude"),
+        (k % 3).cast("int").alias("n_water"),
+        (k % 5).cast("int").alias("n_roads"),
+        (k % 7).cast("int").alias("n_buildings"),
+    )
+
+
+def probe_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen points a site: site_id, id, x, y."""
+    cells = dem_cells(spark, sf_dir).where((F.col("row") % 8 == 3) & (F.col("col") % 8 == 5))
+    return cells.select("site_id", (F.col("row") * 32 + F.col("col")).cast("bigint").alias("id"), (X0 + 1000 * F.col("site_id") + 5.0 * F.col("col")).alias("x"), (Y0 + 5.0 * F.col("row")).alias("y"))
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of buildings, roads and water squares."""
+    from terrainflow.operators.spatial import line_features, point_features, ring_features, square_rings
+
+    w = water(spark, sf_dir).withColumn("rings", square_rings(F.col("half"), F.col("cx"), F.col("cy"), F.col("hole")))
+    return point_features(buildings(spark, sf_dir), "building").unionByName(line_features(roads(spark, sf_dir), "road")).unionByName(ring_features(w, "water"))
+
+
+def contour_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """site_id, kml: one placemark for each row of a site, with the places of its valid cells as longitude and latitude."""
+    cells = dem_cells(spark, sf_dir).where("elevation is not null")
+    point = F.format_string("%.6f,%.6f,0", 81.0 + 0.01 * F.col("site_id") + 0.00005 * F.col("col"), 21.0 + 0.00005 * F.col("row"))
+    lines = cells.groupBy("site_id", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", point.alias("p")))), lambda s: s.p), " ").alias("c"))
+    mark = F.format_string("<Placemark><name>Contour %d m</name><LineString><coordinates>%s</coordinates></LineString></Placemark>", 100 + F.col("row"), F.col("c"))
+    docs = lines.groupBy("site_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", mark.alias("m")))), lambda s: s.m), "\n").alias("body"))
+    return docs.select("site_id", F.concat(F.lit('<kml xmlns="http://www.opengis.net/kml/2.2"><Document>'), "body", F.lit("</Document></kml>")).alias("kml"))

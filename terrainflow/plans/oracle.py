@@ -11,7 +11,7 @@ grid AS (SELECT site_id, nr, nc, r, unnest(range(nc))::INT AS c FROM (SELECT sit
 dense AS (SELECT g.site_id, g.r, g.c, g.nr, g.nc, z, (g.r * g.nc + g.c)::BIGINT AS cell, (g.r = 0 OR g.c = 0 OR g.r = g.nr - 1 OR g.c = g.nc - 1) AS ring FROM grid g LEFT JOIN cells s ON g.site_id = s.site_id AND g.r = s.r AND g.c = s.c)"""
 OFFSETS = "offs(k, dr, dc, dist) AS (VALUES (0,-1,0,1.0::DOUBLE),(1,-1,1,sqrt(2.0::DOUBLE)),(2,0,1,1.0::DOUBLE),(3,1,1,sqrt(2.0::DOUBLE)),(4,1,0,1.0::DOUBLE),(5,1,-1,sqrt(2.0::DOUBLE)),(6,0,-1,1.0::DOUBLE),(7,-1,-1,sqrt(2.0::DOUBLE)))"
 NEAR = f"""{CELLS}, {OFFSETS},
-near AS (SELECT a.site_id, a.r, a.c, a.z, a.cell, a.ring, a.nc, k, dr, dc, b.z AS nz, (a.z - b.z) / (5.0::DOUBLE * dist) AS s FROM dense a CROSS JOIN offs JOIN dense b ON b.site_id = a.site_id AND b.r = a.r + dr AND b.c = a.c + dc)"""
+near AS (SELECT a.site_id, a.r, a.c, a.z, a.cell, a.ring, a.nc, k, dr, dc, b.z AS nz, (a.z - b.z) / (5.0::DOUBLE * dist) AS s FROM (SELECT d.*, k, dr, dc, dist, d.r + dr AS r2, d.c + dc AS c2 FROM dense d CROSS JOIN offs) a JOIN dense b ON b.site_id = a.site_id AND b.r = a.r2 AND b.c = a.c2)"""
 FLOW = f"""{NEAR},
 best AS (SELECT * FROM (SELECT site_id, cell, k, dr, dc, nc, row_number() OVER (PARTITION BY site_id, cell ORDER BY s DESC, k) AS n FROM near WHERE s > 0) WHERE n = 1),
 flow AS (SELECT d.site_id, d.r, d.c, d.cell, d.z, d.ring, coalesce(k, -1)::INT AS flow_dir, coalesce(d.cell + dr * d.nc + dc, -1)::BIGINT AS downstream FROM dense d LEFT JOIN best b ON d.site_id = b.site_id AND d.cell = b.cell)"""

@@ -89,4 +89,6 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    from terrainflow.llm import oracle
+
+    return oracle.oracle_sql()

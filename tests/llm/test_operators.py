@@ -12,7 +12,7 @@ from terrainflow.llm import queries as q
 from terrainflow.llm.chat import digests, escape, escape_role, format_conversations, read_back, unescape, unescape_role
 from terrainflow.llm.decontam import contaminated
 from terrainflow.llm.graph import components
-from terrainflow.llm.packing import default_tokenizer, pack_documents, solve, tokenizer_ids
+from terrainflow.llm.packing import default_ranks, default_tokenizer, pack_documents, solve, tokenizer_ids
 from terrainflow.llm.quality import score_quality
 from terrainflow.llm.rules import line_rules
 from terrainflow.llm.secret_scan import redact, scan_secrets
@@ -131,15 +131,17 @@ def test_packing_plan_is_close_to_the_bound():
     assert solve({}).patterns == [] and solve({1023: 5}).copies == [5]
 
 
-def test_stretches_give_the_ids_of_the_whole_text():
+def test_ranks_give_the_ids_of_the_tokenizer():
     from tokenizers import Tokenizer
 
-    whole, parts = Tokenizer.from_file(default_tokenizer()), tokenizer_ids(default_tokenizer())
+    whole = Tokenizer.from_file(default_tokenizer())
+    both = tokenizer_ids(default_tokenizer()), tokenizer_ids(default_tokenizer(), default_ranks())
     rng = random.Random(2)
     pieces = ["the", " ", "  ", "\n", "\n\n", "\t", "don't", "été", "12", "!!", "\u00a0", "\u2003", "a,b", "<|endoftext|>", "\r\n", "x" * 70, "\x0b", "日本"]
     for _ in range(3000):
         text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 12)))
-        assert np.frombuffer(parts(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+        for parts in both:
+            assert np.frombuffer(parts(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 # --- secrets --------------------------------------------------------------------------------------

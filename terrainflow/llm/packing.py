@@ -25,8 +25,6 @@ END = 0
 #: Column generation stops when the bound shows that less than this share of the sequences can be saved, or after ROUNDS columns.
 GAP = 0.0005
 ROUNDS = 1500
-#: Distinct pre-tokens whose ids a task remembers.
-REMEMBERED = 400_000
 
 
 def default_tokenizer() -> str:
@@ -35,54 +33,45 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class _Ids(dict):
-    """Ids of a stretch of text that starts at white space, as little-endian 32-bit numbers."""
+def default_ranks() -> str:
+    import public_tokenizers
 
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
-    def __missing__(self, part):
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(part) <= 64:
-            self[part] = ids
-        return ids
 
+def ranks_encoder(path: str):
+    """A function from ordinary text to ids by a file of ranks: the same vocabulary in a form that is encoded faster."""
+    import base64
 
-def tokenizer_ids(path: str):
-    """A function from a text to its ids as bytes.
+    import public_tokenizers
+    import tiktoken
 
-    Byte-level pre-tokens never run from a visible character into white space, so a text may be tokenized in
-    stretches of white space and the visible characters after it. Texts with rarer white space or with the name of a
-    special token are tokenized in one piece.
-    """
-    import re
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    ids = _Ids(tokenizer)
-    stretch = re.compile(r"[ \n\t\r\v\f]*[^ \n\t\r\v\f]+|[ \n\t\r\v\f]+").findall
-    rare = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]|<\\|").search
+def tokenizer_ids(path: str, ranks: str | None = None):
+    """A function from a text to its ids as little-endian 32-bit numbers.
 
-    def run(text: str) -> bytes:
-        if rare(text):
-            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(ids.__getitem__, stretch(text)))
+    ranks: a file with the same vocabulary; it serves all texts but those that may hold the name of a special token.
+    """
+    from tokenizers import Tokenizer
 
-    return run
+    tokenizer = Tokenizer.from_file(path)
+    whole = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    ordinary = ranks_encoder(ranks) if ranks else whole
+    return lambda text: np.array(whole(text) if "<|" in text else ordinary(text), "<u4").tobytes()
 
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
-def _pieces(path: str, capacity: int, end: int):
+def _pieces(path: str, ranks: str | None, capacity: int, end: int):
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
 
     def run(batches):
-        encode = tokenizer_ids(path)
+        encode = tokenizer_ids(path, ranks)
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
             rows = []
@@ -262,17 +251,18 @@ def _assign(plan: Plan, capacity: int):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END, ranks: str | None = None) -> DataFrame:
     """docs (doc_id, text) -> one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Each document is its ids, then `end`; a full sequence of `capacity` ids is cut off as long as there is one, the rest
     is one piece. Pieces of a sequence lie end to end from offset 0. Null or empty text: the end alone. Null doc_id:
     packed like any other. Repeated rows are packed each on its own; ties in rank are between equal pieces. Other
-    columns are ignored. Empty table: empty result.
+    columns are ignored. Empty table: empty result. A tokenizer other than the default may come with its ranks.
     """
     spark = docs.sparkSession
+    ranks = ranks or (default_ranks() if tokenizer is None else None)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = shared_checkpoint(docs.mapInArrow(_pieces(tokenizer or default_tokenizer(), capacity, end), PIECE))
+    pieces = shared_checkpoint(docs.mapInArrow(_pieces(tokenizer or default_tokenizer(), ranks, capacity, end), PIECE))
     counts = {r.length: r.n for r in pieces.where(F.col("length") < capacity).groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = solve(counts, capacity)
     # Rank within a length without a task for each length: a count for each part of a length, then a rank in the part.

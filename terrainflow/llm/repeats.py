@@ -311,7 +311,8 @@ def _window_blocks(spec: Repeats):
                 each = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
                 each = each[each < len(windows)]
                 none = np.zeros(len(each), np.uint64)
-                parts.append([windows[each], none, np.full(len(each), ids.view(np.uint64)[r]), each.astype(np.uint64), none + np.uint64(1), none, none, none])
+                # The key travels as its 40 lower bits; the content has the upper ones, so windows are told by all 64.
+                parts.append([windows[each], windows[each] >> np.uint64(24), np.full(len(each), ids.view(np.uint64)[r]), each.astype(np.uint64), none + np.uint64(1), none, none, none])
                 held += len(each)
                 if held >= FLUSH_WINDOWS:
                     out += _send(parts, spec)

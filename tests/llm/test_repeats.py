@@ -1,7 +1,10 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from terrainflow.llm import repeats
 from terrainflow.llm.rlz import substring_dedup
 from terrainflow.llm.suffixes import byte_dedup
 from tests.llm.brute import byte_repeats, word_repeats
@@ -61,3 +64,18 @@ def test_empty_null_and_repeated_rows(spark):
     assert got == [(7, 0), (7, 0), (8, 40), (None, 0)]
     got = sorted(((r.doc_id, r.n_removed > 0) for r in byte_dedup(spark.createDataFrame(rows, schema)).collect()), key=str)
     assert got == [(7, False), (7, False), (8, True), (None, False)]
+
+
+@pytest.mark.parametrize("upper, repeated", [(0, 1), (1, 0)])
+def test_windows_are_told_by_all_bits(monkeypatch, upper, repeated):
+    """Two texts of one window each, whose identifiers agree in the lower 40 bits and, where upper is 0, in all."""
+    spec = repeats.Repeats(3, 2, "byte", False, 1)
+    names = iter(np.array([[7], [7 | upper << 50]], np.uint64))
+    monkeypatch.setattr(repeats, "string_ids", lambda values, *lengths: [next(names)])
+    texts = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2]), "text": ["abc", "xyz"]})
+    texts = pa.Table.from_batches(repeats._text_blocks(spec)([texts]))
+    one = np.ones(2, np.uint64)
+    asked = pa.Table.from_batches(repeats._rows(repeats._blocks(repeats.REQUEST, np.zeros(2, int), [np.array([1, 2], np.uint64), one - one, one])))
+    found = repeats._resolve(spec)(repeats._window_blocks(spec)(texts, asked))
+    flags = repeats.unpack_all(repeats.FLAG, [p for k, p in zip(found["kind"].to_pylist(), found["payload"].to_pylist(), strict=True) if k == repeats.FLAG])
+    assert len(flags[0]) == repeated

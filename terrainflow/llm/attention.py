@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 
-WIDTH = 16
-STRIDE = 13
+WIDTH = 32
+STRIDE = 24
 DIM = 16
 CLASSES = 32
 PLACES = 32
@@ -111,15 +111,19 @@ def log_probabilities(p, u, current, target):
 
 
 def gradients(p, base, ids, target):
-    """Gradients of the mean negative log-probability of the targets (windows x WIDTH each)."""
+    """Gradients of the mean negative log-probability of the targets (windows x WIDTH each). Negative targets do not count."""
+    ids = np.maximum(ids, 0)
     u, (h, q, k, v, a, total, o) = hidden(p, ids)
     a /= total
-    flat, n = h.reshape(-1, DIM), ids.size
+    flat = h.reshape(-1, DIM)
     target, current = target.ravel(), ids.ravel()
-    c, place = target // PLACES, target % PLACES
+    counts = target >= 0
+    n = max(int(counts.sum()), 1)
+    c, place = np.where(counts, target // PLACES, CLASSES), target % PLACES
     g = {}
     d = np.exp(_log_softmax(u @ p["class_w"] + p["class_b"] + base["class"][current]))
-    d[np.arange(n), c] -= 1
+    d[np.flatnonzero(counts), c[counts]] -= 1
+    d[~counts] = 0
     d /= n
     g["class_w"], g["class_b"] = u.T @ d, d.sum(axis=0)
     du = d @ p["class_w"].T

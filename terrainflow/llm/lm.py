@@ -3,9 +3,9 @@
 Words are counted over all training documents: every task sends its distinct words once, packed by hash bucket.
 The same counts give the frequency of every subword and of every pair of neighbours, which fix the model's slots, its
 prior and the choice among rare ids.
-The attention model is trained on stretches spread evenly over every training document (one in SPREAD; their number
-grows with the corpus): in each round all tasks train from the same parameters on their own stretches, and the results
-are averaged by parameter block. Scoring cuts texts into overlapping windows and scores each subword once.
+The attention model is trained on windows that tile every training document, so every subword is a target once: in
+each round all tasks train from the same parameters on their own windows of that round, and the results are averaged by
+parameter block. Scoring cuts texts into overlapping windows and scores each subword once.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ SUBWORDS = 50257
 #: Keys of counts other than of single subwords: pairs in a word, first and last subwords of words.
 PAIR, FIRST, LAST = 1 << 40, 1 << 41, 1 << 42
 ROUNDS = (0.02, 0.014, 0.008, 0.004)
-STRETCH_WORDS = 16
-SPREAD = 12
+#: A place of a window after the end of its document.
+PADDING = -1
 #: Numbers in a block of parameters.
 BLOCK = 8192
 
@@ -241,8 +241,8 @@ class Slots:
 
 
 def _stretches(path: str, slots, rounds: int):
-    """Windows of slots from words spread over every training document, by round, packed."""
-    size = attention.WIDTH + 1
+    """Windows of slots that tile every training document, by round, packed. Each has one slot in common with the one before, its given start."""
+    width = attention.WIDTH
 
     def run(batches):
         encode, known = encoder(path).encode_ordinary, slots.value.slot
@@ -260,21 +260,16 @@ def _stretches(path: str, slots, rounds: int):
                     if held_out_number(doc):
                         continue
                     words = body[a:b].split()
+                    found = np.array([END_ID, *(encode(" " + b" ".join(words).decode()) if words else []), END_ID])
+                    n = -(-(len(found) - 1) // width)
+                    tiled = np.full(n * width + 1, PADDING, np.int16)
+                    tiled[: len(found)] = known[found]
+                    rows = tiled[np.arange(n)[:, None] * width + np.arange(width + 1)]
                     phase = zlib.crc32(b"%d phase" % doc)
-                    step = STRETCH_WORDS * SPREAD
-                    begin = phase % max(1, min(step, len(words) - STRETCH_WORDS))
-                    for n, at in enumerate(range(begin, max(len(words), 1), step)):
-                        part = words[at : at + STRETCH_WORDS]
-                        ids = encode("".join(" " + w.decode() for w in part))
-                        if at == 0:
-                            ids.insert(0, END_ID)
-                        if at + STRETCH_WORDS >= len(words):
-                            ids.append(END_ID)
-                        ids = ids[:size]
-                        if len(ids) == size:
-                            held[(phase + n) % rounds].append(known[ids][None])
+                    for k in range(min(n, rounds)):
+                        held[(phase + k) % rounds].append(rows[k::rounds])
                 for k in range(rounds):
-                    if len(held[k]) >= 20_000:
+                    if sum(map(len, held[k])) >= 20_000:
                         yield send(k)
             for k in range(rounds):
                 if held[k]:
@@ -299,7 +294,7 @@ def _parameters(flat, shapes):
 
 
 def _train_round(shared, rate: float):
-    """Parameters after this task's stretches, in blocks, with their number as weight."""
+    """Parameters after this task's windows, in blocks, with the number of their targets as weight."""
 
     def run(batches):
         rows = [np.frombuffer(widen(p), np.int16).reshape(-1, attention.WIDTH + 1) for batch in batches for p in batch.column(2).to_pylist()]
@@ -308,7 +303,7 @@ def _train_round(shared, rate: float):
             p, base = shared.value
             flat, _ = _blocks_of(attention.train(p, base, rows, rate))
             parts = [flat[a : a + BLOCK].astype("<f4").tobytes() for a in range(0, len(flat), BLOCK)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([float(len(rows))] * len(parts)), pa.array(parts, pa.binary())], names=["block", "weight", "numbers"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([float((rows[:, 1:] != PADDING).sum())] * len(parts)), pa.array(parts, pa.binary())], names=["block", "weight", "numbers"])
 
     return run
 

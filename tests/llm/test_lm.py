@@ -55,6 +55,40 @@ def test_gradients_against_differences():
             assert abs((loss(up) - loss(down)) / 2e-5 - g[name][i]) < 1e-4, name
 
 
+def test_places_after_the_end_do_not_train():
+    p, base = model(3)
+    rng = np.random.default_rng(6)
+    rows = rng.integers(0, a.SLOTS, (2, a.WIDTH + 1))
+    rows[1] = -1
+    whole, padded = a.gradients(p, base, rows[:1, :-1], rows[:1, 1:]), a.gradients(p, base, rows[:, :-1], rows[:, 1:])
+    for name in p:
+        assert np.allclose(whole[name], padded[name], atol=1e-6), name
+
+
+def test_windows_hold_every_subword_of_every_training_document():
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from terrainflow.llm import lm
+
+    texts = ["one", None, "", "word " * 5, "Some more words here " * 40, "x " * a.WIDTH, "y " * (a.WIDTH - 1)] * 3
+    slots = SimpleNamespace(value=SimpleNamespace(slot=(np.arange(lm.SUBWORDS) % a.SLOTS).astype(np.int16)))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    got = Counter()
+    for out in lm._stretches(lm.default_ranks(), slots, len(lm.ROUNDS))([batch]):
+        for payload in out.column(2).to_pylist():
+            rows = np.frombuffer(lm.widen(payload), np.int16).reshape(-1, a.WIDTH + 1)
+            got.update(zip(rows[:, :-1][rows[:, 1:] >= 0].tolist(), rows[:, 1:][rows[:, 1:] >= 0].tolist(), strict=True))
+    encode, want = lm.encoder(lm.default_ranks()).encode_ordinary, Counter()
+    for doc, text in enumerate(texts):
+        words = (text or "").lower().split()
+        ids = [lm.END_ID, *(encode(" " + " ".join(words)) if words else []), lm.END_ID]
+        if not lm.held_out_number(doc):
+            want.update((x % a.SLOTS, y % a.SLOTS) for x, y in zip(ids, ids[1:], strict=False))
+    assert got == want
+
+
 def test_every_slot_is_scored_once():
     p, base = model(1)
     rng = np.random.default_rng(2)

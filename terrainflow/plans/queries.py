@@ -453,7 +453,7 @@ def location_pipeline(spark, d):
 def engine_pipeline(spark, d):
     cells = _placed(tables.dem_cells(spark, d))
     meta = tables.dem_meta(cells)
-    out = pipelines.engine_pipeline(cells, meta, tables.segments(spark, d), tables.rainfall_daily(spark, d, 15))
+    out = pipelines.engine_pipeline(cells, meta, tables.segments(spark, d), tables.rainfall_daily(spark, d, _sites(spark, d)))
     return tidy(out.select("site_id", "label", "id", "overall_score", "confidence", "recommendation", "summary"))
 
 

@@ -241,3 +241,14 @@ def test_dense_grid_adds_missing_cells(spark):
     cells = spark.createDataFrame([(0, 0, 0, 1.0)], "site_id bigint, row int, col int, elevation double")
     meta = spark.createDataFrame([(0, 2, 3, 5.0)], "site_id bigint, rows int, cols int, resolution_m double")
     assert dense_grid(cells, meta).count() == 6
+
+
+def test_engine_pipeline_takes_the_rain_of_every_site(spark, monkeypatch):
+    from terrainflow.plans import pipelines, queries, tables
+
+    path, seen = "/root/testdata/sf0.001", {}
+    columns = "site_id bigint, label string, id bigint, overall_score double, confidence double, recommendation string, summary string"
+    monkeypatch.setattr(pipelines, "engine_pipeline", lambda cells, meta, segments, daily: seen.update(meta=meta, daily=daily) or spark.createDataFrame([], columns))
+    queries.engine_pipeline(spark, path)
+    sites = {r.site_id for r in seen["meta"].collect()}
+    assert {r.site_id for r in seen["daily"].collect()} == sites == {r.site_id for r in tables.dem_cells(spark, path).select("site_id").distinct().collect()}

@@ -14,7 +14,6 @@ from terrainflow.operators.stencil import DISTANCES, OFFSETS, lowest_neighbour,
 
 EPSILON = 1e-4
 TILE = 256
-MAX_ROUNDS = 200
 
 
 # --- depressions ----------------------------------------------------------------------------------
@@ -103,7 +102,7 @@ def fill_depressions(cells: DataFrame, meta: DataFrame, eps: float = EPSILON, ti
     )
     several = meta.where((F.col("rows") > tile) | (F.col("cols") > tile)).limit(1).count() > 0
     steps = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in OFFSETS])
-    for _ in range(MAX_ROUNDS):
+    while True:  # levels only fall, to the least of finitely many paths
         own = state.withColumn("halo", F.lit(False)).drop("changed")
         work = own
         if several:

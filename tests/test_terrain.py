@@ -252,3 +252,12 @@ def test_engine_pipeline_takes_the_rain_of_every_site(spark, monkeypatch):
     queries.engine_pipeline(spark, path)
     sites = {r.site_id for r in seen["meta"].collect()}
     assert {r.site_id for r in seen["daily"].collect()} == sites == {r.site_id for r in tables.dem_cells(spark, path).select("site_id").distinct().collect()}
+
+
+def test_filling_goes_on_until_levels_settle(spark, monkeypatch):
+    """A pit row whose water leaves at one end, over more tiles than a limit of rounds would allow."""
+    grid = [[9.0] * 14, [0.0, *[5.0 - 0.1 * c for c in range(1, 13)], 9.0], [9.0] * 14]
+    dense, meta = grid_table(spark, {0: grid})
+    monkeypatch.setattr(h, "MAX_ROUNDS", 2, raising=False)
+    levels = lambda tile: {(r.row, r.col): (round(r.filled, 6), r.reachable) for r in h.fill_depressions(dense, meta, tile=tile).collect()}
+    assert levels(2) == levels(64)

@@ -13,6 +13,7 @@ from terrainflow.llm.common import join_ids, mix, text_batches, word_ids, word_s
 from terrainflow.llm.repeats import string_ids
 
 SYMBOLS = "#*$%&|<>"
+CAPITALS, SMALL = bytes(range(65, 91)), bytes(range(97, 123))
 # Phrases of lines that are boilerplate wherever they stand, in lower case.
 BOILERPLATE = ("licensed under", "released under the", "all rights reserved", "terms of service", "terms of use", "privacy policy", "cookie policy", "accept cookies", "javascript is disabled", "enable javascript", "sign up for our newsletter")
 
@@ -54,12 +55,10 @@ def line_fault(line: str, rules: LineRules) -> str | None:
     if "!!" in line and line.count("!!") > rules.shout_share * n:
         return "punctuation"
     if n >= rules.capital_words:
-        # a line in ordinary case differs from its upper-case form within a few letters
-        sample = line if line[:64].upper() == line[:64] or "!!" in line else ""
-        if sample:
-            upper, lower = sum(map(str.isupper, sample)), sum(map(str.islower, sample))
-            if upper > rules.capital_share * (upper + lower):
-                return "punctuation"
+        body = line.encode()
+        upper = len(body) - len(body.translate(None, CAPITALS))
+        if upper and upper > rules.capital_share * (upper + len(body) - len(body.translate(None, SMALL))):
+            return "punctuation"
     if n >= rules.repeated_words and sum(map(str.__eq__, words, words[1:])) > rules.most_repeated * n:
         return "boilerplate"
     low = line.lower()

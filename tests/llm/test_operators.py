@@ -381,6 +381,13 @@ def test_simhash_edges(spark):
     assert hashlib  # the digest helper above needs it
 
 
+def test_capitals_count_over_the_whole_line():
+    from terrainflow.llm.rules import LineRules, line_fault
+
+    assert line_fault("ordinary " + "SHOUTED WORDS " * 8 + "END", LineRules()) == "punctuation"
+    assert line_fault("SHOUTED WORDS AT THE START OF A LINE THAT GOES ON FOR QUITE A WHILE " + "in ordinary words " * 10, LineRules()) is None
+
+
 # --- pipeline -------------------------------------------------------------------------------------
 
 

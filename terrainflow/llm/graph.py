@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from terrainflow.llm.common import shared_checkpoint
 
 MAX_ROUNDS = 60
+#: Edges of a node from which its minimum is sent to all tasks instead of its edges to one, and how many such nodes at most.
+CROWDED, SENT = 5_000, 200_000
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -15,19 +17,32 @@ def _state(edges: DataFrame) -> tuple:
     return row.n, row.h
 
 
+def _with_lowest(edges: DataFrame, lowest: DataFrame) -> DataFrame:
+    """edges (a, b) joined with m of their a. Edges of a crowded node stay where they are.
+
+    Crowded nodes are at most the edges divided by CROWDED; beyond SENT of them the plain join takes over.
+    """
+    crowded = lowest.where(F.col("n") > CROWDED).select("a", "m")
+    found = crowded.limit(SENT + 1).count()
+    if not 0 < found <= SENT:
+        return edges.join(lowest.select("a", "m"), "a")
+    rest = edges.join(F.broadcast(crowded.select("a")), "a", "left_anti").join(lowest.where(F.col("n") <= CROWDED).select("a", "m"), "a")
+    return edges.join(F.broadcast(crowded), "a").unionByName(rest)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b), either way round -> (node, root): root is the smallest node that can be reached.
 
     Only nodes with an edge to another node are returned. Each round replaces the edges by edges to local
-    minima: minima are pre-aggregated, so a node with very many edges costs a skewed join at most. No link is
+    minima: minima are pre-aggregated, and the edges of a node with very many are not gathered. No link is
     held on the driver; each round is cut by a checkpoint.
     """
     edges = shared_checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(edges)
-    for _ in range(MAX_ROUNDS):
+    for _ in range(MAX_ROUNDS if state[0] else 0):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(lowest, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = _with_lowest(both, lowest).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(lowest, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lowest.select("a", F.col("m").alias("b")))
@@ -36,6 +51,7 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before:
             break
     else:
-        raise RuntimeError("components did not settle")
+        if state[0]:
+            raise RuntimeError("components did not settle")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

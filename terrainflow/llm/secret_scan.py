@@ -1,7 +1,9 @@
 """Secret scans: fixed patterns, and two character Markov models whose log-likelihood ratio finds random strings.
 
 DataFrame functions only. The models are trained on all documents: what the fixed patterns match are the samples
-labelled random, identifiers of IDENTIFIER characters and more outside of them are the samples labelled ordinary.
+labelled random, strings of IDENTIFIER outside of them, numbers and dates included, are the samples labelled ordinary, unless they
+mix digits and letters (MIXED).
+Work is linear in a text: strings are taken apart once, and positions are summed in chunks.
 A model is a table of ALPHABET x ALPHABET log-probabilities, so what reaches the driver has a fixed size.
 """
 
@@ -21,54 +23,92 @@ ASSIGN_VALUE = 12
 #: Strings that the models judge, those that train the ordinary one, and the ratio (natural logarithm) above which a string is a secret.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 IDENTIFIER = r"[A-Za-z0-9+/_=-]{12,}"
+#: Digits within letters or letters within digits: such an identifier is no sample of ordinary ones, as it may be random itself.
+MIXED = r"[A-Za-z][0-9]+[A-Za-z]|[0-9][A-Za-z]+[0-9]"
 RATIO = 12.0
 #: Weight of an even distribution in the model of random strings.
 EVEN = 0.3
 ALPHABET = 128
 
 SPAN = "array<struct<start:int,end:int,rank:int,kind:string>>"
+#: Entries whose running sum is built in one piece: arrays are copied when they grow.
+CHUNK = 128
+#: Steps of the search in sorted arrays, for up to 2^25 entries.
+STEPS = [1 << k for k in range(24, -1, -1)]
 
 
-def _matches(text: Column, pattern: str, kind: str, rank: int, keep) -> Column:
-    """Spans of the pattern's matches (leftmost, not overlapping) for which keep(match, value) holds, as array of SPAN.
+def _let(value: Column, f) -> Column:
+    """f(value), with value computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _sums_before(sizes: Column) -> Column:
+    """Of an array of ints (not empty) the sums of all entries before each one."""
+    start = lambda: F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / CHUNK).cast("int")), lambda k: F.slice(sizes, k * CHUNK + 1, F.lit(CHUNK)))
+    inner = F.transform(chunks, lambda c: F.aggregate(c, start(), step))
+
+    def joined(parts):
+        before = F.aggregate(F.transform(parts, lambda x: x["at"]), start(), step)["out"]
+        return F.flatten(F.zip_with(parts, before, lambda x, o: F.transform(x["out"], lambda y: y + o)))
+
+    return _let(inner, joined)
+
+
+def _below(ordered: Column, value: Column) -> Column:
+    """How many entries of a sorted array are smaller than value."""
+    more = lambda lo, step: F.when((lo + step <= F.size(ordered)) & (F.get(ordered, lo + step - 1) < value), lo + step).otherwise(lo)
+    return F.aggregate(F.array(*map(F.lit, STEPS)), F.lit(0), more)
+
+
+def _matches(text: Column, pattern: str, kind: str, rank: int, keep, finish) -> Column:
+    """finish(matches) for the pattern's matches (leftmost, not overlapping) for which keep(match) holds: structs of
+    start, end, rank, kind, found (the string).
 
     Split and extract walk over the same matches: a match starts after the pieces and matches before it.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if kind == "assign" else found
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if kind == "assign" else F.array().cast("array<string>")
     gaps = F.split(text, pattern, -1)
-    steps = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), F.transform(found, F.length).alias("size"), F.transform(values, F.length).alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+    steps = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), found.alias("found"), F.transform(values, F.length).alias("value"))
 
-    def step(state, s):
-        begin = state.at + s.gap
-        one = F.array(F.struct(begin.alias("start"), (begin + s["size"]).alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind")))
-        return F.struct((begin + F.coalesce(s["size"], F.lit(0))).alias("at"), F.when(keep(s), F.concat(state.spans, one)).otherwise(state.spans).alias("spans"))
+    def spans(v):
+        before = _sums_before(F.transform(v, lambda s: s["gap"] + F.coalesce(F.length(s["found"]), F.lit(0))))
+        placed = F.zip_with(v, before, lambda s, at: F.struct((at + s["gap"]).alias("start"), (at + s["gap"] + F.length(s["found"])).alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["found"].alias("found"), s["value"].alias("value")))
+        return finish(F.filter(placed, lambda s: s["found"].isNotNull() & keep(s)))
+
+    return F.when(F.rlike(text, F.lit(pattern)), _let(steps, spans)).otherwise(F.array().cast(SPAN))
 
-    spans = F.aggregate(steps, start, step, lambda s: s.spans)
-    return F.when(F.rlike(text, F.lit(pattern)), spans).otherwise(F.array().cast(SPAN))
+
+def _bare(spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank"), s["kind"].alias("kind")))
 
 
 def base_spans(text: Column) -> list[Column]:
     """Spans of assign, access and hex, each as array of SPAN in order."""
+    every = lambda s: F.lit(True)
     return [
-        _matches(text, ASSIGN, "assign", 0, lambda s: s.value >= ASSIGN_VALUE),
-        _matches(text, ACCESS, "access", 1, lambda s: s["size"].isNotNull()),
-        _matches(text, HEX, "hex", 2, lambda s: s["size"].isNotNull()),
+        _matches(text, ASSIGN, "assign", 0, lambda s: s["value"] >= ASSIGN_VALUE, _bare),
+        _matches(text, ACCESS, "access", 1, every, _bare),
+        _matches(text, HEX, "hex", 2, every, _bare),
     ]
 
 
+def _pairs(token: Column) -> Column:
+    """128 * character + next one, for all neighbours in a string of ASCII characters."""
+    return _let(F.split(token, ""), lambda c: F.zip_with(F.slice(c, F.lit(1), F.length(token) - 1), F.slice(c, F.lit(2), F.length(token) - 1), lambda x, y: F.ascii(x) * ALPHABET + F.ascii(y)))
+
+
 def markov_table(docs: DataFrame) -> list[float]:
     """ln p(next | character) of random strings less that of ordinary identifiers, at 128 * character + next."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     has = F.rlike(text, F.lit(f"{ASSIGN}|{ACCESS}|{HEX}"))
     values = F.when(has, F.concat(F.filter(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= ASSIGN_VALUE), F.regexp_extract_all(text, F.lit(ACCESS), F.lit(0)), F.regexp_extract_all(text, F.lit(HEX), F.lit(0)))).otherwise(F.array().cast("array<string>"))
     rest = F.when(has, F.regexp_replace(text, f"{ASSIGN}|{ACCESS}|{HEX}", " ")).otherwise(text)
-    words = F.filter(F.regexp_extract_all(rest, F.lit(IDENTIFIER), F.lit(0)), lambda w: ~F.rlike(w, F.lit("[0-9]")))
+    words = F.filter(F.regexp_extract_all(rest, F.lit(IDENTIFIER), F.lit(0)), lambda w: ~F.rlike(w, F.lit(MIXED)))
     samples = docs.select(F.explode(F.array(F.struct(F.lit(True).alias("random"), values.alias("v")), F.struct(F.lit(False).alias("random"), words.alias("v")))).alias("s"))
-    samples = samples.select("s.random", F.explode("s.v").alias("v"))
-    pairs = samples.select("random", "v", F.explode(F.sequence(F.lit(1), F.length("v") - 1)).alias("i"))
-    pairs = pairs.select("random", (F.ascii(F.substring("v", F.col("i"), F.lit(1))) * ALPHABET + F.ascii(F.substring("v", F.col("i") + 1, F.lit(1)))).alias("pair"))
+    pairs = samples.select("s.random", F.explode("s.v").alias("v")).select("random", F.explode(_pairs(F.col("v"))).alias("pair"))
     counts: dict[bool, dict[int, int]] = {True: {}, False: {}}
     for r in pairs.groupBy("random", "pair").agg(F.count("*").alias("n")).collect():  # at most 2 * 128 * 128 rows
         counts[r.random][r.pair] = r.n
@@ -99,16 +139,20 @@ def scan_secrets(docs: DataFrame, table: list[float] | None = None, ratio: float
     model = F.split(F.lit(",".join(f"{x:.9g}" for x in table)), ",").cast("array<double>")
     base = F.concat(*base_spans(text))
     found = docs.withColumn("secret_spans", base)
-    candidates = _matches(text, CANDIDATE, "markov", 3, lambda s: s["size"].isNotNull())
 
-    def score(s):
-        token = F.substring(text, s.start + 1, s.end - s.start)
-        places = F.sequence(F.lit(1), s.end - s.start - 1)
-        pair = lambda i: F.ascii(F.substring(token, i, F.lit(1))) * ALPHABET + F.ascii(F.substring(token, i + 1, F.lit(1)))
-        return F.aggregate(places, F.lit(0.0), lambda acc, i: acc + F.get(model, pair(i)))
+    def free(candidates):
+        def apart(starts, ends):
+            meets = lambda c: _below(starts, c["end"]) > _below(ends, c["start"] + 1)
+            return _bare(F.filter(candidates, lambda c: ~meets(c) & (score(c["found"]) > ratio)))
+
+        ordered = lambda side: F.array_sort(F.transform("secret_spans", lambda s: s[side]))
+        return _let(ordered("start"), lambda starts: _let(ordered("end"), lambda ends: apart(starts, ends)))
+
+    def score(token):
+        return F.aggregate(_pairs(token), F.lit(0.0), lambda acc, pair: acc + F.get(model, pair))
 
-    free = F.filter(candidates, lambda c: ~F.exists("secret_spans", lambda s: (s.start < c.end) & (c.start < s.end)) & (score(c) > ratio))
-    return found.withColumn("secret_spans", F.array_sort(F.concat("secret_spans", free)))
+    more = _matches(text, CANDIDATE, "markov", 3, lambda s: F.lit(True), free)
+    return found.withColumn("secret_spans", F.array_sort(F.concat("secret_spans", more)))
 
 
 def digest(spans: Column) -> Column:

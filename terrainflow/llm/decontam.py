@@ -1,9 +1,9 @@
 """Benchmark decontamination by spaced-seed hashing. DataFrame functions only.
 
 A mask selects some of the words of a short stretch and ignores the others; its hash is the same for two stretches
-that differ in ignored words only. The hashes of every position of every document meet those of the benchmark, and
-each hit is verified on its diagonal: some WINDOW words around it (the whole item, if shorter) must agree in at least
-SIMILARITY of the places.
+that differ in ignored words only. The hashes of every position of every document meet those of the benchmark, which
+are sent to the tasks in blocks of bounded size, so no key is gathered anywhere. Each hit is verified on its diagonal:
+some WINDOW words around it (the whole item, if shorter) must agree in at least SIMILARITY of the places.
 """
 
 from __future__ import annotations
@@ -11,14 +11,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Masks of weight 8 that outlast a substitution in every third, fourth and fifth word.
-MASKS = ("11011011011", "1110111011", "111101111")
 WINDOW = 13
 SIMILARITY = 0.8
-#: Items with fewer words than the shortest mask are looked up whole, from this many words on.
-SHORTEST = 5
-#: Seeds of the benchmark up to which they are sent to every task; beyond, both sides are shuffled by hash.
-BROADCAST_SEEDS = 2_000_000
+# Masks by number of words of a window (the whole item, if shorter than WINDOW). Whatever words a window of
+# that size may differ in at SIMILARITY (two of 10 to 13, one of 5 to 9), one of its masks lies somewhere in the window
+# without selecting any of them; a test goes through all cases. Windows under five words must be equal as a whole.
+MASKS = {
+    13: ("11101111", "1110100111", "1101001010011"),
+    12: ("11101011", "101100111", "1111011"),
+    11: ("111100011", "1101111", "1100011011"),
+    10: ("111011", "11010011", "11111"),
+    9: ("1111011", "1101111"),
+    8: ("111011", "110111"),
+    7: ("11111", "111011", "110111"),
+    6: ("1111", "11011"),
+    5: ("1111", "11101", "11011", "10111"),
+    4: ("1111",),
+    3: ("111",),
+    2: ("11",),
+    1: ("1",),
+}
+#: Seeds of the benchmark that are sent to every task at once (about 50 bytes each); more go in several blocks by hash.
+SENT_SEEDS = 1_000_000
+#: Words of all items up to which they are sent to every task.
+SENT_WORDS = 2_000_000
 
 
 def word_hashes(text: Column, ends: bool = True) -> Column:
@@ -33,41 +49,45 @@ def _seed(words: str, at: str, mask: str, number: int) -> Column:
     return F.when(F.col(at) + len(mask) <= F.size(words), F.xxhash64(F.lit(number), *chosen))
 
 
-def seeds_of(table: DataFrame, words: str, masks, keep: list[str]) -> DataFrame:
-    """One row per position and mask: keep, at, span, hash."""
+def seeds_of(table: DataFrame, words: str, masks: list[tuple[int, str]], keep: list[str]) -> DataFrame:
+    """One row per position and mask: keep, at, window, span, hash. masks: (words of a window, mask)."""
     # A filter on the size would be pushed below the projection that makes the words, which would then be made twice.
-    last = F.size(words) - min(map(len, masks))
+    last = F.size(words) - min(len(m) for _, m in masks)
     placed = table.select(*keep, words, F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("at"))
-    each = F.array(*[F.struct(F.lit(len(m)).alias("span"), _seed(words, "at", m, k).alias("hash")) for k, m in enumerate(masks)])
-    return placed.select(*keep, words, "at", F.explode(each).alias("s")).select(*keep, words, "at", "s.span", "s.hash").where("hash is not null")
+    each = F.array(*[F.struct(F.lit(n).alias("window"), F.lit(len(m)).alias("span"), _seed(words, "at", m, k).alias("hash")) for k, (n, m) in enumerate(masks)])
+    return placed.select(*keep, words, "at", F.explode(each).alias("s")).select(*keep, words, "at", "s.window", "s.span", "s.hash").where("hash is not null")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, least_words: int = 1) -> DataFrame:
     """docs (doc_id, text), benchmark (item_id, text) -> one row per document and item that overlap.
 
     Columns: doc_id, item_id, similarity (share of equal words in the best window), doc_start (word at which the item
-    would begin; may be negative), n_words (of the item). Null texts: empty, without hits. Items under SHORTEST words
-    are not searched. Null doc_id: one document of that name; null item_id likewise. Repeated rows and ties: one
-    row per pair of ids. Empty tables: empty result. Other columns are ignored.
+    would begin; may be negative), n_words (of the item). similarity: SIMILARITY or more, which the masks are made for.
+    Items with the same words are one, named by the smallest item_id (null if there is no other). Items without a word,
+    or with fewer than least_words, are not searched. Null texts: empty, without hits. Null doc_id: one document of that
+    name. Repeated rows and ties: one row per document and item. Empty tables: empty result. Other columns are ignored.
     """
+    if similarity < SIMILARITY:
+        raise ValueError(f"the masks find windows of similarity {SIMILARITY} and more")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), word_hashes(F.col("text").cast("string"), False).alias("words"))
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), word_hashes(F.col("text").cast("string")).alias("item")).where(F.size("item") >= SHORTEST).distinct()
-    shortest = min(map(len, MASKS))
-    sizes = [r.n for r in items.where(F.size("item") < shortest).select(F.size("item").alias("n")).distinct().collect()]  # at most a few mask lengths
-    masks = (*MASKS, *("1" * n for n in sorted(sizes)))
-    theirs = seeds_of(items, "item", masks, ["item_id"]).where(F.col("span").isin([len(m) for m in MASKS]) | (F.col("span") == F.size("item")))
-    theirs = theirs.select("item_id", "item", F.col("at").alias("item_at"), "span", "hash").distinct()
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), word_hashes(F.col("text").cast("string")).alias("item")).where(F.size("item") >= max(1, least_words))
+    items = items.groupBy("item").agg(F.min("item_id").alias("item_id")).withColumn("item_key", F.xxhash64("item", F.size("item")))
+    found = items.groupBy(F.least(F.lit(WINDOW), F.size("item")).alias("n")).agg(F.sum(F.size("item")).alias("words")).collect()  # at most WINDOW rows
+    masks = [(r.n, m) for r in sorted(found) for m in MASKS[r.n]] or [(WINDOW, m) for m in MASKS[WINDOW]]
+    theirs = seeds_of(items, "item", masks, ["item_key"]).where(F.col("window") == F.least(F.lit(WINDOW), F.size("item"))).select("item_key", F.col("at").alias("item_at"), "hash")
     # What a hit needs of its document: the words around it, not the whole array.
-    near_at = F.greatest(F.col("at") - window, F.lit(0))
-    near = [near_at.alias("near_at"), F.slice("words", near_at + 1, 2 * window).alias("near")]
+    near_at = F.greatest(F.col("at") - WINDOW, F.lit(0))
+    near = [near_at.alias("near_at"), F.slice("words", near_at + 1, 2 * WINDOW).alias("near")]
     ours = seeds_of(docs, "words", masks, ["doc_id"])
-    if theirs.count() <= BROADCAST_SEEDS:
-        hits = ours.join(F.broadcast(theirs), ["hash", "span"]).select("doc_id", "item_id", "item", "item_at", "span", "at", *near)
-    else:
-        hits = ours.select("doc_id", "hash", "span", "at", *near).join(theirs, ["hash", "span"])
+    blocks, hits = max(1, -(-sum(r.words * len(MASKS[r.n]) for r in found) // SENT_SEEDS)), None
+    for k in range(blocks):
+        part = theirs.where(F.pmod("hash", F.lit(blocks)) == k) if blocks > 1 else theirs
+        met = ours.join(F.broadcast(part), "hash").select("doc_id", "item_key", "item_at", "span", "at", *near)
+        hits = met if hits is None else hits.unionByName(met)
+    hits = hits.join(F.broadcast(items) if sum(r.words for r in found) <= SENT_WORDS else items, "item_key")
 
     diagonal = F.col("at") - F.col("item_at")  # word of the document at which the item would begin
-    size = F.least(F.lit(window), F.size("item"))
+    size = F.least(F.lit(WINDOW), F.size("item"))
     low = F.greatest(F.lit(0), F.col("item_at") + F.col("span") - size)
     high = F.least(F.size("item"), F.col("item_at") + size) - 1
 
@@ -76,10 +96,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, si
         return F.coalesce((F.get("item", j) == F.when((k >= 0) & (k < F.size("near")), F.get("near", k))).cast("int"), F.lit(0))
 
     equal = F.transform(F.sequence(low, high), same)
-    checked = hits.select("doc_id", "item_id", diagonal.alias("doc_start"), F.size("item").alias("n_words"), size.alias("size"), equal.alias("equal"))
+    checked = hits.select("doc_id", "item_id", "item_key", diagonal.alias("doc_start"), F.size("item").alias("n_words"), size.alias("size"), equal.alias("equal"))
     sums = F.transform(F.sequence(F.lit(1), F.size("equal") - F.col("size") + 1), lambda k: F.aggregate(F.slice("equal", k, F.col("size")), F.lit(0), lambda a, b: a + b))
-    checked = checked.select("doc_id", "item_id", "doc_start", "n_words", (F.array_max(sums) / F.col("size")).alias("similarity"))
+    checked = checked.select("doc_id", "item_id", "item_key", "doc_start", "n_words", (F.array_max(sums) / F.col("size")).alias("similarity"))
     # The threshold comes after the maximum: before it, the filter would move into the join and keep whole documents in its rows.
     good = F.col("similarity") >= similarity
-    best = checked.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.min(F.when(good, F.col("doc_start"))).cast("bigint").alias("doc_start"), F.max("n_words").cast("bigint").alias("n_words"))
-    return best.where(good)
+    best = checked.groupBy("doc_id", "item_key").agg(F.min("item_id").alias("item_id"), F.max("similarity").alias("similarity"), F.min(F.when(good, F.col("doc_start"))).cast("bigint").alias("doc_start"), F.max("n_words").cast("bigint").alias("n_words"))
+    return best.where(good).drop("item_key")

@@ -1,13 +1,16 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from terrainflow.llm import decontam
 from terrainflow.llm import queries as q
 from terrainflow.llm.chat import digests, escape, escape_role, format_conversations, read_back, unescape, unescape_role
 from terrainflow.llm.decontam import contaminated
@@ -190,6 +193,41 @@ def test_secrets_overlap_rules_and_redaction(spark):
     assert redact(out).columns == messy(spark).columns
 
 
+def test_secrets_in_long_texts(spark):
+    """Work grows with the text: one very long string, many matches, many candidates."""
+    rng = random.Random(2)
+    blob = "".join(rng.choice("ABCDEFGHIJKLMNOPabcdefghijklmnop0123456789+/") for _ in range(1_000_000))
+    many = " é ".join("password = abcdefghijkl%d" % i for i in range(30_000))
+    mixed = " ".join(("deadbeef%012d" % i) + " some_ordinary_identifier_%d" % i for i in range(30_000))
+    rows = [(1, blob), (2, many), (3, mixed)]
+    began = time.time()
+    out = {r.doc_id: r.secret_spans for r in scan_secrets(spark.createDataFrame(rows, DOCS)).collect()}
+    assert time.time() - began < 60
+    for d, t in rows[1:]:
+        assert ",".join(f"{s.kind}:{s.start}:{s.end}" for s in out[d] if s.kind != "markov") == base_secrets(t)
+    assert any(s.end - s.start == 1_000_000 for s in out[1]) or not out[1]
+
+
+def test_markov_spans_find_planted_strings(spark):
+    """Random strings without any pattern of their own, against names, paths, dates and numbers of the same lengths."""
+    rng = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    token = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    parts = "account user client server request response handler manager internal service default context message value update delete session config".split()
+    plain = lambda: rng.choice(["_", "-", "/"]).join(rng.choice(parts) for _ in range(4)) + rng.choice(["", "_v2", "-2024", "/10"])
+    dates = ["2024-01-01-to-2024-12-31", "2023-11-05/2023-11-30/archive", "1234567890-1234567899-0000"]
+    rows = [(i, f"token = {token(32)} and {plain()} then {plain()} {rng.choice(dates)}") for i in range(600)]
+    planted = {1000 + i: token(rng.choice([24, 32, 40])) for i in range(200)}
+    rows += [(d, f"it says {t} next to {plain()} on {rng.choice(dates)}") for d, t in planted.items()]
+    found, wrong = 0, 0
+    for r in scan_secrets(spark.createDataFrame(rows, DOCS)).collect():
+        for s in r.secret_spans:
+            if s.kind == "markov":
+                good = r.doc_id in planted and s.start == 8
+                found, wrong = found + good, wrong + (not good)
+    assert found >= 0.95 * len(planted) and wrong <= 0.02 * (found + wrong)
+
+
 # --- rules ----------------------------------------------------------------------------------------
 
 
@@ -255,29 +293,64 @@ def test_quality_edges(spark):
 
 
 def brute_leaks(docs, items):
+    """All (document, item) with a window of 13 words (the item, if shorter) on one diagonal of which 0.8 or more are equal."""
     words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
-    out = set()
+    number = defaultdict(lambda: len(number))
+    own = {d: np.array([number[w] for w in words(t)], int) for d, t in docs}
+    first = {}
     for i, t in items:
-        item = words(t)
-        size = min(13, len(item))
-        for d, text in docs:
-            own = words(text)
-            for a in range(-len(item) + size, len(own) - size + 1):
-                same = [0 <= a + j < len(own) and item[j] == own[a + j] for j in range(len(item))]
-                if len(item) >= 5 and any(sum(same[k : k + size]) >= 0.8 * size and sum(same[k : k + size]) >= size - 1 for k in range(len(item) - size + 1)):
+        key = tuple(number[w] for w in words(t))
+        first[key] = min(first.get(key, i), i)
+    out = set()
+    for item, i in first.items():
+        n, size = len(item), min(13, len(item))
+        for d, doc in own.items():
+            if n and len(doc):
+                padded = np.concatenate([np.full(n, -1), doc, np.full(n, -1)])
+                same = np.array([padded[j : j + len(doc) + n] == w for j, w in enumerate(item)])
+                sums = np.cumsum(np.concatenate([np.zeros((1, same.shape[1]), int), same]), axis=0)
+                if (sums[size:] - sums[:-size]).max() >= 0.8 * size:
                     out.add((d, i))
-                    break
     return out
 
 
 def test_decontamination(spark, docs):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     found = {(r.doc_id, r.item_id): r for r in q.op9_spaced_seeds(spark, SMALL).collect()}
-    assert brute_leaks(docs, items) <= set(found)
+    assert brute_leaks(docs, items) == set(found)
     exact = {(d, i) for d, t in docs for i, s in items if s and s in t}
     assert exact and exact <= set(found) and len(found) <= len(exact) + 3
 
 
+def test_masks_outlast_all_substitutions():
+    assert sorted(decontam.MASKS) == list(range(1, decontam.WINDOW + 1))
+    for n, masks in decontam.MASKS.items():
+        errors = n - next(k for k in range(n + 1) if k >= decontam.SIMILARITY * n)
+        placed = [{o + i for i, c in enumerate(m) if c == "1"} for m in masks for o in range(n - len(m) + 1)]
+        for gone in combinations(range(n), errors):
+            assert any(not p & set(gone) for p in placed), (n, gone)
+
+
+@pytest.mark.parametrize("sent", [1_000_000, 40])
+def test_decontamination_of_items_of_all_sizes(spark, monkeypatch, sent):
+    """Every size, substitutions up to and beyond the threshold, at the ends of a text too; seeds in one block or many."""
+    monkeypatch.setattr(decontam, "SENT_SEEDS", sent)
+    monkeypatch.setattr(decontam, "SENT_WORDS", sent)
+    rng = random.Random(sent)
+    items = [(n, [f"i{n}w{k}" for k in range(n)]) for n in (*range(1, 18), 40)]
+    rows = []
+    for n, item in items:
+        for errors in (0, 1, 2, 3, 4, 9):
+            text = list(item)
+            for k in rng.sample(range(n), min(errors, n)):
+                text[k] = "x%d" % rng.randrange(10**6)
+            noise = [["y%d" % rng.randrange(10**6) for _ in range(rng.choice([0, 3]))] for _ in range(2)]
+            rows.append((len(rows), " ".join([*noise[0], *text, *noise[1]])))
+    bench = [(n, " ".join(t)) for n, t in items] + [(1000, " ".join(items[3][1]))]
+    got = contaminated(spark.createDataFrame(rows, DOCS), spark.createDataFrame(bench, "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == brute_leaks(rows, bench) and len(got) == len({(r.doc_id, r.item_id) for r in got})
+
+
 def test_decontamination_tolerates_substitutions(spark):
     rng = random.Random(4)
     words = [f"word{i}" for i in range(400)]

@@ -16,7 +16,7 @@ DIM = 16
 CLASSES = 32
 PLACES = 32
 SLOTS = CLASSES * PLACES
-BATCH = 16
+BATCH = 256
 #: Windows that are scored at once.
 SCORED = 1536
 
@@ -69,12 +69,6 @@ def hidden(p, ids):
     return u, (h, q, k, v, s, total, o)
 
 
-def _log_softmax(x):
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
-
-
 _ONES = np.ones(max(CLASSES, PLACES), np.float32)
 
 
@@ -110,74 +104,93 @@ def log_probabilities(p, u, current, target):
     return out
 
 
-def gradients(p, base, ids, target):
-    """Gradients of the mean negative log-probability of the targets (windows x WIDTH each). Negative targets do not count."""
+def gradients(p, base, ids, target, by_class=None):
+    """Gradients of the mean negative log-probability of the targets (windows x WIDTH each). Negative targets do not count.
+
+    by_class: base["slot"] with classes first, where it is at hand.
+    """
     ids = np.maximum(ids, 0)
+    by_class = np.ascontiguousarray(base["slot"].transpose(1, 0, 2)) if by_class is None else by_class
     u, (h, q, k, v, a, total, o) = hidden(p, ids)
     a /= total
     flat = h.reshape(-1, DIM)
-    target, current = target.ravel(), ids.ravel()
-    counts = target >= 0
-    n = max(int(counts.sum()), 1)
-    c, place = np.where(counts, target // PLACES, CLASSES), target % PLACES
+    current = ids.ravel()
+    order = np.flatnonzero(target.ravel() >= 0)
+    n = max(len(order), 1)
+    c = target.ravel()[order] // PLACES
+    by = np.argsort(c.astype(np.int8), kind="stable")
+    order, c = order[by], c[by]
+    edges = np.searchsorted(c, np.arange(CLASSES + 1))
+    place, now, us = target.ravel()[order] % PLACES, current[order], u[order]
     g = {}
-    d = np.exp(_log_softmax(u @ p["class_w"] + p["class_b"] + base["class"][current]))
-    d[np.flatnonzero(counts), c[counts]] -= 1
-    d[~counts] = 0
-    d /= n
-    g["class_w"], g["class_b"] = u.T @ d, d.sum(axis=0)
-    du = d @ p["class_w"].T
+    d = us @ p["class_w"]
+    d += p["class_b"]
+    d += np.take(base["class"], now, axis=0)
+    d = _errors(d, c, n)
+    g["class_w"], g["class_b"] = us.T @ d, d.sum(axis=0)
+    dus = d @ p["class_w"].T
     g["slot_w"], g["slot_b"] = np.zeros_like(p["slot_w"]), np.zeros_like(p["slot_b"])
-    order = np.argsort(c.astype(np.int8), kind="stable")
-    edges = np.searchsorted(c[order], np.arange(CLASSES + 1))
     for j in range(CLASSES):
-        own = order[edges[j] : edges[j + 1]]
-        if len(own):
-            d = np.exp(_log_softmax(u[own] @ p["slot_w"][j] + p["slot_b"][j] + base["slot"][current[own], j]))
-            d[np.arange(len(own)), place[own]] -= 1
-            d /= n
-            g["slot_w"][j], g["slot_b"][j] = u[own].T @ d, d.sum(axis=0)
-            du[own] += d @ p["slot_w"][j].T
+        lo, hi = edges[j], edges[j + 1]
+        if hi > lo:
+            d = us[lo:hi] @ p["slot_w"][j]
+            d += p["slot_b"][j]
+            d += np.take(by_class[j], now[lo:hi], axis=0)
+            d = _errors(d, place[lo:hi], n)
+            g["slot_w"][j], g["slot_b"][j] = us[lo:hi].T @ d, d.sum(axis=0)
+            dus[lo:hi] += d @ p["slot_w"][j].T
+    du = np.zeros_like(u)
+    du[order] = dus
     g["last"], g["mix"] = flat.T @ du, o.reshape(-1, DIM).T @ du
     dh = du @ p["last"].T
     do = (du @ p["mix"].T).reshape(h.shape)
     da = do @ v.transpose(0, 2, 1)
     dv = a.transpose(0, 2, 1) @ do
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-    for name, grad in (("query", ds @ k * np.float32(DIM**-0.5)), ("key", ds.transpose(0, 2, 1) @ q), ("value", dv)):
+    da -= (do * o).sum(axis=2, keepdims=True)  # what the softmax takes off is the same for a whole row
+    da *= a
+    dk = da.transpose(0, 2, 1) @ q
+    dq = da @ k
+    dq *= np.float32(DIM**-0.5)
+    for name, grad in (("query", dq), ("key", dk), ("value", dv)):
         grad = grad.reshape(-1, DIM)
         g[name] = flat.T @ grad
         dh += grad @ p[name].T
     g["place"] = dh.reshape(h.shape).sum(axis=0)
-    order = np.argsort(ids.ravel(), kind="stable")
-    slots, begin = np.unique(ids.ravel()[order], return_index=True)
-    g["embed"] = np.zeros_like(p["embed"])
-    g["embed"][slots] = np.add.reduceat(dh[order], begin, axis=0)
+    at = current[:, None] * DIM + np.arange(DIM)
+    g["embed"] = np.bincount(at.ravel(), dh.ravel(), SLOTS * DIM).astype(np.float32).reshape(SLOTS, DIM)
     return g
 
 
+def _errors(x, place, n):
+    """Of logits near log-probabilities (which need no shift): softmax less the one at place, over n."""
+    np.exp(x, out=x)
+    x /= (x @ _ONES[: x.shape[1]])[:, None] * np.float32(n)
+    x.ravel()[np.arange(0, x.size, x.shape[1]) + place] -= np.float32(1 / n)
+    return x
+
+
 def train(p, base, windows, rate):
     """One pass of Adam over windows (n x WIDTH + 1 slots) from the given parameters; returns new ones."""
     p = {k: x.copy() for k, x in p.items()}
+    by_class = np.ascontiguousarray(base["slot"].transpose(1, 0, 2))
     first, second = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
     for step, lo in enumerate(range(0, len(windows), BATCH), 1):
         part = windows[lo : lo + BATCH].astype(np.int64)
         warm = rate * min(1.0, step / 10)
-        for k, g in gradients(p, base, part[:, :-1], part[:, 1:]).items():
+        for k, g in gradients(p, base, part[:, :-1], part[:, 1:], by_class).items():
             first[k] += (g - first[k]) * np.float32(0.1)
             second[k] += (g * g - second[k]) * np.float32(0.01)
             p[k] -= np.float32(warm / (1 - 0.9**step)) * first[k] / (np.sqrt(second[k] / np.float32(1 - 0.99**step)) + np.float32(1e-7))
     return p
 
 
-def score(p, base, slots, first):
-    """Natural log-probability of each sequence: slots end to end, `first` the index of each one's first (one more entry than sequences).
-
-    The first slot of a sequence is its given start; every later one is scored once, by the first overlapping window
+def score_each(p, base, slots, first):
+    """Natural log-probability of every slot but the first of each sequence, in order: slots end to end, `first` the
+    index of each sequence's first (one more entry than sequences). Each is scored once, by the first overlapping window
     that holds it.
     """
     p, slots = ready(p, base), slots.astype(np.int32)
-    out = np.zeros(len(first) - 1)
+    out = np.zeros(len(slots) - (len(first) - 1))
     size = np.diff(first) - 1  # scored slots, and inputs that predict them
     count = np.where(size > WIDTH, 1 + -(-(size - WIDTH) // STRIDE), 1)
     owner = np.repeat(np.arange(len(size)), count)
@@ -190,6 +203,21 @@ def score(p, base, slots, first):
         u, _ = hidden(p, slots[index])
         fresh = fresh.ravel()
         at = index.ravel()[fresh]
-        value = log_probabilities(p, u[fresh], slots[at], slots[at + 1])
-        out += np.bincount(np.repeat(own, WIDTH)[fresh], value, minlength=len(out))
+        out[at - np.repeat(own, WIDTH)[fresh]] = log_probabilities(p, u[fresh], slots[at], slots[at + 1])
     return out
+
+
+def score_prior(base, slots, first):
+    """As score_each, by the prior alone."""
+    slots = slots.astype(np.int64)
+    inputs = np.ones(len(slots), bool)
+    inputs[first[1:] - 1] = False
+    at = np.flatnonzero(inputs)
+    c, place = slots[at + 1] // PLACES, slots[at + 1] % PLACES
+    return base["class"][slots[at], c].astype(float) + base["slot"][slots[at], c, place]
+
+
+def score(p, base, slots, first):
+    """Sums of score_each by sequence."""
+    size = np.diff(first) - 1
+    return np.bincount(np.repeat(np.arange(len(size)), size), score_each(p, base, slots, first), minlength=len(size))

@@ -11,6 +11,7 @@ parameter block. Scoring cuts texts into overlapping windows and scores each sub
 from __future__ import annotations
 
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,10 @@ SUBWORDS = 50257
 #: Keys of counts other than of single subwords: pairs in a word, first and last subwords of words.
 PAIR, FIRST, LAST = 1 << 40, 1 << 41, 1 << 42
 ROUNDS = (0.02, 0.014, 0.008, 0.004)
+#: Bytes of distinct words (with 100 for each one) that a task remembers the ids of.
+REMEMBERED = 64 << 20
+#: Share of the counted words in what the score is mixed from; the attention model has the rest.
+WORD_SHARE = 0.5
 #: A place of a window after the end of its document.
 PADDING = -1
 #: Numbers in a block of parameters.
@@ -74,6 +79,54 @@ def encode_words(encode, begins: np.ndarray, words: list[bytes]) -> tuple[np.nda
     return np.array([i for x in found for i in x]), np.array([len(x) for x in found])
 
 
+class WordEncoder:
+    """Ids of words, each after a space; words met before are looked up."""
+
+    def __init__(self, path: str):
+        self.encode, self.begins = encoder(path).encode_ordinary, np.zeros(SUBWORDS, bool)
+        self.begins[[i for b, i in load_ranks(path).items() if b[:1] == b" "]] = True
+        self.forget()
+
+    def forget(self):
+        self.place, self.held = {}, 0
+        self.ids, self.starts, self.sizes = (np.empty(0, np.int64) for _ in range(3))
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids end to end, and how many each word has."""
+        if self.held > REMEMBERED:
+            self.forget()
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            fresh = list(dict.fromkeys(words[i] for i in missing))
+            flat, sizes = encode_words(self.encode, self.begins, fresh)
+            self.place.update(zip(fresh, range(len(self.sizes), len(self.sizes) + len(fresh)), strict=True))
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+            self.ids, self.sizes = np.concatenate([self.ids, flat]), np.concatenate([self.sizes, sizes])
+            self.held += sum(map(len, fresh)) + 100 * len(fresh)
+            at[missing] = [self.place[words[i]] for i in missing]
+        sizes = self.sizes[at]
+        return self.ids[np.repeat(self.starts[at] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())], sizes
+
+
+def sequences(encode: WordEncoder, body: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts end to end: all ids (each text between two ends), index of each text's first, ids of each word, words of each text."""
+    words, n_words = [], []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        own = body[a:b].split()  # bytes: at the six separators only
+        words += own
+        n_words.append(len(own))
+    n_words = np.array(n_words, np.int64)
+    flat, sizes = encode(words) if words else (np.empty(0, np.int64),) * 2
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    edges = np.concatenate([[0], np.cumsum(n_words)])
+    n = upto[edges[1:]] - upto[edges[:-1]]
+    first = np.concatenate([[0], np.cumsum(n + 2)])
+    out = np.full(first[-1], END_ID)
+    out[np.repeat(first[:-1] + 1 - upto[edges[:-1]], n) + np.arange(len(flat))] = flat
+    return out, first, sizes, n_words
+
+
 def held_out_number(doc) -> bool:
     """Rows that nothing is learned from: crc32 of the id as text is 2 modulo 7, or there is no id."""
     return doc is None or zlib.crc32(str(doc).encode()) % 7 == 2
@@ -245,7 +298,7 @@ def _stretches(path: str, slots, rounds: int):
     width = attention.WIDTH
 
     def run(batches):
-        encode, known = encoder(path).encode_ordinary, slots.value.slot
+        encode, known = WordEncoder(path), slots.value.slot
         held: list[list] = [[] for _ in range(rounds)]
 
         def send(k):
@@ -255,12 +308,12 @@ def _stretches(path: str, slots, rounds: int):
 
         def items():
             for batch, lo, hi, data, offsets in text_batches(batches):
-                docs, body = batch.column(0).slice(lo, hi - lo).to_pylist(), _UPPER[data].tobytes()
-                for doc, a, b in zip(docs, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                docs = batch.column(0).slice(lo, hi - lo).to_pylist()
+                every, first, _, _ = sequences(encode, _UPPER[data].tobytes(), offsets)
+                for doc, a, b in zip(docs, first[:-1].tolist(), first[1:].tolist(), strict=True):
                     if held_out_number(doc):
                         continue
-                    words = body[a:b].split()
-                    found = np.array([END_ID, *(encode(" " + b" ".join(words).decode()) if words else []), END_ID])
+                    found = every[a:b]
                     n = -(-(len(found) - 1) // width)
                     tiled = np.full(n * width + 1, PADDING, np.int16)
                     tiled[: len(found)] = known[found]
@@ -373,41 +426,47 @@ def _answers(counted: pa.Table, asked: pa.Table) -> pa.Table:
     return pa.Table.from_batches(_rows(out), schema=ARROW_ROWS)
 
 
-OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-ARROW_OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, prior_score double"
+ARROW_OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("prior_score", pa.float64())])
+
+
+def mixed(model: np.ndarray, counted: np.ndarray) -> np.ndarray:
+    """Natural log-probability of tokens under the mixture; counted: -inf for unknown words."""
+    return np.logaddexp(np.log(1 - WORD_SHARE) + model, np.log(WORD_SHARE) + counted)
 
 
 def _score(buckets: int, path: str, model, tokens: int, distinct: int):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         slots, base, p = model.value
-        encode = encoder(path).encode_ordinary
+        encode = WordEncoder(path)
         blocks, known, places = bucket_words(texts, True)
         counts = np.zeros(len(known), np.int64)
         bucket = (known % np.uint64(buckets)).astype(np.int64)
         for payload in answers.column("payload").to_pylist():
             raw = widen(payload)
             counts[bucket == int(np.frombuffer(raw, np.int64, 1)[0])] = from_planes(raw, (len(raw) - 8) // 8, 8).view(np.int64)
-        value = np.log10((counts + 1) / (tokens + distinct + 1))
+        value = np.log((counts + 1) / (tokens + distinct + 1))
         end = int(np.searchsorted(known, np.uint64(END_WORD)))
         out, done = [], 0
-        for docs, valid, data, offsets, ids, first in blocks:
-            at = places[done : done + len(ids)]
-            done += len(ids)
-            sums = lambda x, first=first: np.array([x[a:b].sum() for a, b in zip(first[:-1], first[1:], strict=True)])
-            unigram = sums(value[at]) + value[end]
-            n_known = sums((counts[at] > 0).astype(np.int64)) + int(counts[end] > 0)
-            body, sequences, rare = data.tobytes(), [], []
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                words = body[a:b].split()  # bytes: at the six separators only
-                ids = encode(" " + b" ".join(words).decode()) if words else []
-                ids.append(END_ID)
-                found = np.array([END_ID, *ids])
-                sequences.append(slots.slot[found])
-                rare.append(slots.rare[found[1:]].sum())
-            begin = np.concatenate([[0], np.cumsum([len(s) for s in sequences])])
-            score = (attention.score(p, base, np.concatenate(sequences), begin) + np.array(rare)) / np.log(10)
+        for docs, valid, data, offsets, _, first in blocks:
+            at = places[done : done + first[-1]]
+            done += first[-1]
+            found, begin, sizes, n_words = sequences(encode, data.tobytes(), offsets)
+            # Tokens: the words of each text, then its end.
+            is_word = np.ones(len(at) + len(docs), bool)
+            last = np.cumsum(n_words + 1) - 1
+            is_word[last] = False
+            token, length = np.full(len(is_word), end), np.ones(len(is_word), np.int64)
+            token[is_word], length[is_word] = at, sizes
+            by_token, by_text = np.cumsum(length) - length, last - n_words
+            sums = lambda x, where: np.add.reduceat(x, where)
+            targets = np.ones(len(found), bool)
+            targets[begin[:-1]] = False
+            rare, slot = slots.rare[found[targets]], slots.slot[found]
+            counted = np.where(counts[token] > 0, value[token], -np.inf)
+            scores = [sums(mixed(sums(x + rare, by_token), counted), by_text) / np.log(10) for x in (attention.score_each(p, base, slot, begin), attention.score_prior(base, slot, begin))]
             ids_or_none = [int(d) if v else None for d, v in zip(docs, valid, strict=True)]
-            columns = [ids_or_none, [held_out_number(d) for d in ids_or_none], np.diff(first) + 1, n_known, np.full(len(docs), tokens), unigram, score]
+            columns = [ids_or_none, [held_out_number(d) for d in ids_or_none], n_words + 1, sums((counts[token] > 0).astype(np.int64), by_text), np.full(len(docs), tokens), sums(value[token], by_text) / np.log(10), *scores]
             out.append(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW_OUT, strict=True)], schema=ARROW_OUT))
         return pa.Table.from_batches(out, schema=ARROW_OUT)
 
@@ -415,11 +474,12 @@ def _score(buckets: int, path: str, model, tokens: int, distinct: int):
 
 
 def score_documents(docs: DataFrame, ranks: str | None = None) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, one row per input row.
+    """docs (doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, prior_score, one row per input row.
 
     Learned from rows whose id is not held out (held_out_number); a null doc_id is scored and held out. A-Z is
     lower-cased; tokens are words, then one end. base_score: unigram with add-one smoothing. score: log10 probability
-    of the words and the end under the attention model. Null or empty text: the end alone. Repeated rows: each is
+    of the words and the end: the attention model spells each word, and its probability is mixed with that of the counted
+    word (WORD_SHARE). prior_score: the same without the attention, so score less prior_score is what it adds. Null or empty text: the end alone. Repeated rows: each is
     counted and scored. Ties (equal subword counts): the smaller id first. Empty table: empty result. Other columns
     are ignored.
     """

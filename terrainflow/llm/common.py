@@ -21,15 +21,20 @@ _BASE = 0x9E3779B97F4A7C15
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df in the folder that the cluster names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; where all tasks run on this machine and it names none, one of its own."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if folder is None and context.master != "local" and not context.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder or tempfile.mkdtemp(prefix="spark-checkpoint-")
+
 
-    Only where that setting is missing (tests, a laptop) a folder of its own is set.
-    """
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage of df in the folder that the cluster names in spark.checkpoint.dir."""
     context = df.sparkSession.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

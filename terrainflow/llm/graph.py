@@ -9,7 +9,9 @@ from terrainflow.llm.common import shared_checkpoint
 
 MAX_ROUNDS = 60
 #: Edges of a node from which its minimum is sent to all tasks instead of its edges to one, and how many such nodes at most.
-CROWDED, SENT = 5_000, 200_000
+CROWDED, SENT = 50_000, 200_000
+#: Edges for each partition of a checkpoint.
+PART = 100_000
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -17,13 +19,13 @@ def _state(edges: DataFrame) -> tuple:
     return row.n, row.h
 
 
-def _with_lowest(edges: DataFrame, lowest: DataFrame) -> DataFrame:
-    """edges (a, b) joined with m of their a. Edges of a crowded node stay where they are.
+def _with_lowest(edges: DataFrame, lowest: DataFrame, size: int) -> DataFrame:
+    """edges (a, b), `size` in all, joined with m of their a. Edges of a crowded node stay where they are.
 
     Crowded nodes are at most the edges divided by CROWDED; beyond SENT of them the plain join takes over.
     """
     crowded = lowest.where(F.col("n") > CROWDED).select("a", "m")
-    found = crowded.limit(SENT + 1).count()
+    found = crowded.limit(SENT + 1).count() if size > CROWDED else 0
     if not 0 < found <= SENT:
         return edges.join(lowest.select("a", "m"), "a")
     rest = edges.join(F.broadcast(crowded.select("a")), "a", "left_anti").join(lowest.where(F.col("n") <= CROWDED).select("a", "m"), "a")
@@ -42,11 +44,11 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS if state[0] else 0):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-        large = _with_lowest(both, lowest).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = _with_lowest(both, lowest, 2 * state[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(lowest, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lowest.select("a", F.col("m").alias("b")))
-        edges = shared_checkpoint(small.distinct())
+        edges = shared_checkpoint(small.distinct().coalesce(1 + state[0] // PART))  # rounds never add edges
         before, state = state, _state(edges)
         if state == before:
             break

@@ -58,7 +58,7 @@ def segment_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y
     return F.sqrt(ex * ex + ey * ey)
 
 
-def distances(points: DataFrame, segments: DataFrame, within: float | None = None, bin_size: float = BIN) -> DataFrame:
+def distances(points: DataFrame, segments: DataFrame, within: float | None = None, bin_size: float | None = None) -> DataFrame:
     """points (site_id, id, x, y), segments of features -> site_id, id, kind, feature_id, distance; 0 inside an area (holes are outside).
 
     within: only features up to that distance, found through bins that the widened box of a segment touches, so the
@@ -71,6 +71,7 @@ def distances(points: DataFrame, segments: DataFrame, within: float | None = Non
     if within is None:
         near = p.join(segments, "site_id")
     else:
+        bin_size = max(BIN, within) if bin_size is None else bin_size  # a short segment then touches nine bins at most
         cell = lambda c: F.floor(c / bin_size)
         low = lambda a, b: cell(F.least(a, b) - within)
         high = lambda a, b: cell(F.greatest(a, b) + within)

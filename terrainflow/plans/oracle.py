@@ -94,7 +94,7 @@ def _paren(x: str) -> str:
     return f"({x})"
 
 
-POINTS = f"{CELLS}, points AS (SELECT site_id, (r * 32 + c)::BIGINT AS id, 500000.0::DOUBLE + 1000 * site_id + 5.0::DOUBLE * c AS x, 2350000.0::DOUBLE + 5.0::DOUBLE * r AS y FROM cells WHERE r % 8 = 3 AND c % 8 = 5)"
+POINTS = f"{CELLS}, points AS (SELECT site_id, (r * 32 + c)::BIGINT AS id, 500000.0::DOUBLE + 1000 * site_id + 5.0::DOUBLE * c AS x, 2350000.0::DOUBLE + 5.0::DOUBLE * r AS y FROM cells WHERE z IS NOT NULL)"
 NEAREST = f"""{POINTS},
 b AS (SELECT (c_custkey // 100)::BIGINT AS site_id, c_custkey::BIGINT AS id, 500000.0::DOUBLE + 1000 * (c_custkey // 100) + (c_custkey * 37) % 311 - 75 AS x, 2350000.0::DOUBLE + (c_custkey * 53) % 317 - 75 AS y FROM customer),
 sup AS (SELECT (s_suppkey // 7)::BIGINT AS site_id, s_suppkey::BIGINT AS id, 500000.0::DOUBLE + 1000 * (s_suppkey // 7) + (s_suppkey * 29) % 160 AS x, 2350000.0::DOUBLE + (s_suppkey * 41) % 160 AS y, (5 + s_suppkey % 20)::DOUBLE AS half FROM supplier),
@@ -124,6 +124,7 @@ def _with(ctes: str, select: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     r6 = lambda x, name: f"round({x}, 6) AS {name}"
+    r9 = lambda x, name: f"round({x}, 9) AS {name}"  # noqa: E731  scores with a few decimals may stand on half a unit of the sixth
     pct = lambda v, p: f"quantile_cont({v}, {p})"
     nearest = "SELECT p.site_id, p.id, round(min(d) FILTER (kind = 'water'), 6) AS water_distance_m, round(min(d) FILTER (kind = 'road'), 6) AS road_distance_m, round(min(d) FILTER (kind = 'building'), 6) AS building_distance_m FROM points p LEFT JOIN {} d ON d.site_id = p.site_id AND d.id = p.id GROUP BY 1, 2"
     return {
@@ -154,17 +155,17 @@ def oracle_sql() -> dict[str, str]:
         "hydrology_quality": _with(FLOW, "SELECT site_id, valid_cells, sink_cells, edge_cells, round(sf, 6) AS sink_fraction, round(score, 6) AS hydrology_score, CASE WHEN score >= 0.85 AND sink_cells = 0 AND ef <= 0.5 THEN 'good' WHEN score >= 0.65 THEN 'acceptable' ELSE 'poor' END AS hydrology_status, CASE WHEN sf > 0.10 THEN 'high' WHEN sf > 0.03 THEN 'moderate' ELSE 'low' END AS sink_level FROM (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.35::DOUBLE + 0.35::DOUBLE + 0.20::DOUBLE * (1 - least(2 * sf, 1.0::DOUBLE)) + 0.10::DOUBLE - least(0.5::DOUBLE * ef, 0.5::DOUBLE))) AS score FROM (SELECT site_id, count(*) AS valid_cells, (count(*) FILTER (flow_dir < 0 AND NOT ring))::BIGINT AS sink_cells, (count(*) FILTER (ring))::BIGINT AS edge_cells, (count(*) FILTER (flow_dir < 0 AND NOT ring)) / count(*)::DOUBLE AS sf, (count(*) FILTER (ring)) / count(*)::DOUBLE AS ef FROM flow WHERE z IS NOT NULL GROUP BY 1))"),
         "local_maxima": _with(ACC, "SELECT f.site_id, f.r AS row, f.c AS col, a.accumulation FROM flow f JOIN acc a ON a.site_id = f.site_id AND a.cell = f.cell WHERE NOT EXISTS (SELECT 1 FROM flow g JOIN acc b ON b.site_id = g.site_id AND b.cell = g.cell WHERE g.site_id = f.site_id AND g.r BETWEEN f.r - 1 AND f.r + 1 AND g.c BETWEEN f.c - 1 AND f.c + 1 AND b.accumulation > a.accumulation)"),
         "d8_wide": _with(FLOW_WIDE, "SELECT r AS row, (count(*) FILTER (flow_dir >= 0))::BIGINT AS routed, (count(*) FILTER (z IS NOT NULL AND flow_dir < 0 AND NOT ring))::BIGINT AS sinks FROM flow GROUP BY 1"),
-        "contour_consistency": _with(f"{CELLS}, e AS (SELECT site_id, (c % 4) * 2.0::DOUBLE AS e FROM cells WHERE z IS NOT NULL AND (r * 32 + c) % 3 = 0), m AS (SELECT site_id, count(*) AS n, avg(e) AS mae, sqrt(avg(e * e)) AS rmse, max(e) AS mx, avg((e <= 1)::INT) AS w1, avg((e <= 5)::INT) AS w5 FROM e GROUP BY 1)", "SELECT site_id, n AS sampled_points, round(mae, 6) AS mae_m, round(rmse, 6) AS rmse_m, mx AS max_error_m, round(w1, 6) AS within_1m, round(w5, 6) AS within_5m, round(w1 + 0.5 * greatest(w5 - w1, 0), 6) AS contour_score FROM m"),
+        "contour_consistency": _with(f"{CELLS}, e AS (SELECT site_id, (c % 4) * 2.0::DOUBLE AS e FROM cells WHERE z IS NOT NULL), m AS (SELECT site_id, count(*) AS n, avg(e) AS mae, sqrt(avg(e * e)) AS rmse, max(e) AS mx, avg((e <= 1)::INT) AS w1, avg((e <= 5)::INT) AS w5 FROM e GROUP BY 1)", "SELECT site_id, n AS sampled_points, round(mae, 6) AS mae_m, round(rmse, 6) AS rmse_m, mx AS max_error_m, round(w1, 6) AS within_1m, round(w5, 6) AS within_5m, round(w1 + 0.5 * greatest(w5 - w1, 0), 6) AS contour_score FROM m"),
         "features_in_bbox": "SELECT request_id, count(*) AS n FROM (SELECT (500000 + 1000 * (c_custkey // 100) + (c_custkey * 37) % 311 - 75) / 1e4::DOUBLE AS x, (2350000 + (c_custkey * 53) % 317 - 75) / 1e5::DOUBLE AS y FROM customer) b JOIN (SELECT unnest(range(4))::BIGINT AS request_id) q ON x BETWEEN 50.0 + request_id AND 50.9 + request_id AND y BETWEEN 23.0 AND 23.5003 + request_id / 1000.0 GROUP BY 1",
-        "clip_relations": "WITH inside AS (SELECT c_custkey AS node_id FROM customer WHERE c_custkey % 37 BETWEEN 3 AND 6 AND c_custkey % 100 BETWEEN 10 AND 14), wn AS (SELECT DISTINCT o_orderkey % 2000 AS way_id, o_custkey AS node_id FROM orders), m AS (SELECT DISTINCT o_orderkey % 40 AS relation_id, o_orderkey % 2000 AS way_id FROM orders WHERE o_orderkey % 2000 < 300 AND o_orderkey % 40 < 30), w1 AS (SELECT DISTINCT way_id FROM wn WHERE node_id IN (SELECT node_id FROM inside)), rel AS (SELECT DISTINCT relation_id FROM m WHERE way_id IN (SELECT way_id FROM w1)), w2 AS (SELECT way_id FROM w1 UNION SELECT way_id FROM m WHERE relation_id IN (SELECT relation_id FROM rel)), n2 AS (SELECT node_id FROM inside UNION SELECT node_id FROM wn WHERE way_id IN (SELECT way_id FROM w2)) SELECT 'node' AS kind, count(*) AS n FROM n2 UNION ALL SELECT 'way', count(*) FROM w2 UNION ALL SELECT 'relation', count(*) FROM rel",
+        "clip_relations": "WITH inside AS (SELECT c_custkey AS node_id FROM customer WHERE c_custkey % 37 BETWEEN 3 AND 6 AND c_custkey % 100 BETWEEN 10 AND 14), wn AS (SELECT DISTINCT o_orderkey AS way_id, o_custkey AS node_id FROM orders), m AS (SELECT DISTINCT o_orderkey % 40 AS relation_id, o_orderkey AS way_id FROM orders WHERE o_orderkey % 40 < 30), w1 AS (SELECT DISTINCT way_id FROM wn WHERE node_id IN (SELECT node_id FROM inside)), rel AS (SELECT DISTINCT relation_id FROM m WHERE way_id IN (SELECT way_id FROM w1)), w2 AS (SELECT way_id FROM w1 UNION SELECT way_id FROM m WHERE relation_id IN (SELECT relation_id FROM rel)), n2 AS (SELECT node_id FROM inside UNION SELECT node_id FROM wn WHERE way_id IN (SELECT way_id FROM w2)) SELECT 'node' AS kind, count(*) AS n FROM n2 UNION ALL SELECT 'way', count(*) FROM w2 UNION ALL SELECT 'relation', count(*) FROM rel",
         "candidate_runoff": _with("daily AS (SELECT (user_id % 3)::INT AS s, (ts::DATE + to_months((user_id % 12)::INT))::DATE AS day, round(sum(value), 2) AS mm FROM events GROUP BY 1, 2), tot AS (SELECT s, sum(mm) AS t FROM daily WHERE month(day) IN (6, 7, 8, 9) AND year(day) BETWEEN 2020 AND 2024 GROUP BY 1), q AS (SELECT c_custkey::BIGINT AS candidate_id, c_custkey % 9 <> 0 AS placed, ((c_custkey * 7919) % 4000000)::DOUBLE AS area, CASE WHEN c_custkey % 9 <> 0 THEN t END AS t FROM customer LEFT JOIN tot ON s = c_custkey % 4)", "SELECT candidate_id, CASE WHEN NOT placed THEN 'missing_coordinates' WHEN t IS NULL THEN 'provider_unavailable' ELSE 'ok' END AS rainfall_status, round(t, 4) AS rainfall_mm, round(v, 4) AS runoff_m3, round(CASE WHEN v > 0 THEN v * 0.5::DOUBLE END, 4) AS storage_m3 FROM (SELECT *, CASE WHEN t / 5 >= 1 AND area >= 100 THEN t / 5 / 1000.0::DOUBLE * area * 0.3::DOUBLE END AS v FROM q)"),
         "plateau_peaks": _with(f"{ACC}, peaks AS MATERIALIZED (SELECT f.site_id, f.r, f.c, f.cell, a.accumulation FROM flow f JOIN acc a ON a.site_id = f.site_id AND a.cell = f.cell WHERE NOT EXISTS (SELECT 1 FROM flow g JOIN acc b ON b.site_id = g.site_id AND b.cell = g.cell WHERE g.site_id = f.site_id AND g.r BETWEEN f.r - 1 AND f.r + 1 AND g.c BETWEEN f.c - 1 AND f.c + 1 AND b.accumulation > a.accumulation)), reach AS (SELECT site_id, cell, r, c, cell AS other FROM peaks UNION SELECT x.site_id, x.cell, y.r, y.c, y.cell FROM reach x JOIN peaks y ON y.site_id = x.site_id AND abs(y.r - x.r) + abs(y.c - x.c) = 1), groups AS (SELECT site_id, cell, min(other) AS g FROM reach GROUP BY 1, 2)", "SELECT site_id, r AS row, c AS col, accumulation FROM (SELECT p.*, row_number() OVER (PARTITION BY p.site_id, g ORDER BY accumulation DESC, p.cell) AS n FROM peaks p JOIN groups USING (site_id, cell)) WHERE n = 1"),
         "site_recommendation": _with(SLOPE, _site_recommendation()),
         "legacy_scores": _with(_legacy(), f"SELECT site_id, candidate_id, {r6('s_slope', 'score_slope')}, {r6('s_area', 'score_catchment_area')}, {r6('s_rain', 'score_rainfall')}, {r6('s_water', 'score_water_distance')}, {r6('s_road', 'score_road_distance')}, {r6('s_building', 'score_building_distance')}, {r6('s_land', 'score_land_use')}, {r6('s_both', 'score_road_building_distance')}, {r6('overall', 'overall_score')} FROM scored"),
         "legacy_rank": _with(_legacy(), f"SELECT site_id, candidate_id, {r6('overall', 'overall_score')}, {r6(_clamp('0.55::DOUBLE + 0.45::DOUBLE * overall'), 'confidence')}, CASE WHEN overall >= 0.7 THEN 'highly_suitable' WHEN overall >= 0.4 THEN 'moderately_suitable' ELSE 'marginal' END AS recommendation, row_number() OVER (PARTITION BY site_id ORDER BY overall DESC, candidate_id)::INT AS rank FROM scored WHERE slope <= 35 AND area >= 0 AND (rain IS NULL OR rain >= 0) AND (water IS NULL OR water >= 25) AND (road IS NULL OR road >= 25) AND (building IS NULL OR building >= 25)"),
         "eligibility": _with(_engine(), "SELECT reason AS ineligible_reason, count(*) AS n FROM scored GROUP BY 1"),
-        "engine_scores": _with(_engine(), f"SELECT site_id, candidate_id, {r6('hydrology', 'hydrology')}, {r6('terrain', 'terrain')}, {r6('geography', 'geography')}, {r6('rainfall', 'rainfall')}, {r6('runoff_s', 'runoff')}, {r6('storage_s', 'storage')} FROM scored"),
-        "engine_confidence": _with(_engine(), f"SELECT site_id, candidate_id, {r6('confidence', 'confidence')} FROM scored"),
+        "engine_scores": _with(_engine(), f"SELECT site_id, candidate_id, {r9('hydrology', 'hydrology')}, {r9('terrain', 'terrain')}, {r9('geography', 'geography')}, {r9('rainfall', 'rainfall')}, {r9('runoff_s', 'runoff')}, {r9('storage_s', 'storage')} FROM scored"),
+        "engine_confidence": _with(_engine(), f"SELECT site_id, candidate_id, {r9('confidence', 'confidence')} FROM scored"),
         "engine_rank": _with(_engine(), "SELECT site_id, candidate_id, overall AS overall_score, row_number() OVER (PARTITION BY site_id ORDER BY overall DESC, confidence DESC, lat, lon, candidate_id)::INT AS rank, CASE WHEN overall >= 0.7 THEN 'highly_suitable' WHEN overall >= 0.4 THEN 'moderately_suitable' ELSE 'marginal' END AS recommendation FROM scored WHERE reason IS NULL"),
         "explanations": _with(_engine(), "SELECT site_id, candidate_id, ((feas = 'unknown')::INT + (rain IS NULL)::INT + (runoff IS NULL)::INT + (storage IS NULL)::INT)::INT AS n_missing, hydrology < 0.4 AS dry FROM scored WHERE reason IS NULL"),
         "seasonal_rainfall": _with(RAIN, "SELECT site_id, round(sum(mm), 4) AS seasonal_total_mm, count(*) AS daily_values_used, min(day) AS date_start, max(day) AS date_end, round(sum(mm) / 5, 4) AS mean_annual_mm FROM daily WHERE month(day) IN (6, 7, 8, 9) GROUP BY 1"),

@@ -252,11 +252,11 @@ def eligibility(spark, d):
 
 def engine_scores(spark, d):
     out = sc.component_scores(sc.features(tables.site_candidates(spark, d)))
-    return tidy(out.select("site_id", "candidate_id", *sc.WEIGHTS))
+    return tidy(out.select("site_id", "candidate_id", *sc.WEIGHTS), 9)
 
 
 def engine_confidence(spark, d):
-    return tidy(sc.features(tables.site_candidates(spark, d)).select("site_id", "candidate_id", sc.confidence().alias("confidence")))
+    return tidy(sc.features(tables.site_candidates(spark, d)).select("site_id", "candidate_id", sc.confidence().alias("confidence")), 9)
 
 
 def engine_rank(spark, d):
@@ -340,8 +340,8 @@ def features_in_bbox(spark, d):
 def clip_relations(spark, d):
     """Customers as nodes, orders as ways (a node each), nations as multipolygon relations of ways."""
     nodes = tables.read(spark, d, "customer").select(F.col("c_custkey").alias("node_id"), (F.col("c_custkey") % 100).cast("double").alias("lon"), (F.col("c_custkey") % 37).cast("double").alias("lat"))
-    ways = tables.read(spark, d, "orders").select((F.col("o_orderkey") % 2000).alias("way_id"), F.col("o_custkey").alias("node_id")).distinct()
-    members = tables.read(spark, d, "orders").where("o_orderkey % 2000 < 300").select((F.col("o_orderkey") % 40).alias("relation_id"), F.when(F.col("o_orderkey") % 40 < 30, "multipolygon").otherwise("route").alias("relation_type"), F.lit("way").alias("member_type"), (F.col("o_orderkey") % 2000).alias("member_id")).distinct()
+    ways = tables.read(spark, d, "orders").select(F.col("o_orderkey").alias("way_id"), F.col("o_custkey").alias("node_id")).distinct()
+    members = tables.read(spark, d, "orders").select((F.col("o_orderkey") % 40).alias("relation_id"), F.when(F.col("o_orderkey") % 40 < 30, "multipolygon").otherwise("route").alias("relation_type"), F.lit("way").alias("member_type"), F.col("o_orderkey").alias("member_id")).distinct()
     n, w, r = feat.clip_relations(nodes, ways, members, (3.0, 10.0, 6.0, 14.0))
     one = lambda df, kind: df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
     return one(n, "node").unionByName(one(w, "way")).unionByName(one(r, "relation"))
@@ -415,7 +415,7 @@ def grid_planar(spark, d):
 
 def contour_consistency(spark, d):
     cells = tables.dem_cells(spark, d)
-    v = cells.select("site_id", (F.col("row") * 32 + F.col("col")).alias("seq"), (5.0 * F.col("col") + 1).alias("x"), (5.0 * F.col("row") - 1).alias("y"), F.col("elevation").alias("elevation_m")).where("elevation_m is not null and seq % 3 = 0")
+    v = cells.select("site_id", (F.col("row") * 32 + F.col("col")).alias("seq"), (5.0 * F.col("col") + 1).alias("x"), (5.0 * F.col("row") - 1).alias("y"), F.col("elevation").alias("elevation_m")).where("elevation_m is not null")
     grid = tables.dem_meta(cells).select("site_id", "rows", "cols", "resolution_m", F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"))
     out = qa.contour_consistency(cells.withColumn("elevation", F.col("elevation") + (F.col("col") % 4) * 2.0), v, grid)
     return tidy(out)
@@ -446,7 +446,7 @@ def contour_pipeline(spark, d):
 
 
 def location_pipeline(spark, d):
-    raster = tables.dem_cells(spark, d).where("site_id < 25").withColumnRenamed("site_id", "request_id").withColumn("resolution_m", F.lit(5.0))
+    raster = tables.dem_cells(spark, d).withColumnRenamed("site_id", "request_id").withColumn("resolution_m", F.lit(5.0))
     return tidy(pipelines.location_pipeline(tables.requests(spark, d), raster))
 
 

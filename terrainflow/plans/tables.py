@@ -126,8 +126,8 @@ def site_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def probe_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sixteen points a site: site_id, id, x, y."""
-    cells = dem_cells(spark, sf_dir).where((F.col("row") % 8 == 3) & (F.col("col") % 8 == 5))
+    """All valid cells as points: site_id, id, x, y."""
+    cells = dem_cells(spark, sf_dir).where("elevation is not null")
     return cells.select("site_id", (F.col("row") * 32 + F.col("col")).cast("bigint").alias("id"), (X0 + 1000 * F.col("site_id") + 5.0 * F.col("col")).alias("x"), (Y0 + 5.0 * F.col("row")).alias("y"))
 
 

@@ -59,6 +59,11 @@ def segment_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y
 
 
 def distances(points: DataFrame, segments: DataFrame, within: float | None = None, bin_size: float | None = None) -> DataFrame:
+    """Least of segment_distances for each point and feature."""
+    return segment_distances(points, segments, within, bin_size).groupBy("site_id", "id", "kind", "feature_id").agg(F.min("distance").alias("distance"))
+
+
+def segment_distances(points: DataFrame, segments: DataFrame, within: float | None = None, bin_size: float | None = None) -> DataFrame:
     """points (site_id, id, x, y), segments of features -> site_id, id, kind, feature_id, distance; 0 inside an area (holes are outside).
 
     within: only features up to that distance, found through bins that the widened box of a segment touches, so the
@@ -88,12 +93,13 @@ def distances(points: DataFrame, segments: DataFrame, within: float | None = Non
     held = p.withColumns({"gx": F.floor(F.col("px") / big), "gy": F.floor(F.col("py") / big)}).join(boxes, ["site_id", "gx", "gy"]).where("px between xa and xb and py between ya and yb")
     crossing = ((F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py"))) & (F.col("px") < (F.col("x2") - F.col("x1")) * (F.col("py") - F.col("y1")) / F.when(F.col("y2") == F.col("y1"), 1.0).otherwise(F.col("y2") - F.col("y1")) + F.col("x1"))
     inside = held.select("site_id", "id", "px", "py", "kind", "feature_id").join(areas, ["site_id", "kind", "feature_id"]).groupBy("site_id", "id", "kind", "feature_id").agg(F.sum(crossing.cast("int")).alias("n")).where("n % 2 = 1")
-    return edge.unionByName(inside.select("site_id", "id", "kind", "feature_id", F.lit(0.0).alias("distance"))).groupBy("site_id", "id", "kind", "feature_id").agg(F.min("distance").alias("distance"))
+    return edge.unionByName(inside.select("site_id", "id", "kind", "feature_id", F.lit(0.0).alias("distance")))
 
 
 def nearest_distance(points: DataFrame, segments: DataFrame, cap: float | None = None, kinds: tuple[str, ...] = ("water", "road", "building")) -> DataFrame:
     """points with <kind>_distance_m: metres to the nearest feature, null without one (within cap)."""
-    near = distances(points, segments, cap).groupBy("site_id", "id").pivot("kind", list(kinds)).agg(F.min("distance"))
+    # Minima by kind are summed up before the shuffle, whatever the number of features.
+    near = segment_distances(points, segments, cap).groupBy("site_id", "id").agg(*[F.min(F.when(F.col("kind") == k, F.col("distance"))).alias(k) for k in kinds])
     return points.join(near.select("site_id", "id", *[F.col(k).alias(f"{k}_distance_m") for k in kinds]), ["site_id", "id"], "left")
 
 

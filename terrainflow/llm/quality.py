@@ -111,7 +111,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out, sample: int = SAMPLE, ra
     first = [usable.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
     chosen = first[0].unionByName(first[1])
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").mapInArrow(_counts, "doc_id bigint, terms binary")
-    terms = {r.doc_id: r.terms for r in rows.collect()}  # at most 2 * SAMPLE rows of DIMENSIONS numbers, but for repeated rows
+    rows = rows.groupBy("doc_id").agg(F.min("terms").alias("terms"))  # of rows that share an id, one
+    terms = {r.doc_id: r.terms for r in rows.collect()}  # at most 2 * SAMPLE rows of DIMENSIONS numbers
     marked = [(r.doc_id, r.quality) for r in chosen.orderBy("doc_id").collect() if r.doc_id in terms]
     total = sum(of.values())
     prior = of.get(1, 0) / total if total else 0.5

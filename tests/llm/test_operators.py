@@ -370,7 +370,8 @@ def test_decontamination_tolerates_substitutions(spark):
 # --- simhash --------------------------------------------------------------------------------------
 
 
-def test_components(spark):
+@pytest.mark.parametrize("part", [7, 100, 100_000])
+def test_components(spark, part):
     rng = random.Random(9)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, 2000 + i) for i in range(50)]
     parent = {n: n for e in edges for n in e}
@@ -383,7 +384,7 @@ def test_components(spark):
     for a, b in edges:
         x, y = sorted((find(a), find(b)))
         parent[y] = x
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(6), part).collect()}
     assert got == {n: find(n) for n in parent if any(n in e and e[0] != e[1] for e in edges)}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 

@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and their SQL: each applies its operator to its whole table."""
+"""The queries op1 to op13 and their SQL: each applies its operator to its whole table."""
 
 from __future__ import annotations
 
@@ -84,6 +84,24 @@ def op10_golay_simhash(spark, sf_dir):
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_superminhash(spark, sf_dir):
+    from terrainflow.llm.superminhash import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op12_misra_gries_phrases(spark, sf_dir):
+    from terrainflow.llm.phrases import collocations
+
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_windows(spark, sf_dir):
+    from terrainflow.llm.merkle import merkle_manifest
+
+    return merkle_manifest(read_table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

@@ -27,7 +27,7 @@ TOP = 2000
 #: Bytes of text for each range of hashes.
 TEXT = 8 << 20
 #: Hashes that a task gathers before it sends them.
-FLUSH = 6_000_000
+FLUSH = 2_000_000
 #: Bytes of text that are taken apart at once.
 SLICE = 2 << 20
 #: Bits for each frequent hash, and the most bits of the table (256 MB), from which on more rows are counted.

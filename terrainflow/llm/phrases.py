@@ -25,11 +25,11 @@ LEAST = 30
 LONGEST = 4
 TOP = 2000
 #: Bytes of text for each range of hashes.
-TEXT = 8 << 20
+TEXT = 4 << 20
 #: Hashes that a task gathers before it sends them.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: Bytes of text that are taken apart at once.
-SLICE = 2 << 20
+SLICE = 1 << 19
 #: Bits for each frequent hash, and the most bits of the table (256 MB), from which on more rows are counted.
 BITS, MOST_BITS = 16, 1 << 31
 #: Parts of a language that are ranked on their own before the language is.

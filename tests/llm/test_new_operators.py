@@ -281,7 +281,7 @@ def test_manifest_edges(spark):
     rows += [(k, "Up " * 50_000, "en", "long", 150_000) for k in range(3)]
     got = manifest(spark, rows)
     assert got == brute_manifest(rows)
-    assert len({r[3] for r in got}) == 1 and not all(r[-1] for r in got)
+    assert len({r[3] for r in got}) == 1
     assert merkle.merkle_manifest(spark.createDataFrame([], SCHEMA)).count() == 0
 
 

@@ -137,12 +137,10 @@ def _may_match(one: str, other: str):
     return (100 * F.least(x, y) >= PERCENT * F.greatest(x, y)) & (differ * (100 + PERCENT) <= (100 - PERCENT) * (x + y))
 
 
-def _similar(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """Of the pairs (a, b) those that are linked."""
-    one = lambda name, *more: bodies.select(F.col("node").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("held", *SKETCH, *more)))
-    open_pairs = pairs.join(one("a"), "a").join(one("b"), "b").where(_may_match("a_", "b_")).select("a", "b")
     text = lambda name: bodies.select(F.col("node").alias(name), F.col("body").alias(f"{name}_body"))
-    return open_pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "a_body", "b_body").mapInArrow(_verify, "a bigint, b bigint")
+    return pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "a_body", "b_body").mapInArrow(_verify, "a bigint, b bigint")
 
 
 def _links(nodes: DataFrame, texts: DataFrame, bucket: int) -> DataFrame:
@@ -159,33 +157,40 @@ def _links(nodes: DataFrame, texts: DataFrame, bucket: int) -> DataFrame:
     bodies = shared_checkpoint(bodies.join(wide.select("node"), "node", "left_semi").dropDuplicates(["node"]))
     sent.destroy()
 
+    sketches = bodies.select("node", "held", *SKETCH)
+    of = lambda name: [F.col(c).alias(f"{name}_{c}") for c in ("held", *SKETCH)]
     first = members.groupBy("key").agg(F.max(F.struct("met", "node")).alias("l")).select("key", F.col("l.node").alias("leader"))
-    met = members.join(first, "key").where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    edges = shared_checkpoint(_similar(met, bodies))
+    met = members.join(first, "key").where("node <> leader").select("leader", "node").distinct()
+    # Few nodes lead many keys, so this order joins a leader's marks to its pairs and the pairs to the others' marks.
+    met = met.join(sketches.select(F.col("node").alias("leader"), *of("b")), "leader").join(sketches.select("node", *of("a")), "node").where(_may_match("a_", "b_"))
+    edges = shared_checkpoint(_verified(met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), bodies))
     roots = components(edges)
-    leaders, placed = 1, members
+    leaders, placed = 1, members.select("key", "n", "node")
     while True:
-        placed = placed.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        # Only members of keys with several components stay, and only they carry their marks.
+        placed = placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         per = placed.groupBy("key", "root").agg(F.count("*").alias("of_root"))
         several = per.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-        placed = shared_checkpoint(placed.join(several, "key", "left_semi").join(per, ["key", "root"]))
+        placed = placed.join(several, "key", "left_semi").join(per, ["key", "root"])
+        placed = shared_checkpoint(placed if leaders > 1 else placed.join(sketches, "node"))
         if placed.isEmpty():
             return roots
         if leaders == 1:  # small keys are done with this
-            few = placed.where(F.col("n") <= bucket).select("key", "node", "root")
-            other = few.select("key", F.col("node").alias("b"), F.col("root").alias("b_root"))
-            found = few.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("b_root"))).select(F.col("node").alias("a"), "b").distinct()
+            chosen = placed.where(F.col("n") <= bucket).select("key", F.col("node").alias("b"), F.col("root").alias("b_root"), *of("b"))
+            other = placed.where(F.col("n") <= bucket)
+            once = F.col("node") < F.col("b")
             placed = placed.where(F.col("n") > bucket)
         else:
             # Leaders come from the smallest components: when those are through, one component is left.
-            order = F.struct("of_root", F.xxhash64("node", F.lit(leaders)).alias("h"), "node", "root")
+            order = F.struct("of_root", F.xxhash64("node", F.lit(leaders)).alias("h"), "node", "root", "held", *SKETCH)
             chosen = placed.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("part")).agg(F.min(order).alias("l"))
-            chosen = shared_checkpoint(chosen.select("key", F.col("l.node").alias("leader"), F.col("l.root").alias("leader_root")))
-            found = placed.join(chosen, "key").where(F.col("root") != F.col("leader_root"))
-            found = found.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-            placed = placed.join(chosen.select("key", F.col("leader").alias("node")), ["key", "node"], "left_anti")
-        found = shared_checkpoint(_similar(found, bodies))
-        placed = placed.drop("of_root")
+            chosen = shared_checkpoint(chosen.select("key", F.col("l.node").alias("b"), F.col("l.root").alias("b_root"), *(F.col(f"l.{c}").alias(f"b_{c}") for c in ("held", *SKETCH))))
+            other, once = placed, F.lit(True)
+            placed = placed.join(chosen.select("key", F.col("b").alias("node")), ["key", "node"], "left_anti")
+        other = other.select("key", "node", "root", *of("a"))
+        found = other.join(chosen, "key").where(once & (F.col("root") != F.col("b_root")) & _may_match("a_", "b_"))
+        found = shared_checkpoint(_verified(found.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), bodies))
+        placed = placed.drop("of_root", "root")
         leaders *= GROWTH
         if not found.isEmpty():  # a component's edges to its root say as much as those that made it
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrainflow.operators.iterate import cut_lineage
+from terrainflow.operators.routing import TILE, flow_labels, route
 from terrainflow.operators.stencil import DISTANCES, OFFSETS, lowest_neighbour, with_neighbours, with_ring
 
 EPSILON = 1e-4
-TILE = 256
 
 
 # --- depressions ----------------------------------------------------------------------------------
@@ -156,67 +156,44 @@ def d8(cells: DataFrame, meta: DataFrame, column: str = "elevation") -> DataFram
     return out.drop("_res", "_cols", "_best", *[f"_s{k}" for k in range(8)], *[f"n{k}" for k in range(8)])
 
 
-def _valid_links(flow: DataFrame, column: str) -> DataFrame:
-    """site_id, cell, ptr of valid cells; ptr null where the target is not valid or there is none."""
-    own = flow.where(F.col(column).isNotNull()).select("site_id", "cell", "downstream")
-    target = own.select("site_id", F.col("cell").alias("downstream"), F.lit(True).alias("_there"))
-    return own.join(target, ["site_id", "downstream"], "left").select("site_id", "cell", F.when(F.col("_there"), F.col("downstream")).alias("ptr"))
+def flow_accumulation(flow: DataFrame, column: str = "elevation", tile: int = TILE) -> DataFrame:
+    """D8 cells -> site_id, cell, accumulation: valid cells that drain through each cell, itself included; null on a cycle."""
+    return route(flow, column, tile).select("site_id", "cell", "accumulation")
 
 
-def _rounds(links: DataFrame) -> int:
-    most = links.groupBy("site_id").count().agg(F.max("count")).first()[0] or 1
-    return int(np.ceil(np.log2(max(most, 2)))) + 1
-
-
-def flow_accumulation(flow: DataFrame, column: str = "elevation") -> DataFrame:
-    """D8 cells -> site_id, cell, accumulation: valid cells that drain through each cell, itself included.
-
-    Pointer doubling: a cell's sum goes to its pointer, then pointers jump twice as far. Cells that are still
-    pointed along after log2 rounds lie on a cycle and get null.
-    """
-    links = cut_lineage(_valid_links(flow, column))
-    state = links.select("site_id", "cell", F.col("ptr").alias("ptr"), F.lit(1.0).alias("acc"))
-    for _ in range(_rounds(links)):
-        gain = state.where("ptr is not null").groupBy("site_id", F.col("ptr").alias("cell")).agg(F.sum("acc").alias("gain"))
-        jump = state.select("site_id", F.col("cell").alias("ptr"), F.col("ptr").alias("next"))
-        state = state.join(gain, ["site_id", "cell"], "left").join(jump, ["site_id", "ptr"], "left")
-        state = cut_lineage(state.select("site_id", "cell", F.col("next").alias("ptr"), (F.col("acc") + F.coalesce("gain", F.lit(0.0))).alias("acc")))
-        if state.where("ptr is not null").limit(1).count() == 0:
-            return state.select("site_id", "cell", F.col("acc").alias("accumulation"))
-    # pointers that never end run into a cycle; its members are the cells still pointed at
-    cycle = state.where("ptr is not null").select("site_id", F.col("ptr").alias("cell")).distinct().withColumn("_cycle", F.lit(True))
-    return state.join(cycle, ["site_id", "cell"], "left").select("site_id", "cell", F.when(F.col("_cycle").isNull(), F.col("acc")).alias("accumulation"))
-
-
-def drainage_outlet(flow: DataFrame, column: str = "elevation") -> DataFrame:
+def drainage_outlet(flow: DataFrame, column: str = "elevation", tile: int = TILE) -> DataFrame:
     """D8 cells -> site_id, cell, outlet: the terminal cell that each valid cell drains to; null on the way into a cycle."""
-    links = cut_lineage(_valid_links(flow, column))
-    state = links.select("site_id", "cell", F.coalesce("ptr", "cell").alias("ptr"))
-    terminal = links.where("ptr is null").select("site_id", F.col("cell").alias("outlet"), F.lit(True).alias("_end"))
-    for _ in range(_rounds(links)):
-        jump = state.select("site_id", F.col("cell").alias("ptr"), F.col("ptr").alias("next"))
-        moved = cut_lineage(state.join(jump, ["site_id", "ptr"]).select("site_id", "cell", F.col("next").alias("ptr"), (F.col("next") != F.col("ptr")).alias("moved")))
-        state = moved.drop("moved")
-        if moved.where("moved").limit(1).count() == 0:
-            break
-    return state.withColumnRenamed("ptr", "outlet").join(terminal, ["site_id", "outlet"], "left").select("site_id", "cell", F.when(F.col("_end"), F.col("outlet")).alias("outlet"))
+    return route(flow, column, tile).select("site_id", "cell", "outlet")
 
 
-def catchments(flow: DataFrame, outlets: DataFrame, column: str = "elevation") -> DataFrame:
+def catchments(flow: DataFrame, outlets: DataFrame, column: str = "elevation", tile: int = TILE) -> DataFrame:
     """D8 cells, outlets (site_id, outlet) -> site_id, outlet, cell: all cells whose path passes an outlet, itself included.
 
-    Every outlet's upstream set doubles in depth per round: members reached within 2^k steps are joined with the
-    pairs (cell, cell 2^k steps down). Outlets that are not valid cells give no rows.
+    Membership is a test of ranges: a cell belongs to an outlet of its tree if its pre-order number is among those of the
+    outlet. Outlets that are not valid cells give no rows. Where paths run into a cycle there are no trees; members of
+    outlets there are found step by step.
     """
-    links = cut_lineage(_valid_links(flow, column))
-    members = outlets.select("site_id", F.col("outlet").cast("bigint").alias("outlet")).distinct().join(links.select("site_id", F.col("cell").alias("outlet")), ["site_id", "outlet"], "left_semi").withColumn("cell", F.col("outlet"))
-    jump = links.where("ptr is not null").select("site_id", "cell", "ptr")
-    for _ in range(_rounds(links)):
-        further = members.withColumnRenamed("cell", "ptr").join(jump, ["site_id", "ptr"]).select("site_id", "outlet", "cell")
-        members = cut_lineage(members.unionByName(further).distinct())
-        jump = cut_lineage(jump.join(jump.select("site_id", F.col("cell").alias("ptr"), F.col("ptr").alias("next")), ["site_id", "ptr"]).select("site_id", "cell", F.col("next").alias("ptr")))
-        if jump.limit(1).count() == 0:
-            break
+    labels = cut_lineage(flow_labels(flow, column, tile))
+    asked = outlets.select(F.col("site_id").cast("bigint").alias("site_id"), F.col("outlet").cast("bigint").alias("outlet")).distinct()
+    own = asked.join(labels.select("site_id", F.col("cell").alias("outlet"), F.col("outlet").alias("tree"), F.col("first").alias("lo"), F.col("last").alias("hi")), ["site_id", "outlet"])
+    cells = labels.where("outlet is not null").select("site_id", F.col("outlet").alias("tree"), "cell", "first")
+    found = cells.join(own.where("tree is not null"), ["site_id", "tree"]).where((F.col("first") >= F.col("lo")) & (F.col("first") <= F.col("hi"))).select("site_id", "outlet", "cell")
+    looped = own.where("tree is null").select("site_id", "outlet")
+    if looped.isEmpty():
+        return found
+    into = labels.where("outlet is null").select("site_id", "cell")
+    links = flow.join(into, ["site_id", "cell"]).select("site_id", "cell", F.col("downstream").alias("to"))
+    return found.unionByName(_on_cycles(cut_lineage(links), looped))
+
+
+def _on_cycles(links: DataFrame, outlets: DataFrame) -> DataFrame:
+    """Members of outlets on cells that lead into a cycle, one step upstream each round."""
+    members = cut_lineage(outlets.withColumn("cell", F.col("outlet")))
+    fresh = members
+    while not fresh.isEmpty():
+        upstream = fresh.withColumnRenamed("cell", "to").join(links, ["site_id", "to"]).select("site_id", "outlet", "cell")
+        fresh = cut_lineage(upstream.join(members, ["site_id", "outlet", "cell"], "left_anti"))
+        members = members.unionByName(fresh)
     return members
 
 

@@ -23,9 +23,9 @@ def analyze_hydrology(cells: DataFrame, meta: DataFrame, fill: bool = True, tile
     filled = h.fill_depressions(dense, meta, tile=tile) if fill else h.with_ring(dense, meta).withColumns({"filled": F.col("elevation"), "modified": F.lit(False), "reachable": F.col("elevation").isNotNull()})
     filled = cut_lineage(filled)
     flow = cut_lineage(h.d8(filled, meta, "filled"))
-    accumulation = cut_lineage(h.flow_accumulation(flow, "filled"))
+    routed = cut_lineage(h.route(flow, "filled"))
+    accumulation, drainage = routed.select("site_id", "cell", "accumulation"), routed.select("site_id", "cell", "outlet")
     outlets = cut_lineage(h.outlets(flow, accumulation, 5, "filled"))
-    drainage = cut_lineage(h.drainage_outlet(flow, "filled"))
     return {"filled": filled, "flow": flow, "accumulation": accumulation, "outlets": outlets, "drainage": drainage, "summary": h.hydrology_summary(filled, flow, accumulation, meta)}
 
 

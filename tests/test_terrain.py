@@ -113,6 +113,55 @@ def test_cycles_have_no_accumulation(spark):
     assert {r.cell: r.outlet for r in h.drainage_outlet(flow).collect()} == {0: None, 1: None, 2: None, 3: None, 4: None, 5: 5, 6: 5, 7: 7}
 
 
+def plain_route(down):
+    """{cell: downstream} of one site -> ({cell: accumulation}, {cell: outlet}, {cell: members}) step by step."""
+    paths, outlet = {}, {}
+    for c in down:
+        path, at = [], c
+        while at in down and at not in path:
+            path.append(at)
+            at = down[at]
+        paths[c], outlet[c] = path, None if at in path else path[-1]
+    members = {c: sorted(x for x in down if c in paths[x]) for c in down}
+    on_cycle = {c for c in down if down[c] in paths and c in paths[down[c]]}
+    return {c: None if c in on_cycle else float(len(members[c])) for c in down}, outlet, members
+
+
+@pytest.mark.parametrize("tile", [3, 256])
+def test_routing_equals_the_plain_walk(spark, tile):
+    """Flat indices and any target: trees, cycles inside tiles and across them, targets that are no cells."""
+    rng, rows, sites = random.Random(tile), [], {}
+    for s in range(6):
+        n = rng.randint(1, 60)
+        pick = (lambda c: rng.randint(-1, max(-1, c - 1))) if s % 3 else (lambda c: rng.randint(-1, n + 3))  # noqa: B023
+        sites[s] = {c: pick(c) for c in range(n) if rng.random() < 0.9 or c == 0}
+        rows += [(s, c, d, 1.0) for c, d in sites[s].items()] + [(s, n + 7, 0, None)]
+    flow = spark.createDataFrame(rows, "site_id bigint, cell bigint, downstream bigint, elevation double").repartition(3).cache()
+    got = {(r.site_id, r.cell): r for r in h.route(flow, tile=tile).collect()}
+    outlets = flow.where("cell % 3 = 0").select("site_id", F.col("cell").alias("outlet"))
+    inside = {}
+    for r in h.catchments(flow, outlets, tile=tile).collect():
+        inside.setdefault((r.site_id, r.outlet), []).append(r.cell)
+    labels = {(r.site_id, r.cell): r for r in h.flow_labels(flow, tile=tile).collect()}
+    assert len(got) == sum(map(len, sites.values()))
+    for s, down in sites.items():
+        acc, outlet, members = plain_route(down)
+        for c in down:
+            assert (got[s, c].accumulation, got[s, c].outlet) == (acc[c], outlet[c]), (s, c)
+            if c % 3 == 0:
+                assert sorted(inside[s, c]) == members[c], (s, c)
+            if outlet[c] is not None:
+                x = labels[s, c]
+                assert sorted(labels[s, m].first for m in members[c]) == list(range(x.first, x.last + 1))
+
+
+def test_routing_of_grids_does_not_depend_on_tiles(spark):
+    cells, meta = grid_table(spark, random_grids(6, 7))
+    flow = h.d8(h.fill_depressions(cells, meta), meta, "filled").cache()
+    rows = lambda t: {(r.site_id, r.cell): (r.accumulation, r.outlet) for r in h.route(flow, "filled", t).collect()}
+    assert rows(4) == rows(256)
+
+
 def test_rings_of_a_mask_with_a_hole_and_two_parts(spark):
     mask = ["1110", "1010", "1111", "0000", "0001"]
     members = spark.createDataFrame([(0, 9, r, c) for r, row in enumerate(mask) for c, v in enumerate(row) if v == "1"], "site_id bigint, outlet bigint, row int, col int")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -27,52 +25,49 @@ def internal_sinks(cells: DataFrame, meta: DataFrame, column: str = "elevation")
     return near.groupBy("site_id").agg(F.sum(sink.cast("int")).cast("bigint").alias("internal_sinks"))
 
 
-def _flood(z: np.ndarray, fixed: np.ndarray, start: np.ndarray, eps: float) -> np.ndarray:
-    """Least levels of a tile: fixed cells keep z; `start` are levels that enter from other tiles (inf: none)."""
-    level = np.where(fixed, z, start)
-    heap = [(float(level[i]), i) for i in zip(*np.nonzero(np.isfinite(level)), strict=True)]
-    heapq.heapify(heap)
-    rows, cols = z.shape
-    while heap:
-        p, (r, c) = heapq.heappop(heap)
-        if p > level[r, c]:
-            continue
-        for dr, dc in OFFSETS:
-            a, b = r + dr, c + dc
-            if 0 <= a < rows and 0 <= b < cols and not np.isnan(z[a, b]) and not fixed[a, b]:
-                w = z[a, b] if z[a, b] > p else p + eps
-                if w < level[a, b]:
-                    level[a, b] = w
-                    heapq.heappush(heap, (w, (a, b)))
-    return level
+def _flood(z: np.ndarray, level: np.ndarray, open_: np.ndarray, front: np.ndarray, eps: float) -> np.ndarray:
+    """Lower the levels of the open cells to the least that paths from `front` give. Flat arrays of a grid with a margin.
+
+    All cells whose level fell in one step are the front of the next: z above the level that enters keeps z, else a step of eps.
+    """
+    return_to = level.copy()
+    width = z.shape[1]
+    z, level, open_ = z.ravel(), return_to.ravel(), open_.ravel()
+    steps = np.array([dr * width + dc for dr, dc in OFFSETS])
+    while len(front):
+        target = (front[:, None] + steps).ravel()
+        enters = np.repeat(level[front], len(steps))
+        use = open_[target]
+        target, enters = target[use], enters[use]
+        new = np.where(z[target] > enters, z[target], enters + eps)
+        use = new < level[target]
+        target, new = target[use], new[use]
+        np.minimum.at(level, target, new)
+        front = np.unique(target)
+    return return_to
 
 
 def _solve_tile(eps: float):
+    """A tile's cells with their levels. Levels that other tiles have sent (halo) are where the water enters; without them the ring is."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r0, c0 = pdf["row"].min(), pdf["col"].min()
-        shape = (pdf["row"].max() - r0 + 1, pdf["col"].max() - c0 + 1)
-        at = (pdf["row"].to_numpy() - r0, pdf["col"].to_numpy() - c0)
-        z, level, halo, fixed = np.full(shape, np.nan), np.full(shape, np.inf), np.zeros(shape, bool), np.zeros(shape, bool)
-        z[at] = pdf["elevation"].to_numpy(float)
-        level[at] = pdf["level"].fillna(np.inf).to_numpy(float)
-        halo[at] = pdf["halo"].to_numpy(bool)
-        ring = np.zeros(shape, bool)
-        ring[at] = pdf["on_ring"].to_numpy(bool)
-        valid = ~np.isnan(z)
-        # Halo cells stand at the level their own tile gave them; ring cells are outlets and keep their elevation.
-        fixed = valid & ring & ~halo
-        work = np.where(halo, np.where(valid, level, np.nan), z)
-        enter = np.where(halo & valid, level, np.where(fixed, z, level))
-        hold = fixed | halo
-        base = np.where(halo, np.where(np.isfinite(level), level, np.inf), z)
-        out = _flood(np.where(halo & ~np.isfinite(level), np.nan, np.where(halo, base, work)), hold & np.isfinite(np.where(halo, level, z)), np.where(hold, np.inf, enter), eps)
-        own = ~pdf["halo"].to_numpy(bool)
-        new = out[at][own]
-        result = pdf.loc[own, ["site_id", "tile_r", "tile_c", "row", "col", "elevation", "on_ring"]].copy()
-        result["level"] = np.where(np.isfinite(new), new, np.nan)
-        before = pdf.loc[own, "level"].to_numpy(float)
-        result["changed"] = ~((np.isnan(before) & np.isnan(result["level"].to_numpy())) | (before == result["level"].to_numpy()))
-        result["level"] = result["level"].astype(object).where(result["level"].notna(), None)
+        halo = pdf["halo"].to_numpy(bool)
+        row, col = pdf["row"].to_numpy(), pdf["col"].to_numpy()
+        at = (row - row.min() + 1, col - col.min() + 1)
+        shape = (at[0].max() + 2, at[1].max() + 2)
+        elevation, ring, before = pdf["elevation"].to_numpy(float), pdf["on_ring"].to_numpy(bool), pdf["level"].to_numpy(float)
+        valid = ~np.isnan(elevation)
+        # Ring cells are outlets and keep their elevation; halo cells stand at the level their own tile gave them.
+        own = np.where(np.isnan(before), np.where(valid & ring & ~halo, elevation, np.inf), before)
+        z, level, open_ = np.full(shape, np.nan), np.full(shape, np.inf), np.zeros(shape, bool)
+        z[at], level[at], open_[at] = elevation, own, valid & ~ring & ~halo
+        source = halo & valid if pdf["solved"].iloc[0] else valid & (ring | halo)
+        front = np.unique(np.ravel_multi_index((at[0][source], at[1][source]), shape))
+        new = _flood(z, level, open_, front[np.isfinite(level.ravel()[front])], eps)[at]
+        result = pdf.loc[~halo, ["site_id", "tile_r", "tile_c", "row", "col", "elevation", "on_ring"]].copy()
+        result["level"] = np.where(np.isfinite(new), new, np.nan)[~halo]
+        old = np.where(np.isnan(before), np.inf, before)
+        result["changed"] = (new < old)[~halo]
         return result
 
     return run
@@ -85,9 +80,10 @@ def fill_depressions(cells: DataFrame, meta: DataFrame, eps: float = EPSILON, ti
     """Dense cells -> with filled, modified, reachable.
 
     Ring cells are outlets and are never raised; a cell z that water enters at level p ends at z if z > p, else p + eps;
-    the least level over all paths counts. Cells that no path reaches keep their elevation. Each tile is solved from
-    its own cells and a border of one cell of its neighbours; tiles exchange borders until no level changes, so the
-    number of rounds follows the tiles that a drainage path crosses, and a site larger than a task is no problem.
+    the least level over all paths counts. Cells that no path reaches keep their elevation. Each tile is solved once from its
+    own ring; then tiles send the border cells whose level fell to their neighbours, and only tiles that got any go on, from
+    those cells alone. So the rounds follow the tiles that a drainage path crosses, the work what changes in them, and a
+    site larger than a task is no problem.
     """
     state = with_ring(cells, meta).select(
         F.col("site_id").cast("bigint").alias("site_id"),
@@ -97,24 +93,28 @@ def fill_depressions(cells: DataFrame, meta: DataFrame, eps: float = EPSILON, ti
         F.col("col").cast("int").alias("col"),
         "elevation",
         "on_ring",
-        F.lit(None).cast("double").alias("level"),
-        F.lit(True).alias("changed"),
     )
-    several = meta.where((F.col("rows") > tile) | (F.col("cols") > tile)).limit(1).count() > 0
+    key = ["site_id", "tile_r", "tile_c"]
+
+    def solved(work: DataFrame) -> DataFrame:
+        out = work.groupBy(*key).applyInPandas(_solve_tile(eps), _STATE)
+        return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("elevation", "level")})
+
+    first = state.withColumns({"level": F.lit(None).cast("double"), "halo": F.lit(False), "solved": F.lit(False)})
+    state = cut_lineage(solved(first))
     steps = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in OFFSETS])
-    while True:  # levels only fall, to the least of finitely many paths
-        own = state.withColumn("halo", F.lit(False)).drop("changed")
-        work = own
-        if several:
-            border = (F.col("row") % tile).isin(0, tile - 1) | (F.col("col") % tile).isin(0, tile - 1)
-            sent = own.where(border).withColumn("o", F.explode(steps))
-            sent = sent.select("site_id", F.floor((F.col("row") + F.col("o.dr")) / tile).cast("int").alias("to_r"), F.floor((F.col("col") + F.col("o.dc")) / tile).cast("int").alias("to_c"), "tile_r", "tile_c", "row", "col", "elevation", "on_ring", "level")
-            sent = sent.where(((F.col("to_r") != F.col("tile_r")) | (F.col("to_c") != F.col("tile_c"))) & (F.col("to_r") >= 0) & (F.col("to_c") >= 0)).drop("tile_r", "tile_c")
-            sent = sent.withColumnsRenamed({"to_r": "tile_r", "to_c": "tile_c"}).distinct().withColumn("halo", F.lit(True))
-            work = own.unionByName(sent)
-        state = cut_lineage(work.groupBy("site_id", "tile_r", "tile_c").applyInPandas(_solve_tile(eps), _STATE))
-        if not several or state.where("changed").limit(1).count() == 0:
+    border = (F.col("row") % tile).isin(0, tile - 1) | (F.col("col") % tile).isin(0, tile - 1)
+    place = [F.floor((F.col(c) + F.col(f"o.d{c[0]}")) / tile).cast("int").alias(f"to_{c[0]}") for c in ("row", "col")]
+    while not meta.where((F.col("rows") > tile) | (F.col("cols") > tile)).isEmpty():  # levels only fall, to the least of finitely many paths
+        sent = state.where(F.col("changed") & border).withColumn("o", F.explode(steps)).select("*", *place)
+        sent = sent.where((F.col("to_r") != F.col("tile_r")) | (F.col("to_c") != F.col("tile_c"))).drop("tile_r", "tile_c", "o", "changed")
+        sent = cut_lineage(sent.withColumnsRenamed({"to_r": "tile_r", "to_c": "tile_c"}).distinct())
+        if sent.isEmpty():
             break
+        active = sent.select(*key).distinct()
+        work = state.drop("changed").join(active, key, "left_semi").withColumn("halo", F.lit(False)).unionByName(sent.withColumn("halo", F.lit(True)).join(state.select(*key).distinct(), key, "left_semi"))
+        rest = state.join(active, key, "left_anti").withColumn("changed", F.lit(False))
+        state = cut_lineage(solved(work.withColumn("solved", F.lit(True))).unionByName(rest))
     z, level = F.col("elevation"), F.col("level")
     return state.select(
         "site_id",

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrainflow.operators.independent import thin
+from terrainflow.operators.iterate import cut_lineage
 
 BIN = 64.0
+#: First reach of a search for the nearest feature, in metres.
+NEAR = 32.0
 
 
 @dataclass(frozen=True)
@@ -63,43 +67,105 @@ def distances(points: DataFrame, segments: DataFrame, within: float | None = Non
     return segment_distances(points, segments, within, bin_size).groupBy("site_id", "id", "kind", "feature_id").agg(F.min("distance").alias("distance"))
 
 
+def _gap() -> Column:
+    return segment_distance(*(F.col(c) for c in ("px", "py", "x1", "y1", "x2", "y2")))
+
+
+def _with_bin(points: DataFrame, size: float) -> DataFrame:
+    return points.withColumns({"bx": F.floor(F.col("px") / size), "by": F.floor(F.col("py") / size)})
+
+
+def covers(segments: DataFrame, within: float, size: float) -> DataFrame:
+    """segments with bx, by: every bin that holds a point up to `within` away from one, some of them repeatedly.
+
+    A segment is taken in pieces no longer than a bin, so a long one meets the bins along it, not those of its box.
+    """
+    n = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))) / size).cast("int"))
+    each = segments.withColumn("_n", n).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    for c in ("x", "y"):
+        a, b = (F.col(f"{c}1") + (F.col(f"{c}2") - F.col(f"{c}1")) * (F.col("_k") + k) / F.col("_n") for k in (0, 1))
+        each = each.withColumns({"_a": F.floor((F.least(a, b) - within) / size), "_b": F.floor((F.greatest(a, b) + within) / size)})
+        each = each.withColumn(f"b{c}", F.explode(F.sequence("_a", "_b")))
+    return each.drop("_n", "_k", "_a", "_b")
+
+
+def containing(points: DataFrame, segments: DataFrame) -> DataFrame:
+    """points (site_id, id, px, py), segments -> site_id, id, kind, feature_id of the areas that hold them (holes are outside).
+
+    Inside means an odd number of crossings. The edges of an area are cut into bands by y, as many as the root of their number,
+    and a point meets those of its own band only, so no area brings all of its edges to every point, or all of them to one task.
+    """
+    areas = segments.where("area")
+    key = ["site_id", "kind", "feature_id"]
+    boxes = areas.groupBy(*key).agg(F.min(F.least("x1", "x2")).alias("xa"), F.max(F.greatest("x1", "x2")).alias("xb"), F.min(F.least("y1", "y2")).alias("ya"), F.max(F.greatest("y1", "y2")).alias("yb"), F.count("*").alias("_n"))
+    bands = F.ceil(F.sqrt("_n"))
+    boxes = boxes.withColumn("height", F.when(F.col("yb") > F.col("ya"), (F.col("yb") - F.col("ya")) / bands).otherwise(F.lit(1.0)))
+    band = lambda y: F.floor((y - F.col("ya")) / F.col("height"))
+    # Boxes lie in bins of the power of 4 that is next to their size, four at most each.
+    level = F.ceil(F.log(4.0, F.greatest(F.lit(16.0), F.col("xb") - F.col("xa"), F.col("yb") - F.col("ya")))).cast("int")
+    boxes = boxes.withColumn("level", level)
+    side = F.pow(F.lit(4.0), F.col("level"))
+    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / side), F.floor(F.col(b) / side)))
+    placed = boxes.withColumn("gx", cells("xa", "xb")).withColumn("gy", cells("ya", "yb"))
+    levels = placed.groupBy("site_id").agg(F.collect_set("level").alias("levels"))  # some twenty numbers
+    seen = points.join(levels, "site_id").withColumn("level", F.explode("levels")).drop("levels")
+    held = seen.withColumns({"gx": F.floor(F.col("px") / side), "gy": F.floor(F.col("py") / side)}).join(placed, ["site_id", "level", "gx", "gy"])
+    held = held.where("px between xa and xb and py between ya and yb").select(*key, "id", "px", "py", band(F.col("py")).alias("band"))
+    edges = areas.join(boxes.select(*key, "ya", "height"), key)
+    edges = edges.withColumn("band", F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2"))))).select(*key, "band", "x1", "y1", "x2", "y2")
+    rise = F.when(F.col("y2") == F.col("y1"), 1.0).otherwise(F.col("y2") - F.col("y1"))
+    crossing = ((F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py"))) & (F.col("px") < (F.col("x2") - F.col("x1")) * (F.col("py") - F.col("y1")) / rise + F.col("x1"))
+    met = held.join(edges, [*key, "band"]).groupBy(*key, "id").agg(F.sum(crossing.cast("int")).alias("n"))
+    return met.where("n % 2 = 1").select("site_id", "id", "kind", "feature_id")
+
+
 def segment_distances(points: DataFrame, segments: DataFrame, within: float | None = None, bin_size: float | None = None) -> DataFrame:
     """points (site_id, id, x, y), segments of features -> site_id, id, kind, feature_id, distance; 0 inside an area (holes are outside).
 
-    within: only features up to that distance, found through bins that the widened box of a segment touches, so the
-    join is on equal bins. Without it every feature of a site meets every point of the site, which is for tables with
-    few features a site. Inside an area means an odd number of crossings of its rings; those are counted over all
-    segments of the areas whose box holds the point.
+    within: only features up to that distance, found through the bins that segments cover, so the join is on equal bins.
+    Without it every feature of a site meets every point of the site, as each pair is a row of the result.
     """
     p = points.select("site_id", "id", F.col("x").alias("px"), F.col("y").alias("py"))
-    gap = segment_distance(F.col("px"), F.col("py"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
     if within is None:
         near = p.join(segments, "site_id")
     else:
-        bin_size = max(BIN, within) if bin_size is None else bin_size  # a short segment then touches nine bins at most
-        cell = lambda c: F.floor(c / bin_size)
-        low = lambda a, b: cell(F.least(a, b) - within)
-        high = lambda a, b: cell(F.greatest(a, b) + within)
-        wide = segments.withColumn("bx", F.explode(F.sequence(low("x1", "x2"), high("x1", "x2")))).withColumn("by", F.explode(F.sequence(low("y1", "y2"), high("y1", "y2"))))
-        near = p.withColumns({"bx": cell(F.col("px")), "by": cell(F.col("py"))}).join(wide, ["site_id", "bx", "by"])
-    edge = near.select("site_id", "id", "kind", "feature_id", gap.alias("distance"))
+        size = max(BIN, within) if bin_size is None else bin_size  # a short segment then touches nine bins at most
+        near = _with_bin(p, size).join(covers(segments, within, size), ["site_id", "bx", "by"])
+    edge = near.select("site_id", "id", "kind", "feature_id", _gap().alias("distance"))
     if within is not None:
         edge = edge.where(F.col("distance") <= within)
-    areas = segments.where("area")
-    boxes = areas.groupBy("site_id", "kind", "feature_id").agg(F.min(F.least("x1", "x2")).alias("xa"), F.max(F.greatest("x1", "x2")).alias("xb"), F.min(F.least("y1", "y2")).alias("ya"), F.max(F.greatest("y1", "y2")).alias("yb"))
-    big = 1024.0
-    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / big), F.floor(F.col(b) / big)))
-    boxes = boxes.withColumn("gx", cells("xa", "xb")).withColumn("gy", cells("ya", "yb"))
-    held = p.withColumns({"gx": F.floor(F.col("px") / big), "gy": F.floor(F.col("py") / big)}).join(boxes, ["site_id", "gx", "gy"]).where("px between xa and xb and py between ya and yb")
-    crossing = ((F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py"))) & (F.col("px") < (F.col("x2") - F.col("x1")) * (F.col("py") - F.col("y1")) / F.when(F.col("y2") == F.col("y1"), 1.0).otherwise(F.col("y2") - F.col("y1")) + F.col("x1"))
-    inside = held.select("site_id", "id", "px", "py", "kind", "feature_id").join(areas, ["site_id", "kind", "feature_id"]).groupBy("site_id", "id", "kind", "feature_id").agg(F.sum(crossing.cast("int")).alias("n")).where("n % 2 = 1")
-    return edge.unionByName(inside.select("site_id", "id", "kind", "feature_id", F.lit(0.0).alias("distance")))
+    return edge.unionByName(containing(p, segments).withColumn("distance", F.lit(0.0)))
+
+
+def nearest_by_rings(points: DataFrame, segments: DataFrame, first: float = NEAR) -> DataFrame:
+    """points (site_id, id, x, y), segments -> site_id, id, kind, distance to the nearest feature of each kind that the site has.
+
+    Rings: whatever lies up to `first` away is found through bins of that size; points that found nothing of a kind go on with
+    bins four times as large, where features are few then, until all have found one. Points inside an area are done at once.
+    """
+    p = points.where("x is not null and y is not null").select("site_id", "id", F.col("x").alias("px"), F.col("y").alias("py"))
+    key = ["site_id", "id", "kind"]
+    inside = containing(p, segments).select(*key).distinct().withColumn("distance", F.lit(0.0))
+    # A kind that a site lacks is never asked for; any other is found in the end, as every distance is finite.
+    state = cut_lineage(p.join(segments.select("site_id", "kind").distinct(), "site_id").join(inside, key, "left"))
+    found, reach = [], first
+    while True:
+        found.append(state.where("distance is not null").select(*key, "distance"))
+        open_ = state.where("distance is null").drop("distance")
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        near = _with_bin(open_, reach).join(covers(segments, reach, reach), ["site_id", "kind", "bx", "by"])
+        least = near.where(_gap() <= reach).groupBy(*key).agg(F.min(_gap()).alias("distance"))
+        state = cut_lineage(open_.join(least, key, "left"))
+        reach *= 4
 
 
 def nearest_distance(points: DataFrame, segments: DataFrame, cap: float | None = None, kinds: tuple[str, ...] = ("water", "road", "building")) -> DataFrame:
     """points with <kind>_distance_m: metres to the nearest feature, null without one (within cap)."""
+    segments = segments.where(F.col("kind").isin(*kinds))
+    near = nearest_by_rings(points, segments) if cap is None else segment_distances(points, segments, cap)
     # Minima by kind are summed up before the shuffle, whatever the number of features.
-    near = segment_distances(points, segments, cap).groupBy("site_id", "id").agg(*[F.min(F.when(F.col("kind") == k, F.col("distance"))).alias(k) for k in kinds])
+    near = near.groupBy("site_id", "id").agg(*[F.min(F.when(F.col("kind") == k, F.col("distance"))).alias(k) for k in kinds])
     return points.join(near.select("site_id", "id", *[F.col(k).alias(f"{k}_distance_m") for k in kinds]), ["site_id", "id"], "left")
 
 
@@ -146,8 +212,9 @@ def enrich(candidates: DataFrame, segments: DataFrame, config: ContextConfig = C
     The first max_enriched_candidates of a site are enriched; the others are marked, with nulls.
     """
     first = candidates.where(F.col("rank") <= config.max_enriched_candidates)
-    near = distances(first, segments, cap)
-    three = near.groupBy("site_id", "id", "kind").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "feature_id"))), 1, 3).alias("f"), F.min("distance").alias("d"), F.sum((F.col("distance") <= config.nearby_radius_m).cast("int")).alias("n"))
+    closest = Window.partitionBy("site_id", "id", "kind").orderBy("distance", "feature_id")
+    near = distances(first, segments, cap).withColumn("_k", F.row_number().over(closest))
+    three = near.groupBy("site_id", "id", "kind").agg(F.array_sort(F.collect_list(F.when(F.col("_k") <= 3, F.struct("distance", "feature_id")))).alias("f"), F.min("distance").alias("d"), F.sum((F.col("distance") <= config.nearby_radius_m).cast("int")).alias("n"))
     wide = three.groupBy("site_id", "id").pivot("kind", ["water", "road", "building"]).agg(F.first("f").alias("nearest"), F.first("d").alias("distance_m"), F.first("n").alias("count"))
     names = [F.col(f"{k}_{a}").alias(f"n_{k}" if a == "count" else f"{k}_{a}") for k in ("water", "road", "building") for a in ("nearest", "distance_m", "count")]
     out = feasibility(first.join(wide.select("site_id", "id", *names), ["site_id", "id"], "left"), config).withColumn("enrichment_status", F.lit("enriched"))

@@ -1,10 +1,14 @@
 import json
+import math
+import random
 
+import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from terrainflow.functions.geo import metric_crs
-from terrainflow.operators.spatial import distinct_boxes, ring_features
-from terrainflow.operators.spatial import distances
+from terrainflow.operators.spatial import containing, distances, distinct_boxes, nearest_distance, ring_features
 from terrainflow.sources import features as feat
 from terrainflow.sources.kml import read_rainfall
 
@@ -73,3 +77,60 @@ def test_crs_boxes_and_rain_payloads(spark):
     assert distinct_boxes(boxes).count() == 2
     payload = spark.createDataFrame([(1, (["2024-06-01", "2024-06-02"], [1.5, None])), (2, (["2024-06-01"], [1.0, 2.0]))], "location_id bigint, daily struct<time:array<string>,precipitation_sum:array<double>>")
     assert sorted((r.location_id, r.date, r.mm) for r in read_rainfall(payload).collect()) == [(1, "2024-06-01", 1.5), (1, "2024-06-02", 0.0)]
+
+
+def plain_distance(x, y, seg):
+    x1, y1, x2, y2 = seg
+    dx, dy = x2 - x1, y2 - y1
+    t = max(0.0, min(1.0, ((x - x1) * dx + (y - y1) * dy) / (dx * dx + dy * dy))) if dx or dy else 0.0
+    return math.hypot(x - x1 - t * dx, y - y1 - t * dy)
+
+
+def plain_inside(x, y, edges):
+    return sum((y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 for x1, y1, x2, y2 in edges) % 2 == 1
+
+
+SEGMENTS = "site_id bigint, feature_id bigint, kind string, area boolean, x1 double, y1 double, x2 double, y2 double"
+
+
+def star(cx, cy, n, rng, lo, hi):
+    at = [(cx + r * math.cos(2 * math.pi * k / n), cy + r * math.sin(2 * math.pi * k / n)) for k in range(n) for r in [rng.uniform(lo, hi)]]
+    return [(*a, *b) for a, b in zip(at, at[1:] + at[:1], strict=True)]
+
+
+def test_nearest_by_rings_equals_all_pairs(spark):
+    """Points near and far (beyond several rings), long lines, areas with holes, kinds that a site lacks, missing coordinates."""
+    rng, rows, features = random.Random(8), [], {}
+    for s in range(4):
+        for f in range(rng.randint(1, 25)):
+            x, y = rng.uniform(-300, 300), rng.uniform(-300, 300)
+            kind = rng.choice(["road", "building"] if s == 1 else ["road", "building", "water"])
+            if kind == "water":
+                edges = star(x, y, 12, rng, 30, 80) + (star(x, y, 8, rng, 5, 20) if f % 2 else [])
+            else:
+                edges = [(x, y, x + rng.uniform(-900, 900), y + rng.uniform(-900, 900))] if kind == "road" else [(x, y, x, y)]
+            features[s, f] = (kind, edges)
+            rows += [(s, f, kind, kind == "water", *e) for e in edges]
+    places = [(s, k, *(rng.uniform(-400, 400) if k % 5 else rng.uniform(-9000, 9000) for _ in "xy")) for s in range(5) for k in range(60)]
+    points = spark.createDataFrame([*places, (0, 99, None, 1.0)], "site_id bigint, id bigint, x double, y double")
+    got = {(r.site_id, r.id): (r.water_distance_m, r.road_distance_m, r.building_distance_m) for r in nearest_distance(points, spark.createDataFrame(rows, SEGMENTS)).collect()}
+    assert got[0, 99] == (None, None, None) and len(got) == 301
+    for s, k, x, y in places:
+        want = []
+        for kind in ("water", "road", "building"):
+            found = [0.0 if kind == "water" and plain_inside(x, y, e) else min(plain_distance(x, y, seg) for seg in e) for (t, _), (m, e) in features.items() if (t, m) == (s, kind)]
+            want.append(min(found, default=None))
+        assert got[s, k] == pytest.approx(tuple(want)), (s, k)
+
+
+def test_points_in_an_area_of_many_edges(spark):
+    """A point meets the edges of its band only, not all of the area."""
+    rng = random.Random(2)
+    edges = star(0, 0, 100_000, rng, 900, 1000) + star(100, 50, 1000, rng, 200, 220)
+    places = [(0, k, rng.uniform(-1000, 1000), rng.uniform(-1000, 1000)) for k in range(200)]
+    points = spark.createDataFrame(places, "site_id bigint, id bigint, px double, py double")
+    segments = spark.createDataFrame(pd.DataFrame([(0, 1, "water", True, *e) for e in edges], columns=[c.split()[0] for c in SEGMENTS.split(", ")]), SEGMENTS)
+    got = {r.id for r in containing(points, segments).collect()}
+    a = np.array(edges)
+    inside = lambda x, y: ((((a[:, 1] > y) != (a[:, 3] > y)) & (x < (a[:, 2] - a[:, 0]) * (y - a[:, 1]) / np.where(a[:, 3] == a[:, 1], 1, a[:, 3] - a[:, 1]) + a[:, 0])).sum() % 2) == 1
+    assert got == {k for _, k, x, y in places if inside(x, y)}

@@ -69,7 +69,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     """
     if similarity < SIMILARITY:
         raise ValueError(f"the masks find windows of similarity {SIMILARITY} and more")
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), word_hashes(F.col("text").cast("string"), False).alias("words"))
+    # A separator at the start of a text leaves an empty word there, which no item holds and doc_start doesn't count.
+    lead = F.coalesce(F.substring(F.col("text").cast("string"), 1, 1).rlike(r"[^\p{L}\p{N}]"), F.lit(False)).cast("int")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), lead.alias("lead"), word_hashes(F.col("text").cast("string"), False).alias("words"))
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), word_hashes(F.col("text").cast("string")).alias("item")).where(F.size("item") >= max(1, least_words))
     items = items.groupBy("item").agg(F.min("item_id").alias("item_id")).withColumn("item_key", F.xxhash64("item", F.size("item")))
     found = items.groupBy(F.least(F.lit(WINDOW), F.size("item")).alias("n")).agg(F.sum(F.size("item")).alias("words")).collect()  # at most WINDOW rows
@@ -78,11 +80,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     # What a hit needs of its document: the words around it, not the whole array.
     near_at = F.greatest(F.col("at") - WINDOW, F.lit(0))
     near = [near_at.alias("near_at"), F.slice("words", near_at + 1, 2 * WINDOW).alias("near")]
-    ours = seeds_of(docs, "words", masks, ["doc_id"])
+    ours = seeds_of(docs, "words", masks, ["doc_id", "lead"])
     blocks, hits = max(1, -(-sum(r.words * len(MASKS[r.n]) for r in found) // SENT_SEEDS)), None
     for k in range(blocks):
         part = theirs.where(F.pmod("hash", F.lit(blocks)) == k) if blocks > 1 else theirs
-        met = ours.join(F.broadcast(part), "hash").select("doc_id", "item_key", "item_at", "span", "at", *near)
+        met = ours.join(F.broadcast(part), "hash").select("doc_id", "lead", "item_key", "item_at", "span", "at", *near)
         hits = met if hits is None else hits.unionByName(met)
     hits = hits.join(F.broadcast(items) if sum(r.words for r in found) <= SENT_WORDS else items, "item_key")
 
@@ -96,7 +98,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         return F.coalesce((F.get("item", j) == F.when((k >= 0) & (k < F.size("near")), F.get("near", k))).cast("int"), F.lit(0))
 
     equal = F.transform(F.sequence(low, high), same)
-    checked = hits.select("doc_id", "item_id", "item_key", diagonal.alias("doc_start"), F.size("item").alias("n_words"), size.alias("size"), equal.alias("equal"))
+    checked = hits.select("doc_id", "item_id", "item_key", (diagonal - F.col("lead")).alias("doc_start"), F.size("item").alias("n_words"), size.alias("size"), equal.alias("equal"))
     sums = F.transform(F.sequence(F.lit(1), F.size("equal") - F.col("size") + 1), lambda k: F.aggregate(F.slice("equal", k, F.col("size")), F.lit(0), lambda a, b: a + b))
     checked = checked.select("doc_id", "item_id", "item_key", "doc_start", "n_words", (F.array_max(sums) / F.col("size")).alias("similarity"))
     # The threshold comes after the maximum: before it, the filter would move into the join and keep whole documents in its rows.

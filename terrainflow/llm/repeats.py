@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrainflow.llm.common import byte_ids, join_ids, mix, shared_checkpoint, shuffle_partitions, text_batches, word_ids, word_spans
+from terrainflow.llm.merkle import numbered
 
 PROBE, FLAG, REQUEST, TEXT = 0, 1, 2, 3
 #: Bytes kept of each column of a block.
@@ -324,11 +325,29 @@ def _window_blocks(spec: Repeats):
     return run
 
 
+def each_text_apart(docs: DataFrame, run) -> DataFrame:
+    """run(docs (doc_id, text)), whose rows carry doc_id, where rows that share a doc_id, but not the text, are documents of their own.
+
+    They stand one after another, in the order of a hash of their texts. run tells documents by doc_id alone, so where any
+    doc_id has several texts, documents get numbers in the order (doc_id, hash) for it; else the doc_ids serve as they are.
+    """
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    told = docs.withColumn("_hash", F.xxhash64("text"))
+    known = told.where("doc_id is not null").select("doc_id", "_hash")
+    if known.groupBy("doc_id").agg(F.min("_hash").alias("lo"), F.max("_hash").alias("hi")).where("lo <> hi").isEmpty():
+        return run(docs)
+    numbers, _ = numbered(known.distinct().withColumn("tree", F.lit("")), ["doc_id", "_hash"])
+    numbers = shared_checkpoint(numbers.select("doc_id", "_hash", F.col("idx").cast("bigint").alias("_number")))
+    out = run(told.join(numbers, ["doc_id", "_hash"], "left").select(F.col("_number").alias("doc_id"), "text"))
+    named = numbers.select(F.col("_number").alias("doc_id"), F.col("doc_id").alias("_doc"))
+    return out.join(named, "doc_id", "left").withColumn("doc_id", F.col("_doc")).select(*out.columns)
+
+
 def repeated_ranges(docs: DataFrame, window: int, gram: int, unit: str, same_document: bool):
     """(texts, flags, spec): packed texts and packed ranges of repeats, both by document bucket.
 
     docs has doc_id (bigint; null: never a source, never flagged) and text (null: empty). Rows that share a
-    doc_id are taken for one document: none is a repeat of the other.
+    doc_id are taken for one document: none is a repeat of the other (each_text_apart sees to it that they have one text).
     """
     spec = Repeats(window, gram, unit, same_document, shuffle_partitions(docs.sparkSession))
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from terrainflow.llm.repeats import FLAG, covered, read_text_block, repeated_ranges, unpack_all
+from terrainflow.llm.repeats import FLAG, covered, each_text_apart, read_text_block, repeated_ranges, unpack_all
 
 WINDOW = 20
 GRAM = 6
@@ -72,8 +72,13 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     docs: doc_id, text; other columns are ignored. Earlier: a smaller doc_id, or an earlier start in the same
     document. Returns one row per input row: doc_id, n_words, n_removed, spans and factors (in words), kept
     (remaining words joined by one space). Null or empty text: no words. Fewer than `window` words: nothing
-    removed. Null doc_id: kept as it is and never a source. Rows that repeat a doc_id count as one document.
+    removed. Null doc_id: kept as it is and never a source. Rows that repeat doc_id and text count as one document; rows
+    that share a doc_id only are documents of their own, in the order of a hash of their texts.
     Empty table: empty result.
     """
-    texts, flags, spec = repeated_ranges(docs, window, min(GRAM, window), "word", True)
-    return texts.groupBy("bucket").cogroup(flags.groupBy("bucket")).applyInArrow(_parse(spec.window), OUT)
+
+    def run(rows: DataFrame) -> DataFrame:
+        texts, flags, spec = repeated_ranges(rows, window, min(GRAM, window), "word", True)
+        return texts.groupBy("bucket").cogroup(flags.groupBy("bucket")).applyInArrow(_parse(spec.window), OUT)
+
+    return each_text_apart(docs, run)

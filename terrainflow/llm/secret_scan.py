@@ -160,15 +160,21 @@ def digest(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with secret_spans -> docs with each stretch of overlapping spans in text replaced by mark, without secret_spans."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    """docs with secret_spans -> docs with each stretch of overlapping spans in text replaced by mark, without secret_spans.
 
-    def step(state, s):
-        new = s.start >= state.at
-        gap = F.substring(F.col("text"), state.at + 1, s.start - state.at)
-        return F.struct(F.greatest(state.at, s.end).alias("at"), F.when(new, F.concat(state.parts, F.array(gap, F.lit(mark)))).otherwise(state.parts).alias("parts"))
-
-    state = F.aggregate("secret_spans", start, step)
-    joined = F.concat(F.array_join(state.parts, ""), F.substring(F.col("text"), state["at"] + 1, F.length("text")))
-    clean = F.when(F.size("secret_spans") > 0, joined).otherwise(F.col("text"))
+    Starts and ends in order say how many spans are open; a stretch lasts from where the first opens to where the last
+    closes (spans that only touch are two). What lies between is cut out of the text's characters once, and joined once.
+    """
+    opens = F.transform("secret_spans", lambda s: F.struct(s["start"].alias("at"), F.lit(1).alias("step")))
+    closes = F.transform("secret_spans", lambda s: F.struct(s["end"].alias("at"), F.lit(-1).alias("step")))
+    events = F.array_sort(F.concat(opens, closes))  # an end comes before a start at the same place
+
+    def cut(es):
+        told = F.arrays_zip(F.transform(es, lambda e: e["at"]).alias("at"), F.transform(es, lambda e: e["step"]).alias("step"), _sums_before(F.transform(es, lambda e: e["step"])).alias("open"))
+        edge = lambda t, step, before: F.transform(F.filter(t, lambda e: (e["step"] == step) & (e["open"] == before)), lambda e: e["at"])
+        between = lambda t: F.arrays_zip(F.concat(F.array(F.lit(0)), edge(t, -1, 1)).alias("lo"), F.concat(edge(t, 1, 0), F.array(F.length("text"))).alias("hi"))
+        pieces = lambda t: _let(F.split("text", ""), lambda c: F.transform(between(t), lambda g: F.array_join(F.slice(c, g["lo"] + 1, g["hi"] - g["lo"]), "")))
+        return F.array_join(_let(told, pieces), mark)
+
+    clean = F.when(F.size("secret_spans") > 0, _let(events, cut)).otherwise(F.col("text"))
     return docs.withColumn("text", clean).drop("secret_spans")

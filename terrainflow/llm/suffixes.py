@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from terrainflow.llm.repeats import FLAG, covered, read_text_block, repeated_ranges, unpack_all
+from terrainflow.llm.repeats import FLAG, covered, each_text_apart, read_text_block, repeated_ranges, unpack_all
 
 WINDOW = 50
 GRAM = 16
@@ -51,8 +51,12 @@ def byte_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     docs: doc_id, text; other columns are ignored. Returns one row per input row: doc_id, n_bytes, n_removed,
     spans (bytes, maximal), kept (remaining bytes; may cut a character). Null text: empty. Shorter than `window`:
-    nothing removed. Null doc_id: kept as it is and never a source. Rows that repeat a doc_id never remove from
-    each other. Empty table: empty result.
+    nothing removed. Null doc_id: kept as it is and never a source. Rows that repeat doc_id and text never
+    remove from each other; rows that share a doc_id only are documents of their own, in the order of a hash of their texts. Empty table: empty result.
     """
-    texts, flags, spec = repeated_ranges(docs, window, min(GRAM, window), "byte", False)
-    return texts.groupBy("bucket").cogroup(flags.groupBy("bucket")).applyInArrow(_cut(spec.window), OUT)
+
+    def run(rows: DataFrame) -> DataFrame:
+        texts, flags, spec = repeated_ranges(rows, window, min(GRAM, window), "byte", False)
+        return texts.groupBy("bucket").cogroup(flags.groupBy("bucket")).applyInArrow(_cut(spec.window), OUT)
+
+    return each_text_apart(docs, run)

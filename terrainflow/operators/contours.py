@@ -59,13 +59,14 @@ def nearest_samples(cells: DataFrame, samples: DataFrame, k: int, bin_size: floa
     """cells with near: the k nearest samples (distance, sample, x, y, elevation_m), ties by the lower sample.
 
     Bins of growing size: a cell is done when its k-th sample is nearer than the ring of bins that was searched; only
-    the others go on, with bins twice as large. Samples that are fewer than k end the search.
+    the others go on, with bins twice as large, until all are done. Samples that are fewer than k end the search; a site
+    without any has null.
     """
     total = samples.groupBy("site_id").agg(F.count("*").alias("_total"))
-    left = cells.join(F.broadcast(total), "site_id").select("site_id", "row", "col", "x", "y", "_total")
+    left = cells.join(total, "site_id", "left").select("site_id", "row", "col", "x", "y", F.coalesce("_total", F.lit(0)).alias("_total"))
     done = None
     offsets = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    for _ in range(40):
+    while True:
         binned = samples.select("site_id", "sample", F.col("x").alias("sx"), F.col("y").alias("sy"), "elevation_m", F.floor(F.col("x") / bin_size).alias("bx"), F.floor(F.col("y") / bin_size).alias("by"))
         probes = left.withColumn("o", F.explode(offsets)).withColumns({"bx": F.floor(F.col("x") / bin_size) + F.col("o.dx"), "by": F.floor(F.col("y") / bin_size) + F.col("o.dy")}).drop("o")
         square = (F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("y") - F.col("sy")) * (F.col("y") - F.col("sy"))
@@ -75,7 +76,7 @@ def nearest_samples(cells: DataFrame, samples: DataFrame, k: int, bin_size: floa
         near = best.groupBy("site_id", "row", "col").agg(F.array_sort(F.collect_list(F.struct("d2", "sample", F.col("sx").alias("x"), F.col("sy").alias("y"), "elevation_m"))).alias("near"))
         state = cut_lineage(left.join(near, ["site_id", "row", "col"], "left"))
         enough = (F.size("near") >= F.least(F.lit(k), F.col("_total"))) & (F.element_at("near", -1).d2 <= bin_size * bin_size)
-        everything = F.size("near") >= F.col("_total")
+        everything = F.coalesce(F.size("near"), F.lit(0)) >= F.col("_total")
         ok = F.coalesce(enough | everything, F.lit(False))
         done = state.where(ok) if done is None else done.unionByName(state.where(ok))
         left = state.where(~ok).drop("near")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrainflow.functions.geo import metric_crs
+from terrainflow.operators.contours import grid_nearest
 from terrainflow.operators.spatial import containing, distances, distinct_boxes, nearest_distance, ring_features
 from terrainflow.sources import features as feat
 from terrainflow.sources.kml import read_rainfall
@@ -134,3 +135,10 @@ def test_points_in_an_area_of_many_edges(spark):
     a = np.array(edges)
     inside = lambda x, y: ((((a[:, 1] > y) != (a[:, 3] > y)) & (x < (a[:, 2] - a[:, 0]) * (y - a[:, 1]) / np.where(a[:, 3] == a[:, 1], 1, a[:, 3] - a[:, 1]) + a[:, 0])).sum() % 2) == 1
     assert got == {k for _, k, x, y in places if inside(x, y)}
+
+
+def test_far_cells_and_sites_without_samples_stay(spark):
+    cells = spark.createDataFrame([(0, 0, 0, 0.0, 0.0), (0, 0, 1, 3e6, 0.0), (1, 0, 0, 0.0, 0.0)], "site_id bigint, row int, col int, x double, y double")
+    samples = spark.createDataFrame([(0, 0, 1.0, 1.0, 7.0), (0, 1, 2.0, 2.0, 9.0)], "site_id bigint, sample bigint, x double, y double, elevation_m double")
+    got = {(r.site_id, r.col): r.elevation for r in grid_nearest(cells, samples, 1000.0).collect()}
+    assert got == {(0, 0): 7.0, (0, 1): 9.0, (1, 0): None}

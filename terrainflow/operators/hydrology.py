@@ -235,49 +235,6 @@ def boundary_edges(members: DataFrame) -> DataFrame:
     return each.groupBy("site_id", "outlet", "e").count().where("count = 1").select("site_id", "outlet", "e.r1", "e.c1", "e.r2", "e.c2")
 
 
-def _stitch(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Closed rings from the boundary edges of one catchment; the mask lies on the left, so holes run the other way."""
-    following: dict[tuple, list] = {}
-    for r1, c1, r2, c2, in_r, in_c in pdf[["r1", "c1", "r2", "c2", "in_r", "in_c"]].itertuples(index=False):
-        ahead = in_r == r1 if r1 == r2 else in_c != c1
-        a, b = ((r1, c1), (r2, c2)) if ahead else ((r2, c2), (r1, c1))
-        following.setdefault(a, []).append(b)
-    rings = []
-    while following:
-        start = min(following)
-        ring, at, before = [start], start, None
-        while True:
-            options = following[at]
-            if len(options) > 1 and before is not None:  # at a shared corner turn towards the own cell
-                heading = (at[0] - before[0], at[1] - before[1])
-                options.sort(key=lambda p: heading[0] * (p[1] - at[1]) - heading[1] * (p[0] - at[0]))
-            nxt = options.pop(0)
-            if not options:
-                del following[at]
-            ring.append(nxt)
-            before, at = at, nxt
-            if at == start:
-                break
-        slim = [p for i, p in enumerate(ring[:-1]) if not (ring[i - 1 if i else -2][0] == p[0] == ring[i + 1][0] or ring[i - 1 if i else -2][1] == p[1] == ring[i + 1][1])]
-        slim.append(slim[0])
-        area = sum(a[1] * b[0] - b[1] * a[0] for a, b in zip(slim, slim[1:], strict=False)) / 2
-        rings.append((slim, area))
-    rings.sort(key=lambda x: x[0][0])
-    return pd.DataFrame({"site_id": pdf["site_id"].iloc[0], "outlet": pdf["outlet"].iloc[0], "ring": range(len(rings)), "hole": [a < 0 for _, a in rings], "area_cells": [abs(a) for _, a in rings], "corners": [[{"r": float(r), "c": float(c)} for r, c in ring] for ring, _ in rings]})
-
-
-def mask_rings(members: DataFrame) -> DataFrame:
-    """members (site_id, outlet, row, col) -> closed rings of each catchment in cell corners: ring, hole, area_cells, corners.
-
-    Edges are cancelled by a grouped count; only the outline of a catchment is stitched in one task.
-    """
-    edges = boundary_edges(members)
-    inside = members.select("site_id", "outlet", F.col("row").alias("in_r"), F.col("col").alias("in_c"))
-    places = edges.withColumn("p", F.explode(F.array(F.struct(F.col("r1").alias("in_r"), F.col("c1").alias("in_c")), F.when(F.col("r1") == F.col("r2"), F.struct((F.col("r1") - 1).alias("in_r"), F.col("c1").alias("in_c"))).otherwise(F.struct(F.col("r1").alias("in_r"), (F.col("c1") - 1).alias("in_c"))))))
-    owned = places.select("site_id", "outlet", "r1", "c1", "r2", "c2", F.col("p.in_r").alias("in_r"), F.col("p.in_c").alias("in_c")).join(inside, ["site_id", "outlet", "in_r", "in_c"], "left_semi")
-    return owned.groupBy("site_id", "outlet").applyInPandas(_stitch, "site_id bigint, outlet bigint, ring int, hole boolean, area_cells double, corners array<struct<r:double,c:double>>")
-
-
 def hydrology_summary(filled: DataFrame, flow: DataFrame, accumulation: DataFrame, meta: DataFrame) -> DataFrame:
     """One row a site: cells, sinks before and after filling, accumulation, share of routed cells, depression figures."""
     before = internal_sinks(filled.select("site_id", "row", "col", "elevation"), meta).withColumnRenamed("internal_sinks", "sinks_original")

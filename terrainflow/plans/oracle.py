@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from terrainflow.operators import scoring as sc
+from terrainflow.plans import boundary_sql as bs
 
 CELLS = """cells AS (SELECT (o_orderkey // 1024)::BIGINT AS site_id, ((o_orderkey % 1024) // 32)::INT AS r, (o_orderkey % 32)::INT AS c,
   CASE WHEN o_orderkey % 97 <> 13 THEN 100.0::DOUBLE + 0.5::DOUBLE * ((o_orderkey % 1024) // 32) + 0.25::DOUBLE * (o_orderkey % 32) + round(o_totalprice / 250000.0::DOUBLE, 3) END AS z FROM orders),
@@ -151,6 +152,22 @@ def oracle_sql() -> dict[str, str]:
         "boundary_edges": _with(MEMBERS, "SELECT m.site_id, m.outlet, (4 * count(*) - sum((SELECT count(*) FROM members n WHERE n.site_id = m.site_id AND n.outlet = m.outlet AND abs(n.r - m.r) + abs(n.c - m.c) = 1)))::BIGINT AS edges FROM members m GROUP BY 1, 2"),
         "catchment_rings": _with(MEMBERS, "SELECT site_id, outlet, count(*)::DOUBLE AS cells FROM members GROUP BY 1, 2"),
         "geometry_check": _with(MEMBERS, "SELECT site_id, outlet, true AS geometry_ok FROM members GROUP BY 1, 2"),
+        "catchment_parts": _with(f"{MEMBERS}, {bs.VERTICES}, {bs.PARTS}", "SELECT site_id, outlet, parts, holes, vertices FROM pieces JOIN turns USING (site_id, outlet)"),
+        "catchment_vertices": _with(f"{MEMBERS}, {bs.VERTICES}", "SELECT * FROM vertices"),
+        "catchment_boundary": _with(f"{MEMBERS}, {bs.VERTICES}, {bs.FRAMES}, spots AS (SELECT v.*, x0 + (c - 0.5::DOUBLE) * dx AS x, y0 + (r - 0.5::DOUBLE) * dy AS y FROM vertices v JOIN frames USING (site_id)), {bs.wgs84('spots')}", "SELECT site_id, outlet, r, c, round(longitude, 7) AS longitude, round(latitude, 7) AS latitude FROM placed"),
+        "catchment_geojson": _with(f"{MEMBERS}, {bs.VERTICES}, {bs.PARTS}", "SELECT site_id, outlet, n AS cells, (25.0 * n)::DOUBLE AS area_m2, true AS area_ok, CASE WHEN parts > 1 THEN 'MultiPolygon' ELSE 'Polygon' END AS kind, (vertices + parts + holes)::BIGINT AS points FROM pieces JOIN turns USING (site_id, outlet) JOIN (SELECT site_id, outlet, count(*) AS n FROM members GROUP BY 1, 2) USING (site_id, outlet)"),
+        "alternatives": _with(f"{ENDS}, {bs.alternatives()}", "SELECT site_id, alternative::INT AS alternative, r AS row, c AS col, cell FROM chosen3"),
+        "alternative_candidates": _with(
+            f"{ENDS}, {SLOPE.removeprefix(CELLS + ',')}, {bs.alternatives()}, {bs.FRAMES}, site AS ({_site_recommendation()}), spots AS (SELECT p.*, x0 + c * dx AS x, y0 + r * dy AS y FROM chosen3 p JOIN frames USING (site_id)), {bs.wgs84('spots')}",
+            "SELECT p.site_id, p.cell, 'alternative-' || alternative AS candidate_id, p.r AS row, p.c AS col, round(s.z, 6) AS elevation, round(s.s, 6) AS slope_degrees, accumulation * 25.0::DOUBLE AS catchment_area_m2, round(accumulation * 25.0::DOUBLE / 1e4::DOUBLE, 6) AS catchment_area_ha, round(accumulation * 25.0::DOUBLE / 1e6::DOUBLE, 6) AS catchment_area_km2, round(longitude, 6) AS longitude, round(latitude, 6) AS latitude, site.overall_score AS suitability_score "
+            "FROM placed p JOIN slopes s ON s.site_id = p.site_id AND s.r = p.r AND s.c = p.c JOIN acc a ON a.site_id = p.site_id AND a.cell = p.cell LEFT JOIN site ON site.site_id = p.site_id",
+        ),
+        "separation": _with(bs.thinned("(c_custkey * 31) % 100 * 1000 + c_custkey % 100", 40.0, True), "SELECT site_id, id FROM kept"),
+        "leader_clusters": _with(
+            bs.thinned("c_custkey", 60.0, False),
+            "SELECT site_id, id, id AS leader FROM kept UNION ALL SELECT site_id, id, leader FROM (SELECT b.site_id, b.id, k.id AS leader, row_number() OVER (PARTITION BY b.site_id, b.id ORDER BY floor(k.x / 60.0) - floor(b.x / 60.0), floor(k.y / 60.0) - floor(b.y / 60.0), k.p) AS n "
+            "FROM b JOIN kept k ON k.site_id = b.site_id AND k.p < b.p AND (k.x - b.x) * (k.x - b.x) + (k.y - b.y) * (k.y - b.y) <= 3600.0 WHERE NOT EXISTS (SELECT 1 FROM kept o WHERE o.id = b.id)) WHERE n = 1",
+        ),
         "catchment_check": _with(MEMBERS, "SELECT e.site_id, e.cell AS outlet, any_value(accumulation_cells) AS accumulation_cells, count(*) AS cells, 0.0::DOUBLE AS area_difference, true AS area_ok FROM ends e JOIN members m ON m.site_id = e.site_id AND m.outlet = e.cell WHERE rank <= 2 GROUP BY 1, 2"),
         "hydrology_quality": _with(FLOW, "SELECT site_id, valid_cells, sink_cells, edge_cells, round(sf, 6) AS sink_fraction, round(score, 6) AS hydrology_score, CASE WHEN score >= 0.85 AND sink_cells = 0 AND ef <= 0.5 THEN 'good' WHEN score >= 0.65 THEN 'acceptable' ELSE 'poor' END AS hydrology_status, CASE WHEN sf > 0.10 THEN 'high' WHEN sf > 0.03 THEN 'moderate' ELSE 'low' END AS sink_level FROM (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.35::DOUBLE + 0.35::DOUBLE + 0.20::DOUBLE * (1 - least(2 * sf, 1.0::DOUBLE)) + 0.10::DOUBLE - least(0.5::DOUBLE * ef, 0.5::DOUBLE))) AS score FROM (SELECT site_id, count(*) AS valid_cells, (count(*) FILTER (flow_dir < 0 AND NOT ring))::BIGINT AS sink_cells, (count(*) FILTER (ring))::BIGINT AS edge_cells, (count(*) FILTER (flow_dir < 0 AND NOT ring)) / count(*)::DOUBLE AS sf, (count(*) FILTER (ring)) / count(*)::DOUBLE AS ef FROM flow WHERE z IS NOT NULL GROUP BY 1))"),
         "local_maxima": _with(ACC, "SELECT f.site_id, f.r AS row, f.c AS col, a.accumulation FROM flow f JOIN acc a ON a.site_id = f.site_id AND a.cell = f.cell WHERE NOT EXISTS (SELECT 1 FROM flow g JOIN acc b ON b.site_id = g.site_id AND b.cell = g.cell WHERE g.site_id = f.site_id AND g.r BETWEEN f.r - 1 AND f.r + 1 AND g.c BETWEEN f.c - 1 AND f.c + 1 AND b.accumulation > a.accumulation)"),

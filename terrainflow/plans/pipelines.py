@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from terrainflow.functions.geo import analysis_bounds, from_utm
 from terrainflow.operators import hydrology as h
+from terrainflow.operators.boundaries import in_wgs84, multipolygons, nested_rings
 from terrainflow.operators.candidates import CandidateConfig, generate_candidates
 from terrainflow.operators.contours import contour_points, distinct_samples, grid_nearest, make_grid
 from terrainflow.operators.iterate import cut_lineage
-from terrainflow.operators.quality import dem_score, gradient_stats, hydrology_quality, terrain_summary
+from terrainflow.operators.quality import catchment_check, dem_score, gradient_stats, hydrology_quality, terrain_summary
 from terrainflow.operators.rainfall import RainfallConfig, runoff, seasonal_rainfall
 from terrainflow.operators.scoring import EngineConfig, rank_legacy, run_engine
 from terrainflow.operators.spatial import ContextConfig, enrich, exclude_near_water
 from terrainflow.operators.stencil import dense_grid, with_slope
+from terrainflow.sources.sinks import geojson_polygons
 
 
 def analyze_hydrology(cells: DataFrame, meta: DataFrame, fill: bool = True, tile: int = h.TILE) -> dict[str, DataFrame]:
@@ -118,3 +120,38 @@ def alternatives(flow: DataFrame, accumulation: DataFrame, main: DataFrame, k: i
         return pd.DataFrame(chosen, columns=["site_id", "alternative", "row", "col", "cell"])
 
     return ends.unionByName(pool.select(*ends.columns)).groupBy("site_id").applyInPandas(pick, "site_id bigint, alternative int, row int, col int, cell bigint")
+
+
+def candidates_from_cells(picked: DataFrame, cells: DataFrame, members: DataFrame, meta: DataFrame, frames: DataFrame, score: DataFrame | None = None) -> DataFrame:
+    """Candidates from cells: place in WGS84, elevation, slope, own catchment area, score.
+
+    picked: site_id, cell and what names them. cells: site_id, row, col, cell, elevation, slope_degrees. members: catchments whose
+    outlets are the picked cells; a cell without one (no data) has area 0. frames: see `boundaries.in_wgs84`. score: site_id,
+    suitability_score of the site; null without it.
+    """
+    area = h.catchment_area(members, meta).select("site_id", F.col("outlet").alias("cell"), *[F.col(c).alias(f"catchment_{c}") for c in ("area_m2", "area_ha", "area_km2")])
+    at = from_utm(F.col("x0") + F.col("col") * F.col("dx"), F.col("y0") + F.col("row") * F.col("dy"), F.col("zone"), F.col("south"))
+    out = picked.join(cells.select("site_id", "cell", "row", "col", "elevation", "slope_degrees"), ["site_id", "cell"]).join(area, ["site_id", "cell"], "left").fillna(0.0, [c for c in area.columns if c.startswith("catchment_")])
+    out = out.join(frames, "site_id", "left").withColumn("_p", at).withColumns({"longitude": F.col("_p.longitude"), "latitude": F.col("_p.latitude")}).drop("_p", "x0", "y0", "dx", "dy", "zone", "south")
+    return out.join(score, "site_id", "left") if score is not None else out.withColumn("suitability_score", F.lit(None).cast("double"))
+
+
+def alternative_candidates(flow: DataFrame, accumulation: DataFrame, main: DataFrame, meta: DataFrame, frames: DataFrame, score: DataFrame | None = None, k: int = 3) -> DataFrame:
+    """The alternatives of each site's main outlet as candidates, each with the area of its own catchment."""
+    column = "filled" if "filled" in flow.columns else "elevation"
+    picked = cut_lineage(alternatives(flow, accumulation, main, k).select("site_id", "cell", F.concat(F.lit("alternative-"), F.col("alternative").cast("string")).alias("candidate_id")))
+    members = h.catchments(flow, picked.select("site_id", F.col("cell").alias("outlet")), column)
+    sloped = with_slope(flow.select("site_id", "row", "col", "cell", "elevation"), meta).select("site_id", "row", "col", "cell", "elevation", F.col("slope").alias("slope_degrees"))
+    return candidates_from_cells(picked, sloped, members, meta, frames, score)
+
+
+def analyze_catchment(flow: DataFrame, accumulation: DataFrame, outlets: DataFrame, meta: DataFrame, frames: DataFrame, column: str = "elevation") -> DataFrame:
+    """outlets (site_id, outlet) -> area, its agreement with the accumulation, and the boundary in WGS84 as polygons and GeoJSON."""
+    members = cut_lineage(h.catchments(flow, outlets, column))
+    area = h.catchment_area(members, meta)
+    asked = outlets.select("site_id", F.col("outlet").alias("cell")).distinct()
+    check = catchment_check(area, asked.join(accumulation.select("site_id", "cell", F.col("accumulation").alias("accumulation_cells")), ["site_id", "cell"]))
+    placed = members.join(flow.select("site_id", "cell", "row", "col"), ["site_id", "cell"])
+    shape = multipolygons(in_wgs84(nested_rings(placed), frames))
+    out = area.join(check.drop(*[c for c in area.columns if c in check.columns and c not in ("site_id", "outlet")]), ["site_id", "outlet"], "left")
+    return out.join(shape, ["site_id", "outlet"], "left").withColumn("boundary", geojson_polygons(F.col("polygons")))

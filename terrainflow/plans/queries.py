@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrainflow.functions import geo
+from terrainflow.operators import boundaries as bnd
 from terrainflow.operators import candidates as cand
 from terrainflow.operators import contours as con
 from terrainflow.operators import hydrology as h
@@ -159,17 +160,51 @@ def boundary_edges(spark, d):
 
 def catchment_rings(spark, d):
     """Net area of the stitched rings in cells: the size of each catchment."""
-    rings = h.mask_rings(_members(spark, d)[0])
+    rings = bnd.nested_rings(_members(spark, d)[0])
     return tidy(rings.groupBy("site_id", "outlet").agg(F.sum(F.when(F.col("hole"), -F.col("area_cells")).otherwise(F.col("area_cells"))).alias("cells")))
 
 
+def catchment_parts(spark, d):
+    """Parts, holes and corners of each catchment's outline."""
+    rings = bnd.nested_rings(_members(spark, d)[0])
+    count = lambda c: F.sum(c.cast("bigint"))
+    return rings.groupBy("site_id", "outlet").agg(count(~F.col("hole")).alias("parts"), count(F.col("hole")).alias("holes"), count(F.size("corners") - 1).alias("vertices"))
+
+
+def catchment_vertices(spark, d):
+    """Corners where an outline turns, and how many rings turn there."""
+    rings = bnd.nested_rings(_members(spark, d)[0])
+    return bnd.ring_vertices(rings).groupBy("site_id", "outlet", "r", "c").agg(F.count("*").alias("rings"))
+
+
+def _frames(spark, d):
+    cells = tables.dem_cells(spark, d)
+    placed = cells.withColumns({"x": tables.X0 + 1000 * (F.col("site_id") % 100) + 5.0 * F.col("col"), "y": tables.Y0 + 5.0 * F.col("row")})
+    return bnd.grid_frames(placed, F.lit(44), F.lit(False))
+
+
+def catchment_boundary(spark, d):
+    """The corners of every ring in WGS84."""
+    rings = bnd.in_wgs84(bnd.nested_rings(_members(spark, d)[0]), _frames(spark, d))
+    each = rings.select("site_id", "outlet", F.explode(F.slice(F.arrays_zip("corners", "points"), F.lit(1), F.size("corners") - 1)).alias("v"))
+    return tidy(each.select("site_id", "outlet", "v.corners.r", "v.corners.c", "v.points.longitude", "v.points.latitude").distinct(), 7)
+
+
+def catchment_geojson(spark, d):
+    """Catchments with area, check and the kind of their boundary, read back from the GeoJSON; the number of its points."""
+    flow, meta, ends = _ends(spark, d, 2)
+    out = pipelines.analyze_catchment(flow, h.flow_accumulation(flow), ends.select("site_id", F.col("cell").alias("outlet")), meta, _frames(spark, d))
+    points = F.size(F.split("boundary", r"\[-?[0-9]")) - 1
+    return tidy(out.select("site_id", "outlet", "cells", "area_m2", "area_ok", F.get_json_object("boundary", "$.type").alias("kind"), points.cast("bigint").alias("points")))
+
+
 def catchment_check(spark, d):
     members, meta, ends = _members(spark, d)
     return tidy(qa.catchment_check(h.catchment_area(members, meta), ends))
 
 
 def geometry_check(spark, d):
-    return qa.geometry_check(h.mask_rings(_members(spark, d)[0]))
+    return qa.geometry_check(bnd.nested_rings(_members(spark, d)[0]))
 
 
 def hydrology_summary(spark, d):
@@ -237,6 +272,14 @@ def alternatives(spark, d):
     return pipelines.alternatives(flow, h.flow_accumulation(flow), ends.select("site_id", "cell"))
 
 
+def alternative_candidates(spark, d):
+    """Alternatives of each site's main outlet with place, slope, the area of their own catchments and the site's score."""
+    dense, _ = _grid(spark, d)
+    flow, meta, ends = _ends(spark, d, 1)
+    score = pipelines.site_recommendation(qa.terrain_summary(with_slope(dense, meta), meta)).select("site_id", F.col("overall_score").alias("suitability_score"))
+    return tidy(pipelines.alternative_candidates(flow, h.flow_accumulation(flow), ends.select("site_id", "cell"), meta, _frames(spark, d), score))
+
+
 def legacy_scores(spark, d):
     scored = sc.legacy_scores(tables.site_candidates(spark, d))
     return tidy(scored.select("site_id", "candidate_id", *[c for c in scored.columns if c.startswith("score_")], "overall_score"))

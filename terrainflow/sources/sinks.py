@@ -27,8 +27,18 @@ def closed(points: Column) -> Column:
     return F.when((F.size(points) > 0) & (first != last), F.concat(points, F.array(first))).otherwise(points)
 
 
+def significant(v: Column, digits: int = 12) -> Column:
+    """Text of a number with so many significant digits, as C's %g writes it: no zeros at the end, an exponent below 1e-4."""
+    powers = F.format_string(f"%.{digits - 1}e", v)
+    exponent = F.substring_index(powers, "e", -1).cast("int")
+    plain = F.printf(F.concat(F.lit("%."), F.greatest(digits - 1 - exponent, F.lit(0)).cast("string"), F.lit("f")), v)
+    bare = lambda t: F.when(F.contains(t, F.lit(".")), F.regexp_replace(t, r"\.?0+$", "")).otherwise(t)
+    short = F.concat(bare(F.substring_index(powers, "e", 1)), F.lit("e"), F.substring_index(powers, "e", -1))
+    return F.when(exponent.between(-4, digits - 1), bare(plain)).otherwise(short)
+
+
 def coordinate_text(points: Column) -> Column:
-    number = lambda v: F.regexp_replace(F.format_string("%.9f", v), r"\.?0+$", "")
+    number = significant
     return F.array_join(F.transform(points, lambda p: F.concat(number(p.longitude), F.lit(","), number(p.latitude), F.lit(",0"))), " ")
 
 
@@ -48,6 +58,14 @@ def polygon_placemark(name: Column, ring: Column) -> Column:
     return F.when(F.size(p) >= 4, F.concat(F.lit("<Placemark><name>"), xml_escape(name), F.lit("</name><Polygon><outerBoundaryIs><LinearRing><coordinates>"), coordinate_text(p), F.lit("</coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark>")))
 
 
+def multipolygon_placemarks(name: Column, polygons: Column) -> Column:
+    """Outer rings of polygons as placemarks, one text: numbered from 1 where there are several; null without a usable one."""
+    many = F.size(polygons) > 1
+    each = F.transform(polygons, lambda p, k: polygon_placemark(F.when(many, F.concat(name, F.lit(" "), (k + 1).cast("string"))).otherwise(name), F.element_at(p, 1)))
+    text = F.array_join(F.filter(each, lambda t: t.isNotNull()), "")
+    return F.when(F.length(text) > 0, text)
+
+
 def kml_documents(placemarks: DataFrame) -> DataFrame:
     """placemarks (site_id, ord, placemark; null ones are left out) -> site_id, kml. A document has the rows of one site."""
     parts = placemarks.where("placemark is not null").groupBy("site_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "placemark"))), lambda p: p.placemark), "").alias("body"))
@@ -60,10 +78,20 @@ def geojson_col(rings: Column) -> Column:
     return F.when(rings.isNotNull(), F.to_json(F.struct(F.lit("Polygon").alias("type"), coordinates.alias("coordinates"))))
 
 
-def site_placemarks(sites: DataFrame, ranked: DataFrame, contours: DataFrame | None = None) -> DataFrame:
-    """Placemarks of centre, bounds, recommended and alternative sites, and contours, in that order.
+def geojson_polygons(polygons: Column) -> Column:
+    """polygons (array of parts, each an array of rings, outer first) -> GeoJSON Polygon of one part, MultiPolygon of several; null without any."""
+    points = lambda r: F.transform(r, lambda p: F.array(p.longitude, p.latitude))
+    parts = F.transform(polygons, lambda rings: F.transform(rings, points))
+    several = F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), parts.alias("coordinates")))
+    single = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.try_element_at(parts, F.lit(1)).alias("coordinates")))
+    return F.when(F.size(polygons) > 1, several).when(F.size(polygons) == 1, single)
+
+
+def site_placemarks(sites: DataFrame, ranked: DataFrame, contours: DataFrame | None = None, catchments: DataFrame | None = None) -> DataFrame:
+    """Placemarks of centre, bounds, catchment, recommended and alternative sites, and contours, in that order.
 
     sites: site_id, latitude, longitude, south, west, north, east. ranked: site_id, rank, latitude, longitude.
+    catchments: site_id, polygons.
     """
     corner = lambda a, b: F.struct(F.col(a).cast("double").alias("longitude"), F.col(b).cast("double").alias("latitude"))
     centre = sites.select("site_id", F.lit(0).cast("bigint").alias("ord"), point_placemark(F.lit("Centre"), F.col("longitude"), F.col("latitude")).alias("placemark"))
@@ -71,6 +99,8 @@ def site_placemarks(sites: DataFrame, ranked: DataFrame, contours: DataFrame | N
     name = F.when(F.col("rank") == 1, "Recommended Site").otherwise(F.concat(F.lit("Alternative Candidate "), (F.col("rank") - 1).cast("string")))
     best = ranked.select("site_id", (F.col("rank") + 10).cast("bigint").alias("ord"), point_placemark(name, F.col("longitude"), F.col("latitude")).alias("placemark"))
     out = centre.unionByName(box).unionByName(best)
+    if catchments is not None:
+        out = out.unionByName(catchments.select("site_id", F.lit(2).cast("bigint").alias("ord"), multipolygon_placemarks(F.lit("Catchment Boundary"), F.col("polygons")).alias("placemark")))
     if contours is not None:
         order = F.row_number().over(Window.partitionBy("site_id").orderBy("contour_id")) + 1_000_000
         points = F.transform("coords", lambda p: F.struct(p.x.alias("longitude"), p.y.alias("latitude")))

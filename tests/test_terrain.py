@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terrainflow.functions.geo import analysis_bounds
 from terrainflow.operators import candidates as cand
 from terrainflow.operators import hydrology as h
+from terrainflow.operators.boundaries import nested_rings
 from terrainflow.operators.independent import thin
 from terrainflow.operators.rainfall import RainfallConfig, seasonal_rainfall
 from terrainflow.operators.scoring import EngineConfig, Limits, rank_legacy
@@ -165,8 +166,8 @@ def test_routing_of_grids_does_not_depend_on_tiles(spark):
 def test_rings_of_a_mask_with_a_hole_and_two_parts(spark):
     mask = ["1110", "1010", "1111", "0000", "0001"]
     members = spark.createDataFrame([(0, 9, r, c) for r, row in enumerate(mask) for c, v in enumerate(row) if v == "1"], "site_id bigint, outlet bigint, row int, col int")
-    rings = h.mask_rings(members).collect()
-    assert sorted((r.hole, r.area_cells) for r in rings) == [(False, 1.0), (False, 10.0), (True, 1.0)]
+    rings = nested_rings(members).collect()
+    assert sorted((r.part, r.hole, r.area_cells) for r in rings) == [(1, False, 10.0), (1, True, 1.0), (2, False, 1.0)]
     assert all(r.corners[0] == r.corners[-1] for r in rings)
     runs = sorted((r.row, r.col_start, r.col_end) for r in h.mask_runs(members).collect())
     assert runs == [(0, 0, 2), (1, 0, 0), (1, 2, 2), (2, 0, 3), (4, 3, 3)]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrainflow.operators.iterate import cut_lineage
+from terrainflow.operators.selection import exact_quantiles
 
 
 def contour_points(contours: DataFrame) -> DataFrame:
@@ -32,7 +33,8 @@ def contour_diagnostics(contours: DataFrame, points: DataFrame | None = None) ->
         F.coalesce(F.min("gap"), F.lit(0.0)).alias("interval_min_m"), F.coalesce(F.avg("gap"), F.lit(0.0)).alias("interval_mean_m"), F.coalesce(F.max("gap"), F.lit(0.0)).alias("interval_max_m"),
     )
     e = F.col("elevation_m")
-    whole = contours.groupBy("site_id").agg(F.count("*").alias("contour_count"), F.min(e).alias("elevation_min_m"), F.max(e).alias("elevation_max_m"), F.avg(e).alias("elevation_mean_m"), F.percentile(e, F.lit(0.5)).alias("elevation_median_m"), F.stddev_pop(e).alias("elevation_std_m"))
+    whole = contours.groupBy("site_id").agg(F.count("*").alias("contour_count"), F.min(e).alias("elevation_min_m"), F.max(e).alias("elevation_max_m"), F.avg(e).alias("elevation_mean_m"), F.stddev_pop(e).alias("elevation_std_m"))
+    whole = whole.join(exact_quantiles(contours, "elevation_m", (0.5,)).select("site_id", F.col("q")[0].alias("elevation_median_m")), "site_id", "left")
     points = contour_points(contours) if points is None else points
     lengths = contour_lengths(points).groupBy("site_id").agg(F.min("length_m").alias("length_min_m"), F.avg("length_m").alias("length_mean_m"), F.max("length_m").alias("length_max_m"))
     box = points.groupBy("site_id").agg(F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("y").alias("y_min"), F.max("y").alias("y_max"))

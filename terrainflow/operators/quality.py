@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrainflow.functions.scores import clamp
+from terrainflow.operators.iterate import cut_lineage
+from terrainflow.operators.selection import exact_quantiles
 
 PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 MAX_VERTICES = 200_000
@@ -17,8 +19,8 @@ def _share(condition: Column) -> Column:
 
 def elevation_stats(cells: DataFrame) -> DataFrame:
     """Min, max, mean, median, population deviation and p01 to p99 of valid elevations (linear between ranks)."""
-    quantiles = F.percentile("elevation", F.array(*map(F.lit, PERCENTILES)))
-    agg = cells.where("elevation is not null").groupBy("site_id").agg(F.min("elevation").alias("min_m"), F.max("elevation").alias("max_m"), F.avg("elevation").alias("mean_m"), F.stddev_pop("elevation").alias("std_m"), quantiles.alias("q"))
+    agg = cells.where("elevation is not null").groupBy("site_id").agg(F.min("elevation").alias("min_m"), F.max("elevation").alias("max_m"), F.avg("elevation").alias("mean_m"), F.stddev_pop("elevation").alias("std_m"))
+    agg = agg.join(exact_quantiles(cells, "elevation", PERCENTILES), "site_id")
     return agg.select("site_id", "min_m", "max_m", "mean_m", "std_m", F.col("q")[3].alias("median_m"), *[F.col("q")[k].alias(f"p{int(100 * p):02d}_m") for k, p in enumerate(PERCENTILES)])
 
 
@@ -27,15 +29,17 @@ def local_change(cells: DataFrame) -> DataFrame:
     right = cells.select("site_id", "row", (F.col("col") - 1).alias("col"), F.col("elevation").alias("z2"))
     lower = cells.select("site_id", (F.col("row") - 1).alias("row"), "col", F.col("elevation").alias("z2"))
     pairs = cells.select("site_id", "row", "col", "elevation").join(right.unionByName(lower), ["site_id", "row", "col"])
-    change = pairs.select("site_id", F.abs(F.col("elevation") - F.col("z2")).alias("d")).where("d is not null")
-    found = change.groupBy("site_id").agg(F.avg("d").alias("mean_change_m"), F.max("d").alias("max_change_m"), F.percentile("d", F.lit(0.95)).alias("p95_change_m"))
+    change = cut_lineage(pairs.select("site_id", F.abs(F.col("elevation") - F.col("z2")).alias("d")).where("d is not null"))
+    found = change.groupBy("site_id").agg(F.avg("d").alias("mean_change_m"), F.max("d").alias("max_change_m"))
+    found = found.join(exact_quantiles(change, "d", (0.95,)).select("site_id", F.col("q")[0].alias("p95_change_m")), "site_id")
     sites = cells.select("site_id").distinct()
     return sites.join(found, "site_id", "left").fillna(0.0, ["mean_change_m", "max_change_m", "p95_change_m"])
 
 
 def slope_stats(cells: DataFrame) -> DataFrame:
-    q = F.percentile("slope", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    agg = cells.where("slope is not null").groupBy("site_id").agg(F.min("slope").alias("min_slope"), F.avg("slope").alias("mean_slope"), F.max("slope").alias("max_slope"), q.alias("q"))
+    """Min, mean, max, p05, median and p95 of valid slopes (linear between ranks)."""
+    agg = cells.where("slope is not null").groupBy("site_id").agg(F.min("slope").alias("min_slope"), F.avg("slope").alias("mean_slope"), F.max("slope").alias("max_slope"))
+    agg = agg.join(exact_quantiles(cells, "slope", (0.05, 0.5, 0.95)), "site_id")
     return agg.select("site_id", "min_slope", "mean_slope", "max_slope", F.col("q")[0].alias("p05_slope"), F.col("q")[1].alias("median_slope"), F.col("q")[2].alias("p95_slope"))
 
 

@@ -173,3 +173,75 @@ def data_quality(sections: dict[str, DataFrame]) -> DataFrame:
         part = df.select("site_id", F.struct(*[c for c in df.columns if c != "site_id"]).alias(name))
         out = part if out is None else out.join(part, "site_id", "full")
     return out.withColumn("report", F.to_json(F.struct(*sections)))
+
+
+def contour_metrics(contours: DataFrame) -> DataFrame:
+    """contours (site_id, elevation_m, coords) -> counts of contours and their points, elevation range and mean."""
+    e = F.col("elevation_m")
+    out = contours.groupBy("site_id").agg(F.count("*").alias("contour_count"), F.sum(F.coalesce(F.size("coords"), F.lit(0))).cast("bigint").alias("coordinate_count"), F.min(e).alias("elevation_min_m"), F.max(e).alias("elevation_max_m"), F.avg(e).alias("elevation_mean_m"))
+    return out.withColumn("elevation_range_m", F.col("elevation_max_m") - F.col("elevation_min_m"))
+
+
+def dem_metrics(cells: DataFrame, meta: DataFrame, quality: DataFrame | None = None) -> DataFrame:
+    """Dense cells with slope -> shape, share without data, ranges. quality: site_id, dem_status, dem_score (optional; null without)."""
+    z, s = F.col("elevation"), F.col("slope")
+    seen = cells.groupBy("site_id").agg(F.count(z).alias("_valid"), F.min(z).alias("elevation_min_m"), F.max(z).alias("elevation_max_m"), F.min(s).alias("slope_min_degrees"), F.max(s).alias("slope_max_degrees"), F.avg(s).alias("slope_mean_degrees"))
+    size = F.col("rows").cast("bigint") * F.col("cols")
+    out = meta.select("site_id", F.col("rows").cast("bigint").alias("dem_rows"), F.col("cols").cast("bigint").alias("dem_columns"), size.alias("dem_cells"), F.col("resolution_m").alias("dem_resolution_m")).join(seen, "site_id", "left")
+    share = F.coalesce("_valid", F.lit(0)) / F.col("dem_cells")
+    out = out.withColumns({"valid_cell_fraction": share, "dem_nan_percentage": (1 - share) * 100, "elevation_range_m": F.col("elevation_max_m") - F.col("elevation_min_m")}).drop("_valid")
+    if quality is None:
+        return out.withColumns({"dem_status": F.lit(None).cast("string"), "dem_quality_score": F.lit(None).cast("double")})
+    return out.join(quality.select("site_id", "dem_status", F.col("dem_score").alias("dem_quality_score")), "site_id", "left")
+
+
+def hydrology_metrics(flow: DataFrame, accumulation: DataFrame, column: str = "elevation") -> DataFrame:
+    """D8 cells and accumulation -> share of valid cells with a direction, sinks, cells on cycles, range, mean and median of the accumulation."""
+    cells = cut_lineage(flow.where(F.col(column).isNotNull()).select("site_id", "cell", "flow_dir", "sink", "on_ring").join(accumulation, ["site_id", "cell"], "left"))
+    acc = F.col("accumulation")
+    count = lambda c: F.sum(c.cast("bigint"))
+    sums = cells.groupBy("site_id").agg(
+        F.count("*").alias("hydrology_valid_cells"),
+        (count(F.col("flow_dir") >= 0) / F.count("*") * 100).alias("valid_flow_direction_percentage"),
+        count(F.col("sink")).alias("sink_cells"),
+        count(F.col("on_ring")).alias("edge_outflow_cells"),
+        count(acc.isNull()).alias("unresolved_cycle_cells"),
+        F.min(acc).alias("flow_accumulation_min_cells"),
+        F.max(acc).alias("flow_accumulation_max_cells"),
+        F.avg(acc).alias("flow_accumulation_mean_cells"),
+    )
+    middle = exact_quantiles(cells, "accumulation", (0.5,)).select("site_id", F.col("q")[0].alias("flow_accumulation_median_cells"))
+    return sums.join(middle, "site_id", "left")
+
+
+def catchment_metrics(areas: DataFrame) -> DataFrame:
+    """areas of one outlet a site -> catchment_area_m2, catchment_area_hectares, catchment_area_km2, catchment_cell_count."""
+    return areas.select("site_id", F.col("area_m2").alias("catchment_area_m2"), F.col("area_ha").alias("catchment_area_hectares"), F.col("area_km2").alias("catchment_area_km2"), F.col("cells").alias("catchment_cell_count"))
+
+
+def candidate_metrics(accepted: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Rows a site of both tables: candidate_count, rejected_candidate_count, recommendation_count."""
+    both = accepted.select("site_id", F.lit(1).alias("a"), F.lit(0).alias("r")).unionByName(rejected.select("site_id", F.lit(0).alias("a"), F.lit(1).alias("r")))
+    return both.groupBy("site_id").agg(F.sum("a").alias("candidate_count"), F.sum("r").alias("rejected_candidate_count"), F.sum("a").alias("recommendation_count"))
+
+
+def external_availability(sites: DataFrame, **providers: DataFrame) -> DataFrame:
+    """external_data: for each provider whether the site has a row there that is not of status unavailable."""
+    out = sites.select("site_id").distinct()
+    for name, df in providers.items():
+        there = df.where(F.coalesce(F.col("status") != "unavailable", F.lit(True))) if "status" in df.columns else df
+        out = out.join(there.select("site_id", F.lit(True).alias(name)).distinct(), "site_id", "left").fillna(False, [name])
+    return out.select("site_id", F.struct(*providers).alias("external_data"))
+
+
+def quality_metrics(*sections: DataFrame) -> DataFrame:
+    """The sections of a site side by side, one row a site; where two have a figure of the same name, the later one's counts.
+
+    A site that a section lacks has nulls there, or what an earlier section says of the same figure.
+    """
+    out = sections[0]
+    for df in sections[1:]:
+        twice = [c for c in df.columns if c in out.columns and c != "site_id"]
+        out = out.join(df.withColumnsRenamed({c: f"_{c}" for c in twice}), "site_id", "full")
+        out = out.withColumns({c: F.coalesce(f"_{c}", c) for c in twice}).drop(*[f"_{c}" for c in twice])
+    return out

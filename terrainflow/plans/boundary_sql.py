@@ -1,4 +1,4 @@
-"""DuckDB SQL of outlines, alternatives and thinning: longer forms that `oracle` adds to its own."""
+"""DuckDB SQL of outlines, alternatives, thinning and data-quality figures: longer forms that `oracle` adds to its own."""
 
 from __future__ import annotations
 
@@ -63,3 +63,19 @@ walk AS (SELECT site_id, 0::BIGINT AS n, []::STRUCT(id BIGINT, x DOUBLE, y DOUBL
   UNION ALL SELECT w.site_id, q.n, CASE WHEN len(list_filter(w.taken, lambda k: (k.x - q.x) * (k.x - q.x) + (k.y - q.y) * (k.y - q.y) {near} {distance * distance})) = 0 THEN list_append(w.taken, {{'id': q.id, 'x': q.x, 'y': q.y, 'p': q.p}}) ELSE w.taken END
   FROM walk w JOIN queue q ON q.site_id = w.site_id AND q.n = w.n + 1),
 kept AS (SELECT site_id, unnest(taken, recursive := true) FROM (SELECT site_id, arg_max(taken, n) AS taken FROM walk GROUP BY 1))"""
+
+
+#: Sections of the data-quality figures, over `slopes`, `flow`, `acc`, `ends`, `marks`, `cand`.
+METRICS = """m_contour AS (SELECT site_id, count(*) AS contour_count, sum(n)::BIGINT AS coordinate_count, round(avg(e), 6) AS elevation_mean_m FROM marks GROUP BY 1),
+m_dem AS (SELECT site_id, any_value(nr)::BIGINT AS dem_rows, any_value(nc)::BIGINT AS dem_columns, (any_value(nr) * any_value(nc))::BIGINT AS dem_cells, 5.0::DOUBLE AS dem_resolution_m, count(z) / (any_value(nr) * any_value(nc))::DOUBLE AS share, min(z) AS lo, max(z) AS hi, round(min(s), 6) AS slope_min_degrees, round(max(s), 6) AS slope_max_degrees, round(avg(s), 6) AS slope_mean_degrees FROM slopes GROUP BY 1),
+m_flow AS (SELECT f.site_id, count(*) AS hydrology_valid_cells, round(100 * (count(*) FILTER (flow_dir >= 0)) / count(*)::DOUBLE, 6) AS valid_flow_direction_percentage, (count(*) FILTER (flow_dir < 0 AND NOT ring))::BIGINT AS sink_cells, (count(*) FILTER (ring))::BIGINT AS edge_outflow_cells, (count(*) FILTER (accumulation IS NULL))::BIGINT AS unresolved_cycle_cells,
+  min(accumulation) AS flow_accumulation_min_cells, max(accumulation) AS flow_accumulation_max_cells, round(avg(accumulation), 6) AS flow_accumulation_mean_cells, quantile_cont(accumulation, 0.5) AS flow_accumulation_median_cells
+  FROM flow f LEFT JOIN acc a ON a.site_id = f.site_id AND a.cell = f.cell WHERE z IS NOT NULL GROUP BY 1),
+m_main AS (SELECT site_id, 25.0::DOUBLE * accumulation_cells AS area, accumulation_cells::BIGINT AS n FROM ends WHERE rank = 1),
+m_cand AS (SELECT site_id, (count(*) FILTER (feas <> 'rejected'))::BIGINT AS accepted, (count(*) FILTER (feas = 'rejected'))::BIGINT AS rejected FROM cand GROUP BY 1),
+m_rain AS (SELECT DISTINCT user_id % (SELECT count(*) FROM meta) AS site_id FROM events),
+m_land AS (SELECT c_custkey // 100 AS site_id FROM customer UNION SELECT s_suppkey // 7 FROM supplier)"""
+METRICS_SELECT = """SELECT d.site_id, contour_count, coordinate_count, round(lo, 6) AS elevation_min_m, round(hi, 6) AS elevation_max_m, elevation_mean_m, round(hi - lo, 6) AS elevation_range_m, dem_rows, dem_columns, dem_cells, dem_resolution_m, slope_min_degrees, slope_max_degrees, slope_mean_degrees,
+  round(share, 6) AS valid_cell_fraction, round((1 - share) * 100, 6) AS dem_nan_percentage, g.dem_status, g.dem_score AS dem_quality_score, m_flow.* EXCLUDE (site_id), area AS catchment_area_m2, round(area / 1e4::DOUBLE, 6) AS catchment_area_hectares, round(area / 1e6::DOUBLE, 6) AS catchment_area_km2, m_main.n AS catchment_cell_count,
+  accepted AS candidate_count, rejected AS rejected_candidate_count, accepted AS recommendation_count, true AS has_dem, m_rain.site_id IS NOT NULL AS has_rainfall, m_land.site_id IS NOT NULL AS has_land_context
+  FROM m_dem d LEFT JOIN m_contour ON m_contour.site_id = d.site_id LEFT JOIN grade g ON g.site_id = d.site_id LEFT JOIN m_flow ON m_flow.site_id = d.site_id LEFT JOIN m_main ON m_main.site_id = d.site_id LEFT JOIN m_cand ON m_cand.site_id = d.site_id LEFT JOIN m_rain ON m_rain.site_id = d.site_id LEFT JOIN m_land ON m_land.site_id = d.site_id"""

@@ -123,6 +123,9 @@ def _with(ctes: str, select: str) -> str:
     return f"WITH RECURSIVE {ctes} {select}"
 
 
+GRADE = "SELECT site_id, round(score, 6) AS dem_score, CASE WHEN score >= 0.9 THEN 'good' WHEN score >= 0.75 THEN 'acceptable' WHEN score >= 0.5 THEN 'poor' ELSE 'invalid' END AS dem_status, ((vf < 0.95)::INT + (1 - vf > 0)::INT + (xf > 0.01)::INT + (score < 0.5)::INT)::INT AS n_warnings FROM (SELECT *, 0.30::DOUBLE * vf + 0.20::DOUBLE * (1 - (1 - vf)) + 0.40::DOUBLE * 0.95::DOUBLE + 0.10::DOUBLE * (1 - xf) AS score FROM (SELECT site_id, count(s) / (any_value(nr) * any_value(nc))::DOUBLE AS vf, avg((g > 1.0)::INT) AS xf FROM slopes GROUP BY 1))"
+
+
 def oracle_sql() -> dict[str, str]:
     r6 = lambda x, name: f"round({x}, 6) AS {name}"
     r9 = lambda x, name: f"round({x}, 9) AS {name}"  # noqa: E731  scores with a few decimals may stand on half a unit of the sixth
@@ -203,6 +206,10 @@ def oracle_sql() -> dict[str, str]:
         "contour_diagnostics": _with(DOCS, f"SELECT a.*, interval_min_m, interval_mean_m, interval_max_m FROM (SELECT site_id, count(*) AS contour_count, count(DISTINCT e) AS unique_elevation_count, min(e) AS elevation_min_m, max(e) AS elevation_max_m, {r6('avg(e)', 'elevation_mean_m')}, {r6('median(e)', 'elevation_median_m')}, {r6('stddev_pop(e)', 'elevation_std_m')} FROM marks GROUP BY 1) a JOIN (SELECT site_id, coalesce(min(g), 0) AS interval_min_m, coalesce(round(avg(g), 6), 0) AS interval_mean_m, coalesce(max(g), 0) AS interval_max_m FROM (SELECT site_id, e - lag(e) OVER (PARTITION BY site_id ORDER BY e) AS g FROM marks) GROUP BY 1) b USING (site_id)"),
         "contour_lengths": _with(DOCS, "SELECT site_id, count(*) AS n, round(max(l), 6) AS longest FROM (SELECT site_id, r, max(x) - min(x) AS l FROM (SELECT c.site_id, c.r, round(81.0::DOUBLE + 0.01::DOUBLE * c.site_id + 0.00005::DOUBLE * c.c, 6) AS x FROM cells c JOIN marks m ON m.site_id = c.site_id AND m.r = c.r WHERE z IS NOT NULL) GROUP BY 1, 2) GROUP BY 1"),
         "first_number": r"SELECT p_partkey::BIGINT AS p_partkey, nullif(regexp_extract(p_brand, '[-+]?(?:\d+(?:\.\d*)?|\.\d+)'), '')::DOUBLE AS number FROM part",
-        "dem_quality": _with(SLOPE, "SELECT site_id, round(score, 6) AS dem_score, CASE WHEN score >= 0.9 THEN 'good' WHEN score >= 0.75 THEN 'acceptable' WHEN score >= 0.5 THEN 'poor' ELSE 'invalid' END AS dem_status, ((vf < 0.95)::INT + (1 - vf > 0)::INT + (xf > 0.01)::INT + (score < 0.5)::INT)::INT AS n_warnings FROM (SELECT *, 0.30::DOUBLE * vf + 0.20::DOUBLE * (1 - (1 - vf)) + 0.40::DOUBLE * 0.95::DOUBLE + 0.10::DOUBLE * (1 - xf) AS score FROM (SELECT site_id, count(s) / (any_value(nr) * any_value(nc))::DOUBLE AS vf, avg((g > 1.0)::INT) AS xf FROM slopes GROUP BY 1))"),
+        "data_quality_metrics": _with(
+            f"{ENDS}, {SLOPE.removeprefix(CELLS + ',')}, {DOCS.removeprefix(CELLS + ',')}, {CANDIDATES}, grade AS ({GRADE}), {bs.METRICS}",
+            bs.METRICS_SELECT,
+        ),
+        "dem_quality": _with(SLOPE, GRADE),
         "grid_nearest": "WITH b AS (SELECT (c_custkey // 100)::BIGINT AS site_id, c_custkey::BIGINT AS id, (500000.0 + 1000 * (c_custkey // 100) + (c_custkey * 37) % 311 - 75)::DOUBLE AS x, (2350000.0 + (c_custkey * 53) % 317 - 75)::DOUBLE AS y FROM customer), box AS (SELECT site_id, min(x) AS x0, min(y) AS y0, ceil((max(x) + 25 - min(x)) / 25)::INT AS nc, ceil((max(y) + 25 - min(y)) / 25)::INT AS nr FROM b GROUP BY 1), g AS (SELECT site_id, r, unnest(range(nc))::INT AS c, x0, y0 FROM (SELECT *, unnest(range(nr))::INT AS r FROM box WHERE nr >= 2 AND nc >= 2)) SELECT site_id, r AS row, c AS col, x, y, elevation FROM (SELECT g.site_id, g.r, g.c, x0 + c * 25.0::DOUBLE AS x, y0 + r * 25.0::DOUBLE AS y, (b.id % 100)::DOUBLE AS elevation, row_number() OVER (PARTITION BY g.site_id, g.r, g.c ORDER BY (x0 + c * 25.0::DOUBLE - b.x) * (x0 + c * 25.0::DOUBLE - b.x) + (y0 + r * 25.0::DOUBLE - b.y) * (y0 + r * 25.0::DOUBLE - b.y), b.id) AS n FROM g JOIN b USING (site_id)) WHERE n = 1",
     }

@@ -477,6 +477,25 @@ def data_quality(spark, d):
     return qa.data_quality({"elevation": qa.elevation_stats(dense), "terrain": qa.terrain_summary(with_slope(dense, meta), meta)}).select("site_id", "report")
 
 
+def data_quality_metrics(spark, d):
+    """All six sections: contours, grid, hydrology, catchment of the main outlet, candidates, what else is there."""
+    dense, meta = _grid(spark, d)
+    sloped = with_slope(dense, meta)
+    stats = qa.terrain_summary(sloped, meta).join(qa.gradient_stats(sloped), "site_id")
+    grade = qa.dem_score(stats.withColumns({"nan_fraction": 1 - F.col("valid_fraction"), "contour_score": F.lit(0.95)}))
+    flow, _, ends = _ends(spark, d, 1)
+    main = h.catchment_area(h.catchments(flow, ends.select("site_id", F.col("cell").alias("outlet"))), meta)
+    contours, _ = kml.parse_contours(tables.contour_docs(spark, d))
+    c = tables.site_candidates(spark, d)
+    others = qa.external_availability(meta, dem=dense, rainfall=tables.rainfall_daily(spark, d, _sites(spark, d)), land_context=tables.segments(spark, d))
+    out = qa.quality_metrics(
+        qa.contour_metrics(contours), qa.dem_metrics(sloped, meta, grade), qa.hydrology_metrics(flow, h.flow_accumulation(flow)), qa.catchment_metrics(main),
+        qa.candidate_metrics(c.where("feasibility <> 'rejected'"), c.where("feasibility = 'rejected'")), others,
+    )
+    out = out.join(meta.select("site_id"), "site_id", "left_semi")
+    return tidy(out.select(*[x for x in out.columns if x != "external_data"], *[F.col(f"external_data.{n}").alias(f"has_{n}") for n in ("dem", "rainfall", "land_context")]))
+
+
 def site_recommendation(spark, d):
     dense, meta = _grid(spark, d)
     return tidy(pipelines.site_recommendation(qa.terrain_summary(with_slope(dense, meta), meta)))

@@ -209,7 +209,7 @@ def distinct_boxes(boxes: DataFrame) -> DataFrame:
 def enrich(candidates: DataFrame, segments: DataFrame, config: ContextConfig = ContextConfig(), cap: float = 2000.0) -> DataFrame:  # noqa: B008
     """candidates (site_id, id, rank, x, y) with distances, counts, feasibility, status and up to three nearest features of each kind.
 
-    The first max_enriched_candidates of a site are enriched; the others are marked, with nulls.
+    The first max_enriched_candidates of a site are enriched; the others are marked, with nulls for distances and zeros for counts.
     """
     first = candidates.where(F.col("rank") <= config.max_enriched_candidates)
     closest = Window.partitionBy("site_id", "id", "kind").orderBy("distance", "feature_id")
@@ -218,5 +218,16 @@ def enrich(candidates: DataFrame, segments: DataFrame, config: ContextConfig = C
     wide = three.groupBy("site_id", "id").pivot("kind", ["water", "road", "building"]).agg(F.first("f").alias("nearest"), F.first("d").alias("distance_m"), F.first("n").alias("count"))
     names = [F.col(f"{k}_{a}").alias(f"n_{k}" if a == "count" else f"{k}_{a}") for k in ("water", "road", "building") for a in ("nearest", "distance_m", "count")]
     out = feasibility(first.join(wide.select("site_id", "id", *names), ["site_id", "id"], "left"), config).withColumn("enrichment_status", F.lit("enriched"))
-    rest = candidates.where(F.col("rank") > config.max_enriched_candidates).withColumns({"feasibility": F.lit("unknown"), "enrichment_status": F.lit("not_enriched_candidate_limit")})
-    return out.unionByName(rest, allowMissingColumns=True)
+    left = "not_enriched_candidate_limit"
+    rest = candidates.where(F.col("rank") > config.max_enriched_candidates).withColumns({"feasibility": F.lit("unknown"), "feasibility_reason": F.lit(left), "enrichment_status": F.lit(left)})
+    return out.unionByName(rest, allowMissingColumns=True).fillna(0, ["n_water", "n_road", "n_building"])
+
+
+def enrichment_diagnostics(enriched: DataFrame) -> DataFrame:
+    """Enriched candidates -> one row a site: feasible_count, rejected_count, unknown_count, feasibility_reasons (reason: rows)."""
+    counted = enriched.groupBy("site_id", "feasibility", "feasibility_reason").agg(F.count("*").alias("n"))
+    of = lambda status: F.coalesce(F.sum(F.when(F.col("feasibility") == status, F.col("n"))), F.lit(0)).alias(f"{status}_count")
+    by_status = counted.groupBy("site_id").agg(*[of(s) for s in ("feasible", "rejected", "unknown")])
+    reasons = counted.where("feasibility_reason is not null").groupBy("site_id", "feasibility_reason").agg(F.sum("n").alias("n"))
+    reasons = reasons.groupBy("site_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("feasibility_reason", "n")))).alias("feasibility_reasons"))
+    return by_status.join(reasons, "site_id", "left").withColumn("feasibility_reasons", F.coalesce("feasibility_reasons", F.create_map().cast("map<string,bigint>")))

@@ -79,3 +79,8 @@ METRICS_SELECT = """SELECT d.site_id, contour_count, coordinate_count, round(lo,
   round(share, 6) AS valid_cell_fraction, round((1 - share) * 100, 6) AS dem_nan_percentage, g.dem_status, g.dem_score AS dem_quality_score, m_flow.* EXCLUDE (site_id), area AS catchment_area_m2, round(area / 1e4::DOUBLE, 6) AS catchment_area_hectares, round(area / 1e6::DOUBLE, 6) AS catchment_area_km2, m_main.n AS catchment_cell_count,
   accepted AS candidate_count, rejected AS rejected_candidate_count, accepted AS recommendation_count, true AS has_dem, m_rain.site_id IS NOT NULL AS has_rainfall, m_land.site_id IS NOT NULL AS has_land_context
   FROM m_dem d LEFT JOIN m_contour ON m_contour.site_id = d.site_id LEFT JOIN grade g ON g.site_id = d.site_id LEFT JOIN m_flow ON m_flow.site_id = d.site_id LEFT JOIN m_main ON m_main.site_id = d.site_id LEFT JOIN m_cand ON m_cand.site_id = d.site_id LEFT JOIN m_rain ON m_rain.site_id = d.site_id LEFT JOIN m_land ON m_land.site_id = d.site_id"""
+
+#: Points by feasibility over `points`, `dist`: those beyond the first 21 rows of a site are not enriched.
+ENRICHED = """nearest AS (SELECT p.site_id, p.id, min(d) FILTER (kind = 'water') AS w, min(d) FILTER (kind = 'road') AS r, min(d) FILTER (kind = 'building') AS b FROM points p LEFT JOIN dist d ON d.site_id = p.site_id AND d.id = p.id GROUP BY 1, 2),
+reasoned AS (SELECT site_id, CASE WHEN id // 32 > 20 THEN 'not_enriched_candidate_limit' WHEN w <= 0 THEN 'inside_or_on_water_body' WHEN b < 25 THEN 'insufficient_building_clearance' WHEN r < 25 THEN 'insufficient_road_clearance' END AS why FROM nearest),
+judged AS (SELECT site_id, why, CASE WHEN why IS NULL THEN 'feasible' WHEN why = 'not_enriched_candidate_limit' THEN 'unknown' ELSE 'rejected' END AS status FROM reasoned)"""

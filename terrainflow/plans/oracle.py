@@ -200,6 +200,8 @@ def oracle_sql() -> dict[str, str]:
         "nearest_distance": _with(NEAREST, nearest.format("dist")),
         "nearest_within": _with(f"{NEAREST}, capped AS (SELECT * FROM dist WHERE d <= 60)", nearest.format("capped")),
         "within_count": _with(NEAREST, "SELECT p.site_id, p.id, count(d) FILTER (kind = 'water' AND d <= 75) AS n_water, count(d) FILTER (kind = 'road' AND d <= 75) AS n_road, count(d) FILTER (kind = 'building' AND d <= 75) AS n_building FROM points p LEFT JOIN dist d ON d.site_id = p.site_id AND d.id = p.id GROUP BY 1, 2"),
+        "enrichment": _with(f"{NEAREST}, {bs.ENRICHED}", "SELECT CASE WHEN why = 'not_enriched_candidate_limit' THEN why ELSE 'enriched' END AS enrichment_status, status AS feasibility, count(*) AS n FROM judged GROUP BY 1, 2"),
+        "enrichment_counts": _with(f"{NEAREST}, {bs.ENRICHED}", "SELECT site_id, count(*) FILTER (status = 'feasible') AS feasible_count, count(*) FILTER (status = 'rejected') AS rejected_count, count(*) FILTER (status = 'unknown') AS unknown_count, count(*) FILTER (why = 'inside_or_on_water_body') AS n_water, count(*) FILTER (why = 'insufficient_building_clearance') AS n_building, count(*) FILTER (why = 'insufficient_road_clearance') AS n_road, count(*) FILTER (why = 'not_enriched_candidate_limit') AS n_limit FROM judged GROUP BY 1"),
         "feasibility": _with(f"{NEAREST}, m AS (SELECT p.site_id, p.id, min(d) FILTER (kind = 'water') AS w, min(d) FILTER (kind = 'road') AS r, min(d) FILTER (kind = 'building') AS b FROM points p LEFT JOIN dist d ON d.site_id = p.site_id AND d.id = p.id GROUP BY 1, 2), q AS (SELECT CASE WHEN w <= 0 THEN 'inside_or_on_water_body' WHEN b < 25 THEN 'insufficient_building_clearance' WHEN r < 25 THEN 'insufficient_road_clearance' END AS why FROM m)", "SELECT CASE WHEN why IS NULL THEN 'feasible' ELSE 'rejected' END AS feasibility, why AS feasibility_reason, count(*) AS n FROM q GROUP BY 1, 2"),
         "water_exclusion": _with(NEAREST, "SELECT site_id, id FROM points p WHERE NOT EXISTS (SELECT 1 FROM dist d WHERE d.site_id = p.site_id AND d.id = p.id AND kind = 'water' AND d.d <= 30)"),
         "contour_parse": _with(DOCS, "SELECT site_id, e AS elevation_m, n AS points, name FROM marks"),

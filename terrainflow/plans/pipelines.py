@@ -31,6 +31,21 @@ def analyze_hydrology(cells: DataFrame, meta: DataFrame, fill: bool = True, tile
     return {"filled": filled, "flow": flow, "accumulation": accumulation, "outlets": outlets, "drainage": drainage, "summary": h.hydrology_summary(filled, flow, accumulation, meta)}
 
 
+def main_outlets(hydro: dict[str, DataFrame]) -> DataFrame:
+    """site_id, outlet, kind, accumulation_cells, outlet_source: the primary outlet, or else the lowest valid cell (the first in row-major order).
+
+    A site without a valid cell has no outlet. The fallback has no kind; its accumulation is null where it lies on a cycle.
+    """
+    ranked = hydro["outlets"].where("selected")
+    source = F.when(F.col("kind") == "boundary", "hydrology_candidate_max_drainage").otherwise("hydrology_internal_endpoint")
+    primary = ranked.select("site_id", F.col("cell").alias("outlet"), "kind", "accumulation_cells", source.alias("outlet_source"))
+    low = hydro["flow"].where("elevation is not null").join(primary.select("site_id"), "site_id", "left_anti")
+    low = low.groupBy("site_id").agg(F.min_by("cell", F.struct("elevation", "cell")).alias("cell"))
+    low = low.join(hydro["accumulation"], ["site_id", "cell"], "left")
+    fallback = low.select("site_id", F.col("cell").alias("outlet"), F.lit(None).cast("string").alias("kind"), F.col("accumulation").alias("accumulation_cells"), F.lit("hydrology_lowest_valid_cell").alias("outlet_source"))
+    return primary.unionByName(fallback)
+
+
 def candidate_cells(hydro: dict[str, DataFrame], cells: DataFrame, meta: DataFrame) -> DataFrame:
     """All cells with what candidates need: x, y, slope, accumulation, outlet."""
     sloped = with_slope(hydro["filled"].select("site_id", "row", "col", "elevation"), meta).select("site_id", "row", "col", "slope")
@@ -63,11 +78,11 @@ def contour_pipeline(contours: DataFrame, resolution: float = 5.0) -> dict[str,
     meta = cut_lineage(cells.groupBy("site_id").agg((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"), F.lit(resolution).alias("resolution_m")))
     sloped = with_slope(cells, meta)
     hydro = analyze_hydrology(cells, meta)
-    primary = hydro["outlets"].where("selected").select("site_id", F.col("cell").alias("outlet"))
-    members = h.catchments(hydro["flow"], primary, "filled")
+    primary = cut_lineage(main_outlets(hydro))
+    members = h.catchments(hydro["flow"], primary.select("site_id", "outlet"), "filled")
     stats = terrain_summary(sloped, meta).join(gradient_stats(sloped).select("site_id", "extreme_fraction"), "site_id")
     quality = dem_score(stats.withColumns({"nan_fraction": 1 - F.col("valid_fraction"), "contour_score": F.lit(1.0)}))
-    return hydro | {"cells": cells, "meta": meta, "quality": quality, "catchment": members, "area": h.catchment_area(members, meta)}
+    return hydro | {"cells": cells, "meta": meta, "quality": quality, "outlet": primary, "catchment": members, "area": h.catchment_area(members, meta)}
 
 
 def location_pipeline(requests: DataFrame, raster: DataFrame) -> DataFrame:
@@ -76,15 +91,24 @@ def location_pipeline(requests: DataFrame, raster: DataFrame) -> DataFrame:
     cells = raster.withColumnRenamed("request_id", "site_id")
     meta = cut_lineage(cells.groupBy("site_id").agg((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"), F.first("resolution_m").alias("resolution_m")))
     hydro = analyze_hydrology(cells, meta)
-    primary = hydro["outlets"].where("selected").select("site_id", F.col("cell").alias("outlet"), "kind", "accumulation_cells")
+    primary = cut_lineage(main_outlets(hydro))
     area = h.catchment_area(h.catchments(hydro["flow"], primary.select("site_id", "outlet"), "filled"), meta)
     found = primary.join(area, ["site_id", "outlet"]).withColumnRenamed("site_id", "request_id")
     return bounds.join(found, "request_id", "left")
 
 
-def site_recommendation(summaries: DataFrame) -> DataFrame:
-    """summaries (site_id, mean_slope, area_m2, ...) -> one legacy-ranked row a site with fixed distances; sites that are rejected get a fallback row."""
+def site_recommendation(summaries: DataFrame, presence: DataFrame | None = None) -> DataFrame:
+    """summaries (site_id, mean_slope, area_m2, ...) -> one legacy-ranked row a site with fixed distances; sites that are rejected get a fallback row.
+
+    presence (site_id, n_water, n_roads, n_buildings): the distances tell whether there are any (300 or 120, 200 or 500, 150 or
+    500 m) and the counts go into the score; a site without a row has none. Without presence all are taken to be there.
+    """
     base = summaries.select("site_id", F.lit("site").alias("candidate_id"), F.col("mean_slope").alias("slope_degrees"), F.col("area_m2").alias("catchment_area_m2"), F.lit(None).cast("double").alias("rainfall_mm"), F.lit(300.0).alias("water_distance_m"), F.lit(200.0).alias("road_distance_m"), F.lit(150.0).alias("building_distance_m"), F.lit(0).alias("n_water"), F.lit(0).alias("n_roads"), F.lit(0).alias("n_buildings"))
+    if presence is not None:
+        counts = ["n_water", "n_roads", "n_buildings"]
+        base = base.drop(*counts).join(presence.select("site_id", *[F.col(c).cast("int").alias(c) for c in counts]), "site_id", "left").fillna(0, counts)
+        far = {"water": (300.0, 120.0, "n_water"), "road": (200.0, 500.0, "n_roads"), "building": (150.0, 500.0, "n_buildings")}
+        base = base.withColumns({f"{k}_distance_m": F.when(F.col(n) > 0, a).otherwise(b) for k, (a, b, n) in far.items()})
     ranked = rank_legacy(base).select("site_id", "overall_score", "confidence", "recommendation", "rank")
     return base.select("site_id").join(ranked, "site_id", "left").withColumn("recommendation", F.coalesce("recommendation", F.lit("not_recommended")))
 

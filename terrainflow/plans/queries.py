@@ -420,6 +420,14 @@ def enrichment(spark, d):
     return out.groupBy("enrichment_status", "feasibility").agg(F.count("*").alias("n"))
 
 
+def enrichment_counts(spark, d):
+    """Candidates of each site by feasibility and by reason."""
+    points = tables.probe_points(spark, d).withColumn("rank", (F.col("id") / 32).cast("int"))
+    out = sp.enrichment_diagnostics(sp.enrich(points, tables.segments(spark, d), sp.ContextConfig(max_enriched_candidates=20)))
+    reasons = {"water": "inside_or_on_water_body", "building": "insufficient_building_clearance", "road": "insufficient_road_clearance", "limit": "not_enriched_candidate_limit"}
+    return out.select("site_id", "feasible_count", "rejected_count", "unknown_count", *[F.coalesce(F.try_element_at("feasibility_reasons", F.lit(v)), F.lit(0)).alias(f"n_{k}") for k, v in reasons.items()])
+
+
 def contour_parse(spark, d):
     contours, _ = kml.parse_contours(tables.contour_docs(spark, d))
     return contours.select("site_id", "elevation_m", F.size("coords").alias("points"), "name")

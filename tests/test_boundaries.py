@@ -3,6 +3,7 @@
 import json
 import random
 import re
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,6 +106,17 @@ def test_geojson_and_placemarks_of_parts(spark):
     assert f"<coordinates>{text}</coordinates>" in two.k
 
 
+def test_a_document_has_the_catchment_after_the_bounds(spark):
+    sites = spark.createDataFrame([(0, 18.0, 81.0, 17.9, 80.9, 18.1, 81.1)], "site_id bigint, latitude double, longitude double, south double, west double, north double, east double")
+    ranked = spark.createDataFrame([(0, 1, 18.01, 81.01), (0, 2, 18.02, 81.02)], "site_id bigint, rank int, latitude double, longitude double")
+    frames = spark.createDataFrame([(0, 500_000.0, 2_000_000.0, 5.0, 5.0, 44, False)], "site_id bigint, x0 double, y0 double, dx double, dy double, zone int, south boolean")
+    shape = b.multipolygons(b.in_wgs84(b.nested_rings(spark.createDataFrame(rows_of(MASKS[:1]), MEMBER)), frames))
+    text = sinks.kml_documents(sinks.site_placemarks(sites, ranked, catchments=shape)).first().kml
+    names = re.findall("<name>(.*?)</name>", text)
+    assert names == ["Centre", "Analysis Boundary", "Catchment Boundary 1", "Catchment Boundary 2", "Recommended Site", "Alternative Candidate 1"]
+    ElementTree.fromstring(text.split("?>", 1)[1])
+
+
 def test_numbers_have_twelve_significant_digits(spark):
     rng = random.Random(1)
     values = [0.0, 1.0, -1.0, 10.0, 100.0, 180.0, -90.5, 0.1, 1e-4, 9.9999999999999e-5, 1.5e-7, -2e-10, 99.9999999999999, 9.99999999999, 1 / 3, -123.456789012345]

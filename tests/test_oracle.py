@@ -39,6 +39,6 @@ def test_query_matches_sql(spark, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(SQL)))
-def test_other_queries_run(spark, name):
-    df = queries.queries()[name](spark, SMALL)
-    assert df.columns and df.count() >= 0
+def test_other_queries_give_rows(spark, name):
+    rows = queries.queries()[name](spark, SMALL).collect()
+    assert rows and all(any(v is not None for v in r) for r in rows)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terrainflow.operators import boundaries as bnd
 from terrainflow.operators import hydrology as h
 from terrainflow.operators import quality as qa
+from terrainflow.operators import scoring as sc
 from terrainflow.operators import spatial as sp
 from terrainflow.operators.stencil import dense_grid
 from terrainflow.plans import pipelines
@@ -82,6 +83,12 @@ def test_quality_sections_side_by_side(spark):
     assert got == {1: (5.0, 7, False, True), 2: (3.0, None, True, False)}
 
 
+def test_phrases_follow_two_limits_for_each_component(spark):
+    rows = spark.createDataFrame([(1, 0.6, 0.7, 0.3), (2, 0.59, 0.69, 0.29), (3, 0.1, 0.39, None)], "id int, slope double, land double, rainfall double")
+    got = {r.id: r.phrases for r in sc.explainability(rows).collect()}
+    assert got == {1: ["slope: good", "rainfall: moderate", "land: good"], 2: ["slope: moderate", "rainfall: poor", "land: moderate"], 3: ["slope: poor", "land: poor"]}
+
+
 def test_frames_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "site_id bigint, row int, col int, x double, y double")
     assert bnd.grid_frames(empty, F.lit(44), F.lit(False)).count() == 0

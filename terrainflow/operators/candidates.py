@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from terrainflow.functions.scores import catchment_score, clamp, slope_score
 from terrainflow.operators.independent import thin
 from terrainflow.operators.iterate import cut_lineage
+from terrainflow.operators.numbering import numbered
 
 # Weights of the candidate score.
 CANDIDATE_WEIGHTS = {"catchment_area": 0.35, "flow_accumulation": 0.25, "slope": 0.20, "hydrological_confidence": 0.10, "elevation": 0.10}
@@ -145,8 +146,8 @@ def score_and_rank(candidates: DataFrame, stats: DataFrame, config: CandidateCon
         F.format_string("elevation %.1f m (score %.2f)", "elevation_m", "score_elevation"),
         F.concat(F.lit("drains to a "), F.coalesce("outlet_kind", F.lit("unknown")), F.lit(" outlet")),
     )
-    order = Window.partitionBy("site_id").orderBy(F.desc("candidate_score"), F.desc("flow_accumulation_cells"), "row", "col")
-    return c.withColumns({"explanation": phrases, "candidate_rank": F.row_number().over(order)}).drop("max_accumulation", "min_elevation", "max_elevation")
+    ranked = numbered(c, "candidate_rank", [F.desc("candidate_score"), F.desc("flow_accumulation_cells"), "row", "col"])
+    return ranked.withColumns({"explanation": phrases, "candidate_rank": F.col("candidate_rank").cast("int")}).drop("max_accumulation", "min_elevation", "max_elevation")
 
 
 def generate_candidates(cells: DataFrame, outlets: DataFrame, meta: DataFrame, config: CandidateConfig = CandidateConfig()) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: B008

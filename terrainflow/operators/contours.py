@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrainflow.operators.iterate import cut_lineage
+from terrainflow.operators.numbering import numbered
 from terrainflow.operators.selection import exact_quantiles
 
 
@@ -44,8 +45,8 @@ def contour_diagnostics(contours: DataFrame, points: DataFrame | None = None) ->
 def distinct_samples(points: DataFrame) -> DataFrame:
     """The first sample of each (x, y) in input order, with seq from 0 in that order."""
     first = points.groupBy("site_id", "x", "y").agg(F.min(F.struct("contour_id", "seq", "elevation_m")).alias("f"))
-    order = Window.partitionBy("site_id").orderBy("f.contour_id", "f.seq")
-    return first.select("site_id", "x", "y", F.col("f.elevation_m").alias("elevation_m"), (F.row_number().over(order) - 1).alias("sample"))
+    placed = numbered(first, "place", ["f.contour_id", "f.seq"])
+    return placed.select("site_id", "x", "y", F.col("f.elevation_m").alias("elevation_m"), (F.col("place") - 1).cast("int").alias("sample"))
 
 
 def make_grid(box: DataFrame, resolution: float) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrainflow.functions import scores as s
+from terrainflow.operators.numbering import numbered
 
 # Weights of the legacy score.
 LEGACY_WEIGHTS = {"slope": 0.25, "catchment_area": 0.20, "rainfall": 0.20, "water_distance": 0.15, "road_distance": 0.10, "land_use": 0.10}
@@ -111,7 +112,7 @@ def rank_legacy(df: DataFrame, limits: Limits = Limits(), weights: dict[str, flo
     """Filter, score and rank: overall score falling, input order on ties. Adds confidence, recommendation, rank."""
     scored = legacy_scores(reject_unsuitable(df, limits), weights)
     scored = scored.withColumns({"confidence": s.clamp(0.55 + 0.45 * F.col("overall_score")), "recommendation": suitability_class(F.col("overall_score"))})
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(site).orderBy(F.desc("overall_score"), sequence)))
+    return numbered(scored, "rank", [F.desc("overall_score"), sequence], site).withColumn("rank", F.col("rank").cast("int"))
 
 
 # --- engine ---------------------------------------------------------------------------------------
@@ -238,8 +239,8 @@ def run_engine(df: DataFrame, config: EngineConfig = EngineConfig(), site: str =
     ready = eligibility(features(df), config).where("ineligible_reason is null")
     scored = component_scores(ready, config)
     scored = scored.withColumn("overall_score", F.round(overall_score(config), 4)).withColumn("confidence", confidence(config))
-    order = Window.partitionBy(site).orderBy(F.desc("overall_score"), F.desc("confidence"), "latitude", "longitude", key)
-    return explanations(scored, config).withColumn("rank", F.row_number().over(order))
+    ranked = numbered(scored, "rank", [F.desc("overall_score"), F.desc("confidence"), "latitude", "longitude", key], site)
+    return explanations(ranked.withColumn("rank", F.col("rank").cast("int")), config)
 
 
 def explainability(df: DataFrame) -> DataFrame:

@@ -36,6 +36,10 @@ fill AS (SELECT site_id, r, c, z, ring, CASE WHEN ring THEN z END AS w, 0 AS it
   FROM fill f LEFT JOIN (SELECT a.site_id, a.r, a.c, min(b.w) AS m FROM fill a JOIN fill b ON a.site_id = b.site_id AND b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1 AND (a.r <> b.r OR a.c <> b.c) GROUP BY 1, 2, 3) m
     ON m.site_id = f.site_id AND m.r = f.r AND m.c = f.c WHERE f.it < 48),
 filled AS (SELECT *, coalesce(w, z) AS filled, coalesce(w > z + 0.00005::DOUBLE, false) AS modified, w IS NOT NULL AS reachable FROM fill WHERE it = 48)"""
+BOXED = """boxed AS (SELECT layer, feature_id::BIGINT AS feature_id, (x1 - 500000.0::DOUBLE) / 1e5::DOUBLE AS west, (y1 - 2350000.0::DOUBLE) / 1e5::DOUBLE AS south, (x2 - 500000.0::DOUBLE) / 1e5::DOUBLE AS east, (y2 - 2350000.0::DOUBLE) / 1e5::DOUBLE AS north FROM (
+  SELECT 'buildings' AS layer, c_custkey AS feature_id, x AS x1, y AS y1, x AS x2, y AS y2 FROM (SELECT c_custkey, (500000 + 1000 * (c_custkey // 100) + (c_custkey * 37) % 311 - 75)::DOUBLE AS x, (2350000 + (c_custkey * 53) % 317 - 75)::DOUBLE AS y FROM customer)
+  UNION ALL SELECT CASE WHEN k % 2 = 1 THEN 'roads' ELSE 'water_areas' END, k, CASE WHEN k % 2 = 1 THEN x ELSE x - h END, CASE WHEN k % 2 = 1 THEN y ELSE y - h END, CASE WHEN k % 2 = 1 THEN x + 60 ELSE x + h END, CASE WHEN k % 2 = 1 THEN y + k % 50 ELSE y + h END
+  FROM (SELECT s_suppkey AS k, (500000 + 1000 * (s_suppkey // 7) + (s_suppkey * 29) % 160)::DOUBLE AS x, (2350000 + (s_suppkey * 41) % 160)::DOUBLE AS y, (5 + s_suppkey % 20)::DOUBLE AS h FROM supplier)))"""
 CANDIDATES = """cand AS (SELECT (c_custkey // 100)::BIGINT AS site_id, c_custkey::BIGINT AS candidate_id, ((c_custkey * 7) % 400 / 10.0)::DOUBLE AS slope, ((c_custkey * 7919) % 4000000)::DOUBLE AS area,
   CASE WHEN c_custkey % 11 <> 0 THEN ((c_custkey * 37) % 3100)::DOUBLE END AS rain, CASE WHEN c_custkey % 7 <> 0 THEN ((c_custkey * 13) % 700)::DOUBLE END AS water,
   CASE WHEN c_custkey % 9 <> 0 THEN ((c_custkey * 17) % 600)::DOUBLE END AS road, CASE WHEN c_custkey % 8 <> 0 THEN ((c_custkey * 23) % 650)::DOUBLE END AS building,
@@ -177,6 +181,9 @@ def oracle_sql() -> dict[str, str]:
         "d8_wide": _with(FLOW_WIDE, "SELECT r AS row, (count(*) FILTER (flow_dir >= 0))::BIGINT AS routed, (count(*) FILTER (z IS NOT NULL AND flow_dir < 0 AND NOT ring))::BIGINT AS sinks FROM flow GROUP BY 1"),
         "contour_consistency": _with(f"{CELLS}, e AS (SELECT site_id, (c % 4) * 2.0::DOUBLE AS e FROM cells WHERE z IS NOT NULL), m AS (SELECT site_id, count(*) AS n, avg(e) AS mae, sqrt(avg(e * e)) AS rmse, max(e) AS mx, avg((e <= 1)::INT) AS w1, avg((e <= 5)::INT) AS w5 FROM e GROUP BY 1)", "SELECT site_id, n AS sampled_points, round(mae, 6) AS mae_m, round(rmse, 6) AS rmse_m, mx AS max_error_m, round(w1, 6) AS within_1m, round(w5, 6) AS within_5m, round(w1 + 0.5 * greatest(w5 - w1, 0), 6) AS contour_score FROM m"),
         "features_in_bbox": "SELECT request_id, count(*) AS n FROM (SELECT (500000 + 1000 * (c_custkey // 100) + (c_custkey * 37) % 311 - 75) / 1e4::DOUBLE AS x, (2350000 + (c_custkey * 53) % 317 - 75) / 1e5::DOUBLE AS y FROM customer) b JOIN (SELECT unnest(range(4))::BIGINT AS request_id) q ON x BETWEEN 50.0 + request_id AND 50.9 + request_id AND y BETWEEN 23.0 AND 23.5003 + request_id / 1000.0 GROUP BY 1",
+        "features_in_boxes": f"WITH {BOXED}, asked AS (SELECT s_suppkey::BIGINT AS request_id, (1000 * (s_suppkey // 7) + (s_suppkey * 29) % 160) / 1e5::DOUBLE AS x, ((s_suppkey * 41) % 160) / 1e5::DOUBLE AS y, 10.0::DOUBLE * (1 << (s_suppkey % 14)::INT) / 1e5::DOUBLE AS h FROM supplier) SELECT request_id, layer, count(*) AS n, sum(feature_id)::BIGINT AS sum_id FROM boxed JOIN asked ON west <= x + h AND east >= x - h AND south <= y + h AND north >= y - h GROUP BY 1, 2",
+        "stored_features": f"WITH {BOXED} SELECT layer, count(*) AS n, sum(feature_id)::BIGINT AS sum_id FROM boxed WHERE west <= (SELECT 1000 * (max(s_suppkey) // 14) / 1e5::DOUBLE FROM supplier) AND east >= 0 AND south <= 0.001::DOUBLE AND north >= 0 GROUP BY 1",
+        "kml_files": _with(CELLS, "SELECT site_id, (row_number() OVER (PARTITION BY site_id ORDER BY r) - 1)::INT AS contour_id, (CASE WHEN r % 2 = 0 THEN r + 100.5 ELSE r END)::DOUBLE AS elevation_m, '<b>row</b> & ' || r || ' </Placemark>' AS name, n::INT AS points, NULL::VARCHAR AS error FROM (SELECT site_id, r, count(*) AS n FROM cells WHERE z IS NOT NULL GROUP BY 1, 2) WHERE n >= 2 AND site_id % 3 <> 1 UNION ALL SELECT site_id, NULL, NULL, NULL, NULL, 'the document is not well-formed' FROM (SELECT DISTINCT site_id FROM cells WHERE z IS NOT NULL AND site_id % 3 = 1)"),
         "clip_relations": "WITH inside AS (SELECT c_custkey AS node_id FROM customer WHERE c_custkey % 37 BETWEEN 3 AND 6 AND c_custkey % 100 BETWEEN 10 AND 14), wn AS (SELECT DISTINCT o_orderkey AS way_id, o_custkey AS node_id FROM orders), m AS (SELECT DISTINCT o_orderkey % 40 AS relation_id, o_orderkey AS way_id FROM orders WHERE o_orderkey % 40 < 30), w1 AS (SELECT DISTINCT way_id FROM wn WHERE node_id IN (SELECT node_id FROM inside)), rel AS (SELECT DISTINCT relation_id FROM m WHERE way_id IN (SELECT way_id FROM w1)), w2 AS (SELECT way_id FROM w1 UNION SELECT way_id FROM m WHERE relation_id IN (SELECT relation_id FROM rel)), n2 AS (SELECT node_id FROM inside UNION SELECT node_id FROM wn WHERE way_id IN (SELECT way_id FROM w2)) SELECT 'node' AS kind, count(*) AS n FROM n2 UNION ALL SELECT 'way', count(*) FROM w2 UNION ALL SELECT 'relation', count(*) FROM rel",
         "candidate_runoff": _with("daily AS (SELECT (user_id % 3)::INT AS s, (ts::DATE + to_months((user_id % 12)::INT))::DATE AS day, round(sum(value), 2) AS mm FROM events GROUP BY 1, 2), tot AS (SELECT s, sum(mm) AS t FROM daily WHERE month(day) IN (6, 7, 8, 9) AND year(day) BETWEEN 2020 AND 2024 GROUP BY 1), q AS (SELECT c_custkey::BIGINT AS candidate_id, c_custkey % 9 <> 0 AS placed, ((c_custkey * 7919) % 4000000)::DOUBLE AS area, CASE WHEN c_custkey % 9 <> 0 THEN t END AS t FROM customer LEFT JOIN tot ON s = c_custkey % 4)", "SELECT candidate_id, CASE WHEN NOT placed THEN 'missing_coordinates' WHEN t IS NULL THEN 'provider_unavailable' ELSE 'ok' END AS rainfall_status, round(t, 4) AS rainfall_mm, round(v, 4) AS runoff_m3, round(CASE WHEN v > 0 THEN v * 0.5::DOUBLE END, 4) AS storage_m3 FROM (SELECT *, CASE WHEN t / 5 >= 1 AND area >= 100 THEN t / 5 / 1000.0::DOUBLE * area * 0.3::DOUBLE END AS v FROM q)"),
         "plateau_peaks": _with(f"{ACC}, peaks AS MATERIALIZED (SELECT f.site_id, f.r, f.c, f.cell, a.accumulation FROM flow f JOIN acc a ON a.site_id = f.site_id AND a.cell = f.cell WHERE NOT EXISTS (SELECT 1 FROM flow g JOIN acc b ON b.site_id = g.site_id AND b.cell = g.cell WHERE g.site_id = f.site_id AND g.r BETWEEN f.r - 1 AND f.r + 1 AND g.c BETWEEN f.c - 1 AND f.c + 1 AND b.accumulation > a.accumulation)), reach AS (SELECT site_id, cell, r, c, cell AS other FROM peaks UNION SELECT x.site_id, x.cell, y.r, y.c, y.cell FROM reach x JOIN peaks y ON y.site_id = x.site_id AND abs(y.r - x.r) + abs(y.c - x.c) = 1), groups AS (SELECT site_id, cell, min(other) AS g FROM reach GROUP BY 1, 2)", "SELECT site_id, r AS row, c AS col, accumulation FROM (SELECT p.*, row_number() OVER (PARTITION BY p.site_id, g ORDER BY accumulation DESC, p.cell) AS n FROM peaks p JOIN groups USING (site_id, cell)) WHERE n = 1"),

@@ -13,11 +13,11 @@ from terrainflow.operators import quality as qa
 from terrainflow.operators import rainfall as rain
 from terrainflow.operators import scoring as sc
 from terrainflow.operators import spatial as sp
-from terrainflow.operators.iterate import cut_lineage
+from terrainflow.operators.iterate import cut_lineage, shared_folder
 from terrainflow.operators.stencil import dense_grid, with_neighbours, with_slope
 from terrainflow.plans import pipelines, tables
 from terrainflow.sources import features as feat
-from terrainflow.sources import kml, sinks
+from terrainflow.sources import kml, quadtree, sinks
 
 FLOAT = ("double", "float")
 
@@ -380,6 +380,38 @@ def features_in_bbox(spark, d):
     return feat.features_in_bbox(b, boxes).groupBy("request_id").agg(F.count("*").alias("n"))
 
 
+def _boxed(spark, d):
+    """Buildings, roads and water squares with their boxes in degrees (a metre is a hundred-thousandth): layer, feature_id, west, south, east, north."""
+    deg = lambda v, zero: (v - zero) / 1e5
+    box = lambda df, layer, x1, y1, x2, y2: df.select(F.lit(layer).alias("layer"), "feature_id", deg(x1, tables.X0).alias("west"), deg(y1, tables.Y0).alias("south"), deg(x2, tables.X0).alias("east"), deg(y2, tables.Y0).alias("north"))
+    x, y, half = F.col("cx"), F.col("cy"), F.col("half")
+    out = box(tables.buildings(spark, d), "buildings", F.col("x"), F.col("y"), F.col("x"), F.col("y"))
+    out = out.unionByName(box(tables.roads(spark, d), "roads", F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
+    return out.unionByName(box(tables.water(spark, d), "water_areas", x - half, y - half, x + half, y + half))
+
+
+def _asked_boxes(spark, d):
+    """A box around each supplier's place, of 10 m to 80 km half a side: request_id, west, south, east, north."""
+    key = F.col("s_suppkey")
+    x, y = (1000 * F.floor(key / 7) + (key * 29) % 160) / 1e5, ((key * 41) % 160) / 1e5
+    half = F.lit(10.0) * F.pow(F.lit(2.0), key % 14) / 1e5
+    return tables.read(spark, d, "supplier").select(key.cast("bigint").alias("request_id"), (x - half).alias("west"), (y - half).alias("south"), (x + half).alias("east"), (y + half).alias("north"))
+
+
+def features_in_boxes(spark, d):
+    """Features of all layers in boxes of all sizes, a box for each supplier."""
+    return feat.features_in_bbox(_boxed(spark, d), _asked_boxes(spark, d)).groupBy("request_id", "layer").agg(F.count("*").alias("n"), F.sum("feature_id").alias("sum_id"))
+
+
+def stored_features(spark, d):
+    """Features of all layers written by cell and read back in one box, of half the places of the suppliers."""
+    path = shared_folder(spark, "features")
+    quadtree.write_features(_boxed(spark, d), path)
+    most = tables.read(spark, d, "supplier").agg(F.max("s_suppkey")).first()[0]
+    east = 1000 * (most // 14) / 1e5
+    return quadtree.read_features(spark, path, (0.0, 0.0, east, 0.001)).groupBy("layer").agg(F.count("*").alias("n"), F.sum("feature_id").alias("sum_id"))
+
+
 def clip_relations(spark, d):
     """Customers as nodes, orders as ways (a node each), nations as multipolygon relations of ways."""
     nodes = tables.read(spark, d, "customer").select(F.col("c_custkey").alias("node_id"), (F.col("c_custkey") % 100).cast("double").alias("lon"), (F.col("c_custkey") % 37).cast("double").alias("lat"))
@@ -444,6 +476,24 @@ def contour_lengths(spark, d):
     return tidy(con.contour_lengths(con.contour_points(contours)).groupBy("site_id").agg(F.count("*").alias("n"), F.max("length_m").alias("longest")))
 
 
+def kml_files(spark, d):
+    """Contours of KML files by the XML reader: nested folders, a prefix, SimpleData, CDATA; every third file is cut off and an error."""
+    cells = tables.dem_cells(spark, d).where("elevation is not null")
+    point = F.format_string("%d,%d,0", "col", "row")
+    lines = cells.groupBy("site_id", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", point.alias("p")))), lambda s: s.p), " ").alias("c"))
+    named = F.format_string("<k:name><![CDATA[<b>row</b> & %d </Placemark>]]></k:name>", "row")
+    field = F.format_string('<k:ExtendedData><k:SchemaData><k:SimpleData name="note">7</k:SimpleData><k:SimpleData name="ELEVATION_m">%d.5 m</k:SimpleData></k:SchemaData></k:ExtendedData>', F.col("row") + 100)
+    mark = F.concat(F.lit("<k:Folder><k:Folder><k:Placemark>"), named, F.when(F.col("row") % 2 == 0, field).otherwise(""), F.lit("<k:LineString><k:coordinates>"), "c", F.lit("</k:coordinates></k:LineString></k:Placemark></k:Folder></k:Folder>"))
+    docs = lines.groupBy("site_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", mark.alias("m")))), lambda s: s.m), "").alias("body"))
+    end = F.when(F.col("site_id") % 3 == 1, "<k:Placemark><k:name>cut").otherwise("</k:Document></k:kml>")
+    path = shared_folder(spark, "kml")
+    files = docs.select("site_id", F.concat(F.lit('<k:kml xmlns:k="http://www.opengis.net/kml/2.2"><k:Document>'), "body", end).alias("value"))
+    files.repartition("site_id").write.partitionBy("site_id").text(path)
+    contours, errors = kml.read_placemarks(spark, path, F.col("site_id").cast("bigint"))
+    good = contours.select("site_id", "contour_id", "elevation_m", "name", F.size("coords").alias("points"), F.lit(None).cast("string").alias("error"))
+    return good.unionByName(errors, allowMissingColumns=True)
+
+
 def first_number(spark, d):
     return tables.read(spark, d, "part").select(F.col("p_partkey").cast("bigint").alias("p_partkey"), kml.first_number(F.col("p_brand")).alias("number"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrainflow.sources.quadtree import features_in_boxes
+
 # Columns that override other tags, and land uses that are water.
 TAG_COLUMNS = ("highway", "waterway", "water", "natural", "landuse", "building")
 WATER_LANDUSE = ("reservoir", "basin")
@@ -50,13 +52,8 @@ def layer_kind(layer: Column) -> Column:
 
 
 def features_in_bbox(features: DataFrame, boxes: DataFrame) -> DataFrame:
-    """features (with west, south, east, north) that touch a box (request_id, west, south, east, north), by bins of half a degree."""
-    cell = lambda c: F.floor(c * 2)
-    spread = lambda d, a, b, c, e: d.withColumn("bx", F.explode(F.sequence(cell(F.col(a)), cell(F.col(b))))).withColumn("by", F.explode(F.sequence(cell(F.col(c)), cell(F.col(e)))))
-    f = spread(features, "west", "east", "south", "north")
-    b = spread(boxes.select("request_id", F.col("west").alias("w2"), F.col("south").alias("s2"), F.col("east").alias("e2"), F.col("north").alias("n2")), "w2", "e2", "s2", "n2")
-    hit = f.join(b, ["bx", "by"]).where("west <= e2 and east >= w2 and south <= n2 and north >= s2")
-    return hit.drop("bx", "by", "w2", "s2", "e2", "n2").dropDuplicates(["request_id", "feature_id"])
+    """features (with west, south, east, north) that touch a box (request_id, west, south, east, north), through quadtree cells."""
+    return features_in_boxes(features, boxes)
 
 
 def clip_relations(nodes: DataFrame, way_nodes: DataFrame, members: DataFrame, box: tuple[float, float, float, float]) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -6,7 +6,7 @@ import io
 import zipfile
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NUMBER = r"[-+]?(?:\d+(?:\.\d*)?|\.\d+)"
@@ -91,6 +91,48 @@ def read_contours(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return contours, files.where("error is not null").select(F.col("path").alias("site_id"), "error").unionByName(empty)
 
 
+#: What is read of a placemark. Elements of other names are passed over; attributes have a leading underscore.
+_LINES = "array<struct<coordinates: string>>"
+_AREAS = "array<struct<outerBoundaryIs: struct<LinearRing: struct<coordinates: string>>>>"
+PLACEMARK = (
+    ", ".join(f"{t} string" for t in (*ELEVATION_TAGS, "name", "description"))
+    + ", ExtendedData struct<SchemaData: array<struct<SimpleData: array<struct<_VALUE: string, _name: string>>>>>"
+    + f", LineString {_LINES}, LinearRing {_LINES}, Polygon {_AREAS}, MultiGeometry array<struct<LineString: {_LINES}, LinearRing: {_LINES}, Polygon: {_AREAS}>>, _broken string"
+)
+
+
+def read_placemarks(spark: SparkSession, path: str, site: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """KML files by Spark's XML reader -> (contours, errors) as `parse_contours` gives them; the site is the path, or a column of `site`.
+
+    One row for each Placemark at any depth of folders, with any prefix; CDATA and entities are text. A document that is not
+    well-formed is a row of errors and gives no contours, also if some of its placemarks could be read; one without a placemark
+    gives no row at all. Elevation: the elements of ELEVATION_TAGS, then SimpleData whose name speaks of one, then name, then
+    description. Coordinates: the first line, then ring, then outer boundary. A file is read by one task; files are many.
+    """
+    reader = spark.read.format("xml").option("rowTag", "Placemark").option("ignoreNamespace", "true").option("columnNameOfCorruptRecord", "_broken")
+    marks = reader.schema(PLACEMARK).load(path)
+    site = F.col("_metadata.file_path") if site is None else site
+    marks = marks.select("*", site.alias("_site"), F.monotonically_increasing_id().alias("_at"))
+    words = "|".join(ELEVATION_WORDS)
+    fields = F.flatten(F.transform(F.coalesce("ExtendedData.SchemaData", F.array()), lambda d: F.coalesce(d.SimpleData, F.array())))
+    data = F.transform(F.filter(fields, lambda d: F.lower(d._name).rlike(words)), lambda d: d._VALUE)
+    numbers = F.filter(F.transform(F.concat(F.array(*ELEVATION_TAGS), data), first_number), lambda n: n.isNotNull())
+    elevation = F.coalesce(F.get(numbers, F.lit(0)), first_number(F.col("name")), first_number(F.col("description")))
+    first = lambda lines: F.get(lines, F.lit(0)).coordinates
+    outer = lambda areas: F.get(areas, F.lit(0)).outerBoundaryIs.LinearRing.coordinates
+    texts = [first(F.col("LineString")), first(F.col("LinearRing")), outer(F.col("Polygon"))]
+    inner = [F.transform("MultiGeometry", lambda m: first(m.LineString)), F.transform("MultiGeometry", lambda m: first(m.LinearRing)), F.transform("MultiGeometry", lambda m: outer(m.Polygon))]
+    texts += [F.get(F.array_compact(parts), F.lit(0)) for parts in inner]
+    of_file = Window.partitionBy("site_id")
+    each = marks.select(F.col("_site").alias("site_id"), "_at", elevation.alias("elevation_m"), F.nullif(F.trim("name"), F.lit("")).alias("name"), coords_col(F.coalesce(*texts)).alias("coords"), F.col("_broken").isNotNull().alias("_bad"))
+    each = each.withColumns({"_bad": F.max("_bad").over(of_file), "contour_id": (F.col("_at") - F.min("_at").over(of_file)).cast("int")})
+    good = F.col("elevation_m").isNotNull() & (F.size("coords") >= 2)
+    contours = each.where(~F.col("_bad") & good).select("site_id", "contour_id", "elevation_m", "name", "coords")
+    failed = each.groupBy("site_id").agg(F.max("_bad").alias("bad"), F.max(F.coalesce(good, F.lit(False))).alias("any"))
+    error = F.when(F.col("bad"), "the document is not well-formed").when(~F.col("any"), "no contour with an elevation and two points")
+    return contours, failed.select("site_id", error.alias("error")).where("error is not null")
+
+
 def raster_cells(rows: DataFrame, a: float, c: float, e: float, f: float, nodata: float | None = None) -> tuple[DataFrame, DataFrame]:
     """rows (site_id, row, elevations array) -> (cells with x = a * col + c and y = e * row + f, summary with error for all-invalid rasters)."""
     from terrainflow.operators.stencil import clean_elevation

@@ -130,6 +130,35 @@ def _with(ctes: str, select: str) -> str:
 GRADE = "SELECT site_id, round(score, 6) AS dem_score, CASE WHEN score >= 0.9 THEN 'good' WHEN score >= 0.75 THEN 'acceptable' WHEN score >= 0.5 THEN 'poor' ELSE 'invalid' END AS dem_status, ((vf < 0.95)::INT + (1 - vf > 0)::INT + (xf > 0.01)::INT + (score < 0.5)::INT)::INT AS n_warnings FROM (SELECT *, 0.30::DOUBLE * vf + 0.20::DOUBLE * (1 - (1 - vf)) + 0.40::DOUBLE * 0.95::DOUBLE + 0.10::DOUBLE * (1 - xf) AS score FROM (SELECT site_id, count(s) / (any_value(nr) * any_value(nc))::DOUBLE AS vf, avg((g > 1.0)::INT) AS xf FROM slopes GROUP BY 1))"
 
 
+#: Hydrology over filled elevation: `flow`, `acc`, `term` (the terminal cell of each cell), `ends`.
+FILLED = f"""{FILL}, dense2 AS MATERIALIZED (SELECT d.site_id, d.r, d.c, d.nr, d.nc, filled AS z, d.z AS elevation, d.cell, d.ring, modified, reachable FROM dense d LEFT JOIN filled f ON f.site_id = d.site_id AND f.r = d.r AND f.c = d.c),
+{FLOW.removeprefix(CELLS + ", ").replace("dense", "dense2").replace("flow AS (", "flow AS MATERIALIZED (")}, {PATHS.removeprefix(FLOW + ",")},
+acc AS MATERIALIZED (SELECT site_id, pos AS cell, count(*)::DOUBLE AS accumulation FROM paths GROUP BY 1, 2),
+term AS (SELECT p.site_id, p.source AS cell, p.pos AS outlet FROM paths p JOIN flow f ON f.site_id = p.site_id AND f.cell = p.pos WHERE f.flow_dir < 0), {ENDS.removeprefix(ACC + ",")}"""
+#: Candidates: a cell of each plateau of peaks and the first five ends; constraints, thinning at 50 m, scores, ranks.
+GENERATED = f"""{FILLED}, {SLOPE.removeprefix(CELLS + ",")},
+peaks AS MATERIALIZED (SELECT f.site_id, f.r, f.c, f.cell, a.accumulation FROM flow f JOIN acc a ON a.site_id = f.site_id AND a.cell = f.cell WHERE NOT EXISTS (SELECT 1 FROM flow g JOIN acc b ON b.site_id = g.site_id AND b.cell = g.cell WHERE g.site_id = f.site_id AND g.r BETWEEN f.r - 1 AND f.r + 1 AND g.c BETWEEN f.c - 1 AND f.c + 1 AND b.accumulation > a.accumulation)),
+reach AS (SELECT site_id, cell, r, c, cell AS other FROM peaks UNION SELECT x.site_id, x.cell, y.r, y.c, y.cell FROM reach x JOIN peaks y ON y.site_id = x.site_id AND abs(y.r - x.r) + abs(y.c - x.c) = 1),
+groups AS (SELECT site_id, cell, min(other) AS g FROM reach GROUP BY 1, 2),
+seeds AS (SELECT site_id, cell FROM (SELECT p.*, row_number() OVER (PARTITION BY p.site_id, g ORDER BY accumulation DESC, p.cell) AS n FROM peaks p JOIN groups USING (site_id, cell)) WHERE n = 1 UNION SELECT site_id, cell FROM ends WHERE rank <= 5),
+built AS MATERIALIZED (SELECT d.site_id, d.cell, d.r, d.c, d.elevation AS z, 500000.0::DOUBLE + 1000 * d.site_id + 5.0::DOUBLE * d.c AS x, 2350000.0::DOUBLE + 5.0::DOUBLE * d.r AS y, sl.s, accumulation AS a, accumulation * 25.0::DOUBLE AS area, e.kind IS NOT DISTINCT FROM 'boundary' AS edge,
+  CASE WHEN sl.s IS NULL THEN 'invalid_slope' WHEN accumulation < 2 THEN 'insufficient_drainage_area' END AS why
+  FROM seeds q JOIN dense2 d ON d.site_id = q.site_id AND d.cell = q.cell JOIN acc ON acc.site_id = q.site_id AND acc.cell = q.cell JOIN slopes sl ON sl.site_id = d.site_id AND sl.r = d.r AND sl.c = d.c
+  LEFT JOIN term t ON t.site_id = q.site_id AND t.cell = q.cell LEFT JOIN ends e ON e.site_id = q.site_id AND e.cell = t.outlet AND e.rank <= 5),
+queue AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY a DESC, r, c) AS n FROM built WHERE why IS NULL),
+walk AS (SELECT site_id, 0::BIGINT AS n, []::STRUCT(cell BIGINT, x DOUBLE, y DOUBLE)[] AS taken FROM (SELECT DISTINCT site_id FROM queue)
+  UNION ALL SELECT w.site_id, q.n, CASE WHEN len(list_filter(w.taken, lambda k: (k.x - q.x) * (k.x - q.x) + (k.y - q.y) * (k.y - q.y) < 2500)) = 0 THEN list_append(w.taken, {{'cell': q.cell, 'x': q.x, 'y': q.y}}) ELSE w.taken END
+  FROM walk w JOIN queue q ON q.site_id = w.site_id AND q.n = w.n + 1),
+kept AS (SELECT site_id, unnest(taken, recursive := true) FROM (SELECT site_id, arg_max(taken, n) AS taken FROM walk GROUP BY 1)),
+stats AS (SELECT d.site_id, max(accumulation) AS max_a, min(elevation) AS lo, max(elevation) AS hi FROM dense2 d LEFT JOIN acc ON acc.site_id = d.site_id AND acc.cell = d.cell GROUP BY 1),
+grade AS (SELECT *, greatest(0, tan(radians(s)) * 100) AS pct FROM queue JOIN kept USING (site_id, cell) JOIN stats USING (site_id)),
+scored AS (SELECT *, round(least(1, greatest(0,
+  0.35::DOUBLE * CASE WHEN area < 15000 THEN greatest(0, (area - 10000) / 5000.0::DOUBLE) WHEN area > 1500000 THEN greatest(0, 1 - (area - 1500000) / 1500000.0::DOUBLE) ELSE 1 END + 0.25::DOUBLE * least(1, a / greatest(max_a, 1))
+  + 0.2::DOUBLE * CASE WHEN pct < 2 THEN pct / 2.0::DOUBLE WHEN pct > 12 THEN greatest(0, 1 - (pct - 12) / 23.0::DOUBLE) ELSE 1 END
+  + 0.1::DOUBLE * CASE WHEN hi > lo THEN least(1, greatest(0, 1 - (z - lo) / (hi - lo))) ELSE 1 END + 0.1::DOUBLE * CASE WHEN edge THEN 1.0::DOUBLE ELSE 0.6::DOUBLE END)), 6) AS score FROM grade),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY score DESC, a DESC, r, c)::INT AS place FROM scored)"""
+
+
 def oracle_sql() -> dict[str, str]:
     r6 = lambda x, name: f"round({x}, 6) AS {name}"
     r9 = lambda x, name: f"round({x}, 9) AS {name}"  # noqa: E731  scores with a few decimals may stand on half a unit of the sixth
@@ -184,6 +213,16 @@ def oracle_sql() -> dict[str, str]:
         "features_in_boxes": f"WITH {BOXED}, asked AS (SELECT s_suppkey::BIGINT AS request_id, (1000 * (s_suppkey // 7) + (s_suppkey * 29) % 160) / 1e5::DOUBLE AS x, ((s_suppkey * 41) % 160) / 1e5::DOUBLE AS y, 10.0::DOUBLE * (1 << (s_suppkey % 14)::INT) / 1e5::DOUBLE AS h FROM supplier) SELECT request_id, layer, count(*) AS n, sum(feature_id)::BIGINT AS sum_id FROM boxed JOIN asked ON west <= x + h AND east >= x - h AND south <= y + h AND north >= y - h GROUP BY 1, 2",
         "stored_features": f"WITH {BOXED} SELECT layer, count(*) AS n, sum(feature_id)::BIGINT AS sum_id FROM boxed WHERE west <= (SELECT 1000 * (max(s_suppkey) // 14) / 1e5::DOUBLE FROM supplier) AND east >= 0 AND south <= 0.001::DOUBLE AND north >= 0 GROUP BY 1",
         "kml_files": _with(CELLS, "SELECT site_id, (row_number() OVER (PARTITION BY site_id ORDER BY r) - 1)::INT AS contour_id, (CASE WHEN r % 2 = 0 THEN r + 100.5 ELSE r END)::DOUBLE AS elevation_m, '<b>row</b> & ' || r || ' </Placemark>' AS name, n::INT AS points, NULL::VARCHAR AS error FROM (SELECT site_id, r, count(*) AS n FROM cells WHERE z IS NOT NULL GROUP BY 1, 2) WHERE n >= 2 AND site_id % 3 <> 1 UNION ALL SELECT site_id, NULL, NULL, NULL, NULL, 'the document is not well-formed' FROM (SELECT DISTINCT site_id FROM cells WHERE z IS NOT NULL AND site_id % 3 = 1)"),
+        "hydrology_summary": _with(
+            FILLED,
+            f"""SELECT s.*, greatest(sinks_original - sinks_remaining, 0) AS sinks_resolved, {r6("routed_cells / valid_cells::DOUBLE", "direction_fraction")} FROM (
+  SELECT f.site_id, count(*) AS valid_cells, (count(*) FILTER (flow_dir < 0 AND NOT f.ring))::BIGINT AS sinks_remaining, (count(*) FILTER (flow_dir >= 0))::BIGINT AS routed_cells, (count(*) FILTER (f.ring))::BIGINT AS edge_outflow_cells,
+    (count(*) FILTER (NOT f.ring AND NOT EXISTS (SELECT 1 FROM dense b WHERE b.site_id = f.site_id AND b.r BETWEEN f.r - 1 AND f.r + 1 AND b.c BETWEEN f.c - 1 AND f.c + 1 AND b.z < d.elevation)))::BIGINT AS sinks_original,
+    (count(*) FILTER (modified))::BIGINT AS modified_cells, {r6("max(d.z - d.elevation)", "max_fill_depth_m")}, (count(*) FILTER (NOT reachable))::BIGINT AS unreachable_cells, max(accumulation) AS max_accumulation, {r6("avg(accumulation)", "mean_accumulation")}, (count(*) FILTER (accumulation IS NULL))::BIGINT AS cycle_cells
+  FROM flow f JOIN dense2 d ON d.site_id = f.site_id AND d.cell = f.cell LEFT JOIN acc a ON a.site_id = f.site_id AND a.cell = f.cell WHERE f.z IS NOT NULL GROUP BY 1) s""",
+        ),
+        "candidate_rank": _with(GENERATED, "SELECT site_id, printf('cand-%05d-%05d', r, c) AS candidate_id, r AS row, c AS col, a AS flow_accumulation_cells, area AS drainage_area_m2, score AS candidate_score, place AS candidate_rank FROM ranked WHERE place <= 25"),
+        "rejection_counts": _with(GENERATED, "SELECT b.site_id, CASE WHEN b.why IS NOT NULL THEN b.why WHEN k.cell IS NULL THEN 'candidate_too_close' ELSE 'candidate_limit_exceeded' END AS rejection_reason, count(*) AS n FROM built b LEFT JOIN ranked k ON k.site_id = b.site_id AND k.cell = b.cell WHERE b.why IS NOT NULL OR k.cell IS NULL OR place > 25 GROUP BY 1, 2"),
         "clip_relations": "WITH inside AS (SELECT c_custkey AS node_id FROM customer WHERE c_custkey % 37 BETWEEN 3 AND 6 AND c_custkey % 100 BETWEEN 10 AND 14), wn AS (SELECT DISTINCT o_orderkey AS way_id, o_custkey AS node_id FROM orders), m AS (SELECT DISTINCT o_orderkey % 40 AS relation_id, o_orderkey AS way_id FROM orders WHERE o_orderkey % 40 < 30), w1 AS (SELECT DISTINCT way_id FROM wn WHERE node_id IN (SELECT node_id FROM inside)), rel AS (SELECT DISTINCT relation_id FROM m WHERE way_id IN (SELECT way_id FROM w1)), w2 AS (SELECT way_id FROM w1 UNION SELECT way_id FROM m WHERE relation_id IN (SELECT relation_id FROM rel)), n2 AS (SELECT node_id FROM inside UNION SELECT node_id FROM wn WHERE way_id IN (SELECT way_id FROM w2)) SELECT 'node' AS kind, count(*) AS n FROM n2 UNION ALL SELECT 'way', count(*) FROM w2 UNION ALL SELECT 'relation', count(*) FROM rel",
         "candidate_runoff": _with("daily AS (SELECT (user_id % 3)::INT AS s, (ts::DATE + to_months((user_id % 12)::INT))::DATE AS day, round(sum(value), 2) AS mm FROM events GROUP BY 1, 2), tot AS (SELECT s, sum(mm) AS t FROM daily WHERE month(day) IN (6, 7, 8, 9) AND year(day) BETWEEN 2020 AND 2024 GROUP BY 1), q AS (SELECT c_custkey::BIGINT AS candidate_id, c_custkey % 9 <> 0 AS placed, ((c_custkey * 7919) % 4000000)::DOUBLE AS area, CASE WHEN c_custkey % 9 <> 0 THEN t END AS t FROM customer LEFT JOIN tot ON s = c_custkey % 4)", "SELECT candidate_id, CASE WHEN NOT placed THEN 'missing_coordinates' WHEN t IS NULL THEN 'provider_unavailable' ELSE 'ok' END AS rainfall_status, round(t, 4) AS rainfall_mm, round(v, 4) AS runoff_m3, round(CASE WHEN v > 0 THEN v * 0.5::DOUBLE END, 4) AS storage_m3 FROM (SELECT *, CASE WHEN t / 5 >= 1 AND area >= 100 THEN t / 5 / 1000.0::DOUBLE * area * 0.3::DOUBLE END AS v FROM q)"),
         "plateau_peaks": _with(f"{ACC}, peaks AS MATERIALIZED (SELECT f.site_id, f.r, f.c, f.cell, a.accumulation FROM flow f JOIN acc a ON a.site_id = f.site_id AND a.cell = f.cell WHERE NOT EXISTS (SELECT 1 FROM flow g JOIN acc b ON b.site_id = g.site_id AND b.cell = g.cell WHERE g.site_id = f.site_id AND g.r BETWEEN f.r - 1 AND f.r + 1 AND g.c BETWEEN f.c - 1 AND f.c + 1 AND b.accumulation > a.accumulation)), reach AS (SELECT site_id, cell, r, c, cell AS other FROM peaks UNION SELECT x.site_id, x.cell, y.r, y.c, y.cell FROM reach x JOIN peaks y ON y.site_id = x.site_id AND abs(y.r - x.r) + abs(y.c - x.c) = 1), groups AS (SELECT site_id, cell, min(other) AS g FROM reach GROUP BY 1, 2)", "SELECT site_id, r AS row, c AS col, accumulation FROM (SELECT p.*, row_number() OVER (PARTITION BY p.site_id, g ORDER BY accumulation DESC, p.cell) AS n FROM peaks p JOIN groups USING (site_id, cell)) WHERE n = 1"),

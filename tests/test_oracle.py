@@ -40,5 +40,7 @@ def test_query_matches_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(SQL)))
 def test_other_queries_give_rows(spark, name):
-    rows = queries.queries()[name](spark, SMALL).collect()
+    # On the smallest tables all candidates of engine_pipeline stand too close to buildings or in water: no row is right there.
+    folder = SMALL.replace("0.001", "0.01") if name == "engine_pipeline" else SMALL
+    rows = queries.queries()[name](spark, folder).collect()
     assert rows and all(any(v is not None for v in r) for r in rows)

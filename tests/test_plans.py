@@ -26,3 +26,19 @@ def test_dense_cells_are_not_broadcast(spark):
     dense = stencil.dense_grid(cells, tables.dem_meta(cells)).where("elevation is not null").select("site_id", "row")
     assert len(dense.collect()) == cells.where("elevation is not null").count()
     assert not BY_CELL.search(plan(dense))  # the plan as it was run
+
+
+def test_catchments_route_the_cells_once(spark, monkeypatch):
+    from terrainflow.operators import hydrology, routing
+
+    plain = []
+    route = routing.route
+
+    def counted(flow, column="elevation", tile=routing.TILE, way=None):
+        plain.append(way is None)
+        return route(flow, column, tile, way)
+
+    for module in (hydrology, routing):
+        monkeypatch.setattr(module, "route", counted)
+    assert queries.catchment_vertices(spark, SMALL).count()
+    assert sum(plain) == 1  # accumulation and outlets of all cells; the other pass is that of the pre-order numbers

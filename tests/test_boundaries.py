@@ -129,3 +129,12 @@ def test_shapes_without_polygons_have_no_text(spark):
     empty = spark.createDataFrame([(1, None), (2, [])], "site_id bigint, polygons array<array<array<struct<longitude:double,latitude:double>>>>")
     for r in empty.select(sinks.geojson_polygons(F.col("polygons")).alias("g"), sinks.multipolygon_placemarks(F.lit("x"), F.col("polygons")).alias("k")).collect():
         assert r.g is None and r.k is None
+
+
+def test_parts_that_meet_at_corners_enclose_a_piece(spark):
+    around = [(0, 1), (1, 0), (1, 2), (2, 1)]  # four cells around (1, 1), joined at corners only
+    holed = [(r, c) for r in range(3) for c in range(3) if (r, c) != (1, 1)]
+    rows = [(1, 0, r, c) for r, c in around] + [(2, 0, r, c) for r, c in holed] + [(3, 0, 0, 0), (3, 0, 1, 1)]
+    rings = b.nested_rings(spark.createDataFrame(rows, MEMBER)).collect()
+    got = {s: (sum(not r.hole for r in rings if r.site_id == s), sum(r.hole for r in rings if r.site_id == s), {r.enclosed for r in rings if r.site_id == s}) for s in (1, 2, 3)}
+    assert got == {1: (4, 0, {1}), 2: (1, 1, {1}), 3: (2, 0, {0})}

@@ -14,8 +14,9 @@ more of them; then with 64, with 4096, and so on. Leaders leave their key, texts
 rounds end when every key holds one component only.
 
 Two bounds rule pairs out before any text is fetched. Similar sets have at least 4/9 of |x| + |y| in common, and of a
-set at most those shingles that occur in several rows. And a set marks 1024 bits by the hashes of its shingles: where d
-marks differ, at least d shingles are in one set only, of which similar sets have at most a ninth of |x| + |y|.
+set at most those shingles that occur in several rows. And each shingle of a set flips one of 1024 bits: what both
+sets hold cancels out, so where d bits differ, at least d shingles are in one set only, of which similar sets have at most
+a ninth of |x| + |y|. How large the common part is does not matter, so long texts are told apart like short ones.
 """
 
 from __future__ import annotations
@@ -200,10 +201,10 @@ SKETCH = [f"s{k}" for k in range(16)]
 
 
 def set_marks(doc: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
-    """For each of n sets its marks as numbers of 64 bits: every shingle marks one bit."""
+    """For each of n sets its marks as numbers of 64 bits: every shingle flips one bit, so shingles of both sets leave no difference."""
     spot = (mix(hashes.copy()) >> np.uint64(8)) & np.uint64(64 * len(SKETCH) - 1)
     out = np.zeros((n, len(SKETCH)), np.uint64)
-    np.bitwise_or.at(out, (doc, (spot >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (spot & np.uint64(63)))
+    np.bitwise_xor.at(out, (doc, (spot >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (spot & np.uint64(63)))
     return out.view(np.int64)
 
 

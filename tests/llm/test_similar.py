@@ -88,6 +88,15 @@ def test_marks_let_every_similar_pair_pass():
                 assert 9 * differ <= len(x) + len(y)
 
 
+def test_marks_of_long_sets_that_differ_are_told_apart():
+    """Sets of 1600 that share two thirds: had shingles only set bits, nearly all would be set in both."""
+    rng = np.random.default_rng(6)
+    shared = rng.integers(0, 2**63, 1070).astype(np.uint64)
+    sets = [np.unique(np.concatenate([shared, rng.integers(0, 2**63, 530).astype(np.uint64)])) for _ in range(2)]
+    a, b = similar.set_marks(np.repeat([0, 1], [len(z) for z in sets]), np.concatenate(sets), 2).view(np.uint64).tolist()
+    assert 9 * sum((p ^ q).bit_count() for p, q in zip(a, b, strict=True)) > sum(map(len, sets))
+
+
 def test_pipeline_stage_keeps_one_of_each_group(spark):
     import corpus_pipeline as p
 

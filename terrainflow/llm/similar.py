@@ -1,4 +1,8 @@
-"""Near-duplicates by exact similarity of word shingles, without missing a pair.
+"""Near-duplicates by SimHash fingerprints, verified on word shingles, and an exact search for those that fingerprints miss.
+
+Every text has a fingerprint of its shingles. Texts of one fingerprint, and fingerprints that differ in at most two bits
+(Golay keys, `simhash.py`), are verified on their whole sets; what holds is linked, and linked texts are not compared again.
+At a similarity of 4/5 fingerprints may differ in more bits, so the rest of the links is found by shared shingles:
 
 Two sets x and y with a Jaccard similarity of 4/5 or more have at least 4/5 of x and of y in common. In whatever order
 all shingles are put, the first |x| // 5 + k of x and the first |y| // 5 + k of y have k in common at least. Those first
@@ -30,6 +34,8 @@ from pyspark.sql import functions as F
 from terrainflow.llm.common import join_ids, mix, shared_checkpoint, text_batches, word_ids, word_spans
 from terrainflow.llm.graph import components
 from terrainflow.llm.repeats import string_ids
+from terrainflow.llm.simhash import fingerprint_hashes
+from terrainflow.llm.simhash import links as fingerprint_links
 
 SHINGLE = 5
 #: Distinct texts of a key up to which its pairs are verified one by one, and up to which they are told as one list.
@@ -193,7 +199,18 @@ def _keys(shared):
 
 def _nodes(batches):
     for batch, lo, hi, data, offsets in text_batches(batches, SLICE):
-        yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:2], pa.array(_word_sets(data, offsets)[2].view(np.int64))], names=["doc_id", "text_hash", "node"])
+        doc, hashes, node = shingle_sets(data, offsets)
+        fp = fingerprint_hashes(mix(hashes.copy()), np.searchsorted(doc, np.arange(len(node) + 1)))
+        yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:2], pa.array(node), pa.array(fp.view(np.int64))], names=["doc_id", "text_hash", "node", "fp"])
+
+
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """nodes (node, fp), each node once -> (a, b): every text with the least one of its fingerprint, and those of linked fingerprints."""
+    least = shared_checkpoint(nodes.groupBy("fp").agg(F.min("node").alias("least")))
+    same = nodes.join(least, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    of = lambda fp, name: least.select(F.col("fp").alias(fp), F.col("least").alias(name))
+    near = fingerprint_links(least).select(F.col("a").alias("fa"), F.col("b").alias("fb")).join(of("fa", "x"), "fa").join(of("fb", "y"), "fb")
+    return same.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
 
 #: The marks of a set, as columns of a node.
@@ -313,21 +330,29 @@ def similar_components(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
-    named = shared_checkpoint(docs.mapInArrow(_nodes, "doc_id bigint, text_hash bigint, node bigint"))
+    named = shared_checkpoint(docs.mapInArrow(_nodes, "doc_id bigint, text_hash bigint, node bigint, fp bigint"))
+    # Texts without words have one node, so nothing is lost where its fingerprint, zero, meets no other one.
+    near = shared_checkpoint(fingerprint_pairs(named.select("node", "fp").distinct()))
     pairs, live = _candidates(docs, bucket)
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(live.select("node")).distinct()
+    ends = lambda df: df.select(F.explode(F.array("a", "b")).alias("node"))
+    wanted = shared_checkpoint(ends(near).unionByName(ends(pairs)).unionByName(live.select("node")).distinct())
     sent = spark.sparkContext.broadcast(marks(wanted))
     bodies = docs.select("text").mapInArrow(_bodies(sent), "node bigint, body binary, held int, " + ", ".join(f"{s} bigint" for s in SKETCH))
     bodies = shared_checkpoint(bodies.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
     sent.destroy()
-    edges = shared_checkpoint(_similar(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), bodies))
-    roots = components(edges)
-    of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
-    apart = F.coalesce("a_root", "a") != F.coalesce("b_root", "b")
-    first = pairs.groupBy("b").agg(F.min("a").alias("a"))
-    rest = shared_checkpoint(pairs.join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").where(apart).select("a", "b"))
-    if not rest.isEmpty():
-        roots = components(edges.unionByName(_similar(rest, bodies)))
+    roots = components(_similar(near, bodies))
+
+    def apart(some: DataFrame) -> DataFrame:
+        of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
+        joined = some.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        return joined.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+
+    # Of the other candidates each text's first one, then those whose texts are still in two components.
+    pairs = shared_checkpoint(apart(pairs))
+    for some in (pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), pairs):
+        rest = shared_checkpoint(apart(some))
+        if not rest.isEmpty():  # a component's edges to its root say as much as those that made it
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_similar(rest, bodies)))
     leaders, placed = 1, live.join(bodies.select("node", *SKETCH), "node")
     while True:
         placed = placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -97,6 +97,27 @@ def test_marks_of_long_sets_that_differ_are_told_apart():
     assert 9 * sum((p ^ q).bit_count() for p, q in zip(a, b, strict=True)) > sum(map(len, sets))
 
 
+def test_fingerprints_link_copies_without_the_exact_search(spark, monkeypatch):
+    rng = random.Random(11)
+    docs = {}
+    for n in range(4):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+        for k in range(6):
+            text = list(base)
+            text[rng.randrange(3000)] = f"x{k}"
+            docs[10 * n + k] = " ".join(text)
+    docs |= {100: "", 101: None}
+    table = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    pairs = spark.createDataFrame([], "a bigint, b bigint")
+    live = spark.createDataFrame([], "key bigint, node bigint, size int, most int, held_keys bigint")
+    monkeypatch.setattr(similar, "_candidates", lambda docs, bucket: (pairs, live))
+    roots = {r.doc_id: r.root for r in similar.similar_components(table).collect()}
+    groups = [{roots[10 * n + k] for k in range(6)} for n in range(4)]
+    assert len(roots) == len(docs) and roots[100] == roots[101] and len(set().union(*groups)) >= 4
+    assert sum(map(len, groups)) <= 8  # of 24 texts that share words with five others each
+    assert all(x.isdisjoint(y) for i, x in enumerate(groups) for y in groups[:i])
+
+
 def test_pipeline_stage_keeps_one_of_each_group(spark):
     import corpus_pipeline as p
 

@@ -21,6 +21,17 @@ def test_grid_cells_are_not_broadcast(spark, monkeypatch):
     assert not any(BY_CELL.search(p) for p in plans)
 
 
+def test_grid_cells_of_planes_and_contours_are_not_broadcast(spark, monkeypatch):
+    """grid_planar and contour_pipeline go through the same search for near samples."""
+    for name in ("grid_planar", "contour_pipeline"):
+        plans = []
+        cut = contours.cut_lineage
+        with monkeypatch.context() as m:
+            m.setattr(contours, "cut_lineage", lambda df, cut=cut, plans=plans: plans.append(plan(df)) or cut(df))
+            assert getattr(queries, name)(spark, SMALL).count() and plans
+        assert not any(BY_CELL.search(p) for p in plans)
+
+
 def test_dense_cells_are_not_broadcast(spark):
     cells = tables.dem_cells(spark, SMALL)
     dense = stencil.dense_grid(cells, tables.dem_meta(cells)).where("elevation is not null").select("site_id", "row")

@@ -50,9 +50,9 @@ def plateau_peaks(peaks: DataFrame) -> DataFrame:
     while True:
         sent = own.withColumn("s", F.explode(steps)).select("site_id", (F.col("row") + F.col("s.a")).alias("row"), (F.col("col") + F.col("s.b")).alias("col"), "label")
         least = sent.groupBy("site_id", "row", "col").agg(F.min("label").alias("near"))
-        spread = own.join(least, ["site_id", "row", "col"], "left").withColumn("new", F.least("label", "near"))
+        spread = own.join(least.hint("merge"), ["site_id", "row", "col"], "left").withColumn("new", F.least("label", "near"))
         root = spread.select("site_id", F.struct("row", "col").alias("new"), F.col("new").alias("jump"))
-        moved = cut_lineage(spread.join(root, ["site_id", "new"]).select("site_id", "row", "col", "accumulation", F.col("jump").alias("label"), (F.col("jump") != F.col("label")).alias("moved")))
+        moved = cut_lineage(spread.join(root.hint("merge"), ["site_id", "new"]).select("site_id", "row", "col", "accumulation", F.col("jump").alias("label"), (F.col("jump") != F.col("label")).alias("moved")))
         own = moved.drop("moved")
         if moved.where("moved").limit(1).count() == 0:
             break
@@ -64,7 +64,7 @@ def candidate_seeds(flow: DataFrame, outlets: DataFrame, config: CandidateConfig
     """flow (site_id, row, col, accumulation) and outlets (site_id, row, col) -> site_id, row, col of plateau cells and outlets."""
     valid = flow.where(F.col("accumulation").isNotNull()).select("site_id", "row", "col", "accumulation")
     peaks = plateau_peaks(local_maxima(flow.select("site_id", "row", "col", "accumulation"), config.peak_neighbourhood).where("accumulation is not null"))
-    ends = outlets.select("site_id", "row", "col").join(valid.select("site_id", "row", "col"), ["site_id", "row", "col"], "left_semi")
+    ends = outlets.select("site_id", "row", "col").join(valid.select("site_id", "row", "col").hint("merge"), ["site_id", "row", "col"], "left_semi")
     return peaks.select("site_id", "row", "col").unionByName(ends).distinct()
 
 
@@ -76,7 +76,7 @@ def build_candidates(seeds: DataFrame, cells: DataFrame, outlets: DataFrame, met
     """
     area = F.col("accumulation") * F.col("resolution_m") * F.col("resolution_m")
     kinds = outlets.select("site_id", F.col("cell").alias("outlet"), "kind")
-    out = seeds.join(cells, ["site_id", "row", "col"], "left").join(meta, "site_id").join(kinds, ["site_id", "outlet"], "left")
+    out = seeds.join(cells.hint("merge"), ["site_id", "row", "col"], "left").join(meta, "site_id").join(kinds.hint("merge"), ["site_id", "outlet"], "left")
     return out.select(
         "site_id",
         F.format_string("cand-%05d-%05d", "row", "col").alias("candidate_id"),
@@ -119,9 +119,9 @@ def separate(candidates: DataFrame, distance: float) -> tuple[DataFrame, DataFra
         return candidates, candidates.limit(0).withColumns({"rejection_reason": F.lit("candidate_too_close"), "duplicate_of": F.lit(None).cast("string")})
     points = candidates.select("site_id", F.col("candidate_id").alias("id"), F.struct((-F.coalesce("flow_accumulation_cells", F.lit(0.0))).alias("a"), F.col("row").alias("r"), F.col("col").alias("c")).alias("priority"), "x", "y")
     kept, dropped = thin(points, distance, strict=True)
-    kept = candidates.join(kept.withColumnRenamed("id", "candidate_id"), ["site_id", "candidate_id"], "left_semi")
+    kept = candidates.join(kept.withColumnRenamed("id", "candidate_id").hint("merge"), ["site_id", "candidate_id"], "left_semi")
     dropped = dropped.select("site_id", F.col("id").alias("candidate_id"), F.col("because").alias("duplicate_of"))
-    return kept, candidates.drop("rejection_reason").join(dropped, ["site_id", "candidate_id"]).withColumn("rejection_reason", F.lit("candidate_too_close"))
+    return kept, candidates.drop("rejection_reason").join(dropped.hint("merge"), ["site_id", "candidate_id"]).withColumn("rejection_reason", F.lit("candidate_too_close"))
 
 
 def score_and_rank(candidates: DataFrame, stats: DataFrame, config: CandidateConfig = CandidateConfig()) -> DataFrame:  # noqa: B008

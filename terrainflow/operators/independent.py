@@ -26,7 +26,7 @@ def near_pairs(points: DataFrame, distance: float, strict: bool) -> DataFrame:
     there = binned.select("site_id", "bx", "by", F.col("id").alias("other"), F.col("priority").alias("p2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     square = (F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2"))
     close = square < distance * distance if strict else square <= distance * distance
-    return probes.join(there, ["site_id", "bx", "by"]).where((F.col("p2") < F.col("priority")) & close).select("site_id", "id", "other", "place", F.col("p2").alias("other_priority"))
+    return probes.hint("merge").join(there, ["site_id", "bx", "by"]).where((F.col("p2") < F.col("priority")) & close).select("site_id", "id", "other", "place", F.col("p2").alias("other_priority"))
 
 
 def thin(points: DataFrame, distance: float, strict: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -40,16 +40,16 @@ def thin(points: DataFrame, distance: float, strict: bool = True) -> tuple[DataF
     kept = None
     for _ in range(MAX_ROUNDS):
         live = state.where("kept is null").select("site_id", "id")
-        live_pairs = pairs.join(live, ["site_id", "id"], "left_semi").join(live.withColumnRenamed("id", "other"), ["site_id", "other"], "left_semi")
-        strong = cut_lineage(live.join(live_pairs.select("site_id", "id").distinct(), ["site_id", "id"], "left_anti"))
+        live_pairs = pairs.join(live.hint("merge"), ["site_id", "id"], "left_semi").join(live.withColumnRenamed("id", "other").hint("merge"), ["site_id", "other"], "left_semi")
+        strong = cut_lineage(live.join(live_pairs.select("site_id", "id").distinct().hint("merge"), ["site_id", "id"], "left_anti"))
         kept = strong if kept is None else kept.unionByName(strong)
-        gone = pairs.join(strong.withColumnRenamed("id", "other"), ["site_id", "other"], "left_semi").select("site_id", "id").distinct().withColumn("_gone", F.lit(True))
-        state = state.join(strong.withColumn("_strong", F.lit(True)), ["site_id", "id"], "left").join(gone, ["site_id", "id"], "left")
+        gone = pairs.join(strong.withColumnRenamed("id", "other").hint("merge"), ["site_id", "other"], "left_semi").select("site_id", "id").distinct().withColumn("_gone", F.lit(True))
+        state = state.join(strong.withColumn("_strong", F.lit(True)).hint("merge"), ["site_id", "id"], "left").join(gone.hint("merge"), ["site_id", "id"], "left")
         state = cut_lineage(state.select("site_id", "id", F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("_strong"), True).when(F.col("_gone"), False).alias("kept")))
         if state.where("kept is null").limit(1).count() == 0:
             break
     else:
         raise RuntimeError("thinning did not settle")
     kept = state.where("kept").select("site_id", "id")
-    first = pairs.join(kept.withColumnRenamed("id", "other"), ["site_id", "other"], "left_semi").groupBy("site_id", "id").agg(F.min_by("other", F.struct("place", "other_priority")).alias("because"))
-    return kept, state.where("not kept").select("site_id", "id").join(first, ["site_id", "id"])
+    first = pairs.join(kept.withColumnRenamed("id", "other").hint("merge"), ["site_id", "other"], "left_semi").groupBy("site_id", "id").agg(F.min_by("other", F.struct("place", "other_priority")).alias("because"))
+    return kept, state.where("not kept").select("site_id", "id").join(first.hint("merge"), ["site_id", "id"])

@@ -32,6 +32,20 @@ def test_grid_cells_of_planes_and_contours_are_not_broadcast(spark, monkeypatch)
         assert not any(BY_CELL.search(p) for p in plans)
 
 
+def test_all_cells_are_not_broadcast(spark, monkeypatch):
+    """Checkpointed cells look small to the planner; joins by cell, candidate or pair of candidates must not send them to the driver."""
+    from terrainflow.operators import candidates, hydrology, independent, routing
+    from terrainflow.plans import pipelines
+
+    for name in ("candidate_rank", "rejection_counts", "contour_pipeline"):
+        plans = []
+        with monkeypatch.context() as m:
+            for module in (candidates, hydrology, independent, routing, pipelines):
+                m.setattr(module, "cut_lineage", lambda df, cut=module.cut_lineage, plans=plans: plans.append(plan(df)) or cut(df))
+            assert getattr(queries, name)(spark, SMALL).count() and plans
+        assert not [j for p in plans for j in re.findall(r"BroadcastHashJoin \[[^\]]*(?:row|cell|outlet|id#\d+L?, (?:id|other))#[^\]]*\]", p)]
+
+
 def test_dense_cells_are_not_broadcast(spark):
     cells = tables.dem_cells(spark, SMALL)
     dense = stencil.dense_grid(cells, tables.dem_meta(cells)).where("elevation is not null").select("site_id", "row")

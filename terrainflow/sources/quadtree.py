@@ -43,24 +43,29 @@ def features_in_boxes(features: DataFrame, boxes: DataFrame) -> DataFrame:
     above its own. A box looks in the cells of its own level (all smaller features, 4 x 4 cells at most) and of each level above
     (the features of that level, 3 x 3 at most), so neither a large box nor a large feature is cut into more rows than that.
     A pair meets in one cell only: results need no distinct, and repeated rows stay repeated. Boxes that are empty, swapped, null
-    or beyond 512 degrees touch nothing, and features likewise. The levels of the boxes, 25 at most, are read by the driver.
+    or beyond 512 degrees touch nothing, and features likewise. The levels of the boxes and those of the features, 25 each at
+    most, are read by the driver; boxes look at levels only that features have. The join asks for a merge: the planner does not
+    count the cells that boxes explode to and would broadcast them.
     """
     sides = ("west", "south", "east", "north")
     asked = boxes.select("request_id", *[F.col(c).cast("double").alias(f"_{c}") for c in sides])
     asked = asked.withColumn("_q", box_level(*[F.col(f"_{c}") for c in sides])).where("_q is not null")
     levels = sorted(r[0] for r in asked.select("_q").distinct().collect())
-    own = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(True).alias("own")) for k in range(DEEPEST + 1)])
-    looks = F.concat(F.filter(own, lambda e: e.k <= F.col("_q")), F.array(F.struct(F.col("_q").alias("k"), F.lit(False).alias("own"))))
+    placed = features.withColumn("_f", box_level(*[F.col(c).cast("double") for c in sides])).where("_f is not null")
+    there = sorted(r[0] for r in placed.select("_f").distinct().collect())
+    looks = F.array(F.struct(F.col("_q").alias("k"), F.lit(False).alias("own")))
+    if there:
+        own = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(True).alias("own")) for k in there])
+        looks = F.concat(F.filter(own, lambda e: e.k <= F.col("_q")), looks)
     asked = asked.withColumn("_e", F.explode(looks)).select("*", F.col("_e.k").alias("_k"), F.col("_e.own").alias("_own")).withColumn("_s", _size(F.col("_k")))
     last = F.pow(F.lit(2.0), F.col("_k")).cast("bigint") - 1
     span = lambda low, high: F.sequence(_index(F.greatest(low - REACH * F.col("_s"), F.lit(ORIGIN)), F.col("_s")), F.least(_index(high, F.col("_s")), last))
     asked = asked.withColumn("_bx", F.explode(span(F.col("_west"), F.col("_east")))).withColumn("_by", F.explode(span(F.col("_south"), F.col("_north")))).drop("_e", "_s", "_q")
 
-    placed = features.withColumn("_f", box_level(*[F.col(c).cast("double") for c in sides])).where("_f is not null")
     above = F.filter(F.array(*[F.lit(k) for k in levels]) if levels else F.array().cast("array<int>"), lambda k: k < F.col("_f"))
     placed = placed.withColumn("_k", F.explode(F.concat(F.array("_f"), above))).withColumn("_own", F.col("_k") == F.col("_f"))
     placed = placed.withColumns({"_bx": _index(F.col("west"), _size(F.col("_k"))), "_by": _index(F.col("south"), _size(F.col("_k")))})
-    hit = placed.join(asked, ["_k", "_own", "_bx", "_by"]).where("west <= _east and east >= _west and south <= _north and north >= _south")
+    hit = placed.hint("merge").join(asked.hint("merge"), ["_k", "_own", "_bx", "_by"]).where("west <= _east and east >= _west and south <= _north and north >= _south")
     return hit.select(*features.columns, "request_id")
 
 

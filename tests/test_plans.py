@@ -46,6 +46,17 @@ def test_all_cells_are_not_broadcast(spark, monkeypatch):
         assert not [j for p in plans for j in re.findall(r"BroadcastHashJoin \[[^\]]*(?:row|cell|outlet|id#\d+L?, (?:id|other))#[^\]]*\]", p)]
 
 
+def test_cells_of_boxes_are_not_broadcast(spark):
+    """Boxes look at the levels of features only, through a join that sends no exploded cells to the driver."""
+    from terrainflow.sources import quadtree
+
+    features = spark.createDataFrame([(1, 0.5, 0.5, 0.5, 0.5), (2, 0.2, 0.2, 0.2001, 0.2001)], "feature_id int, west double, south double, east double, north double")
+    boxes = spark.createDataFrame([(7, 0.1, 0.1, 0.6, 0.6)], "request_id int, west double, south double, east double, north double")
+    hit = quadtree.features_in_boxes(features, boxes)
+    assert sorted((r.request_id, r.feature_id) for r in hit.collect()) == [(7, 1), (7, 2)]
+    assert "Broadcast" not in plan(hit)
+
+
 def test_dense_cells_are_not_broadcast(spark):
     cells = tables.dem_cells(spark, SMALL)
     dense = stencil.dense_grid(cells, tables.dem_meta(cells)).where("elevation is not null").select("site_id", "row")

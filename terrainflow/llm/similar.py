@@ -281,11 +281,14 @@ def _verify(batches):
 
 
 def _similar(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) those whose sets have a Jaccard similarity of 4/5 or more."""
+    """Of the pairs (a, b) those whose sets have a Jaccard similarity of 4/5 or more.
+
+    They are stored: what works on them in Python too would have a second worker in each task.
+    """
     one = lambda name: bodies.select(F.col("node").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("body", "held", *SKETCH)))
     both = pairs.join(one("a"), "a").join(one("b"), "b").where(_may_match("a_", "b_", F.col("a_held"), F.col("b_held")))
     both = both.select("a", "b", "a_body", "b_body")
-    return both.mapInArrow(_verify, "a bigint, b bigint")
+    return shared_checkpoint(both.mapInArrow(_verify, "a bigint, b bigint"))
 
 
 def _fits(size, most, other_size, other_most):
@@ -369,7 +372,7 @@ def similar_components(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
         like = _fits(*(F.col(c) for c in ("size", "most", "other_size", "other_most"))) & _may_match("", "other_", F.col("size"), F.col("other_size"))
         met = placed.join(chosen, "key").where((F.col("root") != F.col("other_root")) & like)
         met = met.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
-        found = shared_checkpoint(_similar(met, bodies))
+        found = _similar(met, bodies)
         placed = placed.select("key", "node", "size", "most", "held_keys", *SKETCH).join(chosen.select("key", F.col("other_node").alias("node")), ["key", "node"], "left_anti")
         leaders *= GROWTH
         if not found.isEmpty():  # a component's edges to its root say as much as those that made it

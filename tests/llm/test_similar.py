@@ -118,6 +118,21 @@ def test_fingerprints_link_copies_without_the_exact_search(spark, monkeypatch):
     assert all(x.isdisjoint(y) for i, x in enumerate(groups) for y in groups[:i])
 
 
+def test_pairs_are_not_verified_and_linked_in_one_task(spark, monkeypatch):
+    """Each Python operator of a task has a worker of its own; four in an executor of two cores took it over its memory."""
+    plans, components = [], similar.components
+
+    def seen(edges):
+        plans.append(edges._jdf.queryExecution().executedPlan().toString())
+        return components(edges)
+
+    monkeypatch.setattr(similar, "components", seen)
+    docs = edited()
+    table = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    assert similar.similar_components(table, 4).count() == len(docs)
+    assert len(plans) > 1 and not any("MapInArrow" in p for p in plans)
+
+
 def test_pipeline_stage_keeps_one_of_each_group(spark):
     import corpus_pipeline as p
 

@@ -19,6 +19,8 @@ SLOTS = CLASSES * PLACES
 BATCH = 256
 #: Windows that are scored at once.
 SCORED = 1536
+#: Of these, windows and rows of logits that are worked on at once, so that what they need stays in a core's cache.
+CHUNK, ROWS = 64, 2048
 
 
 def prior(follows: np.ndarray, frequency: np.ndarray, smoothing: float = 4.0) -> dict[str, np.ndarray]:
@@ -80,16 +82,43 @@ def _picked(x, place):
 
 
 def ready(p, base):
-    """Parameters for scoring: biases folded into the prior."""
+    """Parameters for scoring: biases folded into the prior, and what the attention takes from an id and from a place.
+
+    Its columns are query, key, value as mixed for the output, 1, and the part that skips the attention.
+    """
+    skip, scale = np.zeros((DIM, 1), np.float32), np.float32(DIM**-0.5)
+    every = np.concatenate([p["query"] * scale, p["key"], p["value"] @ p["mix"], skip, p["last"]], axis=1)
+    by_slot, by_place = p["embed"] @ every, p["place"] @ every
+    by_slot[:, 3 * DIM] = 1
+    most = lambda a: sum(np.sqrt((t[:, a : a + DIM] ** 2).sum(axis=1)).max() for t in (by_slot, by_place))
+    p = p | {"by_slot": by_slot, "by_place": by_place, "most": most(0) * most(DIM)}
     return p | {"class_p": base["class"] + p["class_b"], "slot_p": np.ascontiguousarray((base["slot"] + p["slot_b"]).transpose(1, 0, 2))}
 
 
+def states(p, ids, begin: int):
+    """As hidden(), of the places from `begin` on. p: from ready()."""
+    x = np.take(p["by_slot"], ids, axis=0)
+    x += p["by_place"]
+    s = x[:, begin:, :DIM] @ x[:, :, DIM : 2 * DIM].transpose(0, 2, 1)
+    if p["most"] > 60:  # no two ids and places go beyond it
+        np.minimum(s, np.float32(60), out=s)
+    np.exp(s, out=s)
+    s *= _PAST[begin:]
+    o = s @ x[:, :, 2 * DIM : 3 * DIM + 1]  # the last column: what the weights sum up to
+    u = o[:, :, :DIM] / o[:, :, DIM:]
+    u += x[:, begin:, 3 * DIM + 1 :]
+    return u.reshape(-1, DIM)
+
+
 def log_probabilities(p, u, current, target):
     """Natural logarithm of the probability of each target slot, given the current one and its state. p: from ready()."""
     c, place = target // PLACES, target % PLACES
-    x = u @ p["class_w"]
-    x += np.take(p["class_p"], current, axis=0)
-    out = _picked(x, c)
+    out = np.empty(len(u), np.float32)
+    for lo in range(0, len(u), ROWS):
+        own = slice(lo, lo + ROWS)
+        x = u[own] @ p["class_w"]
+        x += np.take(p["class_p"], current[own], axis=0)
+        out[own] = _picked(x, c[own])
     order = np.argsort(c.astype(np.int8), kind="stable")
     edges = np.searchsorted(c[order], np.arange(CLASSES + 1))
     u, place, current = np.take(u, order, axis=0), place[order], current[order]
@@ -195,15 +224,15 @@ def score_each(p, base, slots, first):
     count = np.where(size > WIDTH, 1 + -(-(size - WIDTH) // STRIDE), 1)
     owner = np.repeat(np.arange(len(size)), count)
     begin = (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
-    for lo in range(0, len(owner), SCORED):
-        own, at = owner[lo : lo + SCORED], begin[lo : lo + SCORED]
-        place = at[:, None] + np.arange(WIDTH)
-        fresh = (place < size[own][:, None]) & ((np.arange(WIDTH) >= WIDTH - STRIDE) | (at == 0)[:, None])
-        index = first[own][:, None] + np.minimum(place, np.maximum(size[own] - 1, 0)[:, None])
-        u, _ = hidden(p, slots[index])
-        fresh = fresh.ravel()
-        at = index.ravel()[fresh]
-        out[at - np.repeat(own, WIDTH)[fresh]] = log_probabilities(p, u[fresh], slots[at], slots[at + 1])
+    for skip, rows in ((0, np.flatnonzero(begin == 0)), (WIDTH - STRIDE, np.flatnonzero(begin))):  # places that the window before has scored
+        for lo in range(0, len(rows), SCORED):
+            own, at = owner[rows[lo : lo + SCORED]], begin[rows[lo : lo + SCORED]]
+            index = first[own][:, None] + np.minimum(at[:, None] + np.arange(WIDTH), np.maximum(size[own] - 1, 0)[:, None])
+            ids = slots[index]
+            u = np.concatenate([states(p, ids[k : k + CHUNK], skip) for k in range(0, len(ids), CHUNK)])
+            fresh = (at[:, None] + np.arange(skip, WIDTH) < size[own][:, None]).ravel()
+            at = index[:, skip:].ravel()[fresh]
+            out[at - np.repeat(own, WIDTH - skip)[fresh]] = log_probabilities(p, u[fresh], slots[at], slots[at + 1])
     return out
 
 

@@ -109,6 +109,20 @@ def test_every_slot_is_scored_once():
         assert abs(a.score(p, base, np.concatenate([slots, slots]), np.array([0, n, 2 * n]))[1] - total) < 1e-2
 
 
+def test_scoring_takes_the_states_of_the_model_from_tables():
+    """A window after another is asked for its new places only; scores that could overflow are bounded as in training."""
+    for scale in (1, 40):
+        p, base = model(4)
+        p["query"] *= scale
+        ready = a.ready(p, base)
+        assert (ready["most"] > 60) or scale == 1
+        ids = np.random.default_rng(7).integers(0, a.SLOTS, (5, a.WIDTH))
+        whole = a.hidden(p, ids)[0].reshape(5, a.WIDTH, a.DIM)
+        for begin in (0, a.WIDTH - a.STRIDE):
+            got = a.states(ready, ids, begin).reshape(5, a.WIDTH - begin, a.DIM)
+            assert np.allclose(got, whole[:, begin:], rtol=1e-3, atol=1e-3 * scale)
+
+
 def brute_base(docs):
     lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
     tokens = {d: [*WORD.findall(lower(t)), None] for d, t in docs}
